@@ -94,7 +94,8 @@ def range_and_ratio(t):
     "null_tests",
     with_sql(
         "details stats",
-        """SELECT count_if(d.album IS NULL) AS without_details, count_if(d.album IS NOT NULL) AS with_details
+        """SELECT count_if(d.album IS NULL)::bigint AS without_details,
+        count_if(d.album IS NOT NULL)::bigint AS with_details
         FROM stats s LEFT JOIN details d ON s.artist = d.artist AND s.track = d.track""",
     ),
 )

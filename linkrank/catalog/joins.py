@@ -277,17 +277,22 @@ def cross_join_grid(t):
     "self_join",
     with_sql(
         "chart",
-        """SELECT a.chart_week, a.title, a.current_week AS position, b.current_week AS next_position
-        FROM chart a JOIN chart b ON a.title = b.title
-         AND cast(b.chart_week AS date) = cast(a.chart_week AS date) + INTERVAL 7 DAY""",
+        """SELECT a.title, a.chart_week, a.current_week AS position, b.chart_week AS next_week,
+        b.current_week AS next_position
+        FROM chart a JOIN chart b ON a.title = b.title AND b.wks_on_chart = a.wks_on_chart + 1""",
     ),
 )
 def self_join(t):
-    """Each entry next to the same title one week later; a title has one row per week."""
-    day = F.col("chart_week").cast("date")
-    a = t.chart.select("chart_week", "title", F.col("current_week").alias("position"), day.alias("day"))
-    b = t.chart.select("title", F.col("current_week").alias("next_position"), F.date_sub(day, 7).alias("day"))
-    return a.alias("a").join(b.alias("b"), ["title", "day"]).drop("day")
+    """Each entry next to the same title's next one; (title, visit) is unique on both sides."""
+    a, b = t.chart.alias("a"), t.chart.alias("b")
+    next_visit = F.col("b.wks_on_chart") == F.col("a.wks_on_chart") + 1
+    return a.join(b, (F.col("a.title") == F.col("b.title")) & next_visit).select(
+        "a.title",
+        "a.chart_week",
+        F.col("a.current_week").alias("position"),
+        F.col("b.chart_week").alias("next_week"),
+        F.col("b.current_week").alias("next_position"),
+    )
 
 
 @query(

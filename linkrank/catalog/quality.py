@@ -109,7 +109,7 @@ def expected_vs_actual(t):
     "dq_six_dimensions",
     with_sql(
         "chart",
-        f"""SELECT dimension, failures, failures = 0 AS passed FROM (
+        f"""SELECT dimension, failures::bigint AS failures, failures = 0 AS passed FROM (
         SELECT 'completeness' AS dimension, count_if(title = '' OR performer = '') + abs(count(*) - 1071) AS failures FROM chart
         UNION ALL SELECT 'validity', count_if(regexp_matches(peak_pos, '[^0-9]')) FROM chart
         UNION ALL SELECT 'consistency', count_if((last_week = 'NA') <> (wks_on_chart = 1)) FROM chart

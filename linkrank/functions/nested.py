@@ -24,7 +24,7 @@ LIST_MARK = "|"
 def parse(body: Column, shape: str) -> Column:
     """Reply text as a struct. Malformed text parses to a struct of NULLs, so test
     :func:`is_failed` on the text, not on the struct."""
-    return F.from_json(body, shape.removeprefix("struct<").removesuffix(">"))
+    return F.from_json(body, shape)
 
 
 def is_failed(body: Column) -> Column:

@@ -19,10 +19,14 @@ SKETCH_GROUPS = 64
 def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> list[int]:
     """Hashes of the key values holding more than 1/MAX_HOT of the rows of ``df``.
 
-    One pass over the key columns with a mergeable sketch; no key is shuffled and
-    at most MAX_HOT numbers reach the driver. The sketch only steers the plan: a
-    key it misses takes the shuffled path and the result is the same.
+    A count comes first (file footers answer it for a plain scan): a table no
+    larger than ``min_rows`` cannot hold a hot key. Then one pass over the key
+    columns with a mergeable sketch; no key is shuffled and at most MAX_HOT numbers
+    reach the driver. The sketch only steers the plan: a key it misses takes the
+    shuffled path and the result is the same.
     """
+    if df.count() <= min_rows:
+        return []
     size = MAX_HOT * SKETCH_FACTOR
     found = (
         df.select(
@@ -32,7 +36,6 @@ def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) ->
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(h, {size})").alias("s"), F.count("*").alias("n"))
         .agg(F.expr(f"approx_top_k_combine(s, {size})").alias("s"), F.sum("n").alias("n"))
-        .where(F.col("n") > min_rows)
         .select(F.expr(f"approx_top_k_estimate(s, {MAX_HOT})").alias("top"), "n")
         .select(F.inline("top"), "n")
         .where((F.col("count") > F.col("n") / MAX_HOT) & (F.col("count") > min_rows))
