@@ -64,10 +64,20 @@ def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     )
 
 
+def _is_bad(schema: T.StructType) -> Column:
+    """True for a row that broke the contract.
+
+    Spark only converts the columns a query needs, so a bare count would miss text
+    where a number belongs; the test touches every column to have all of them read.
+    """
+    texts = [F.col(f.name).cast("string") for f in schema.fields]
+    return F.col(CORRUPT).isNotNull() & (F.length(F.concat_ws("", *texts)) >= 0)
+
+
 def _kept(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Rows that kept the contract, blank text as ''."""
     texts = [f.name for f in schema.fields if f.dataType == TEXT]
-    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT).na.fill("", subset=texts)
+    return raw.where(~_is_bad(schema)).drop(CORRUPT).na.fill("", subset=texts)
 
 
 def read_csv_contract(spark: SparkSession, path, schema: T.StructType) -> Contracted:
@@ -77,7 +87,7 @@ def read_csv_contract(spark: SparkSession, path, schema: T.StructType) -> Contra
     with text where a number belongs, lands in ``bad``. Blank text stays ''.
     """
     raw = _csv(spark, path, schema)
-    return Contracted(_kept(raw, schema), raw.where(F.col(CORRUPT).isNotNull()))
+    return Contracted(_kept(raw, schema), raw.where(_is_bad(schema)))
 
 
 def read_snapshots(spark: SparkSession, root: str, schema: T.StructType, date: str | None = None) -> DataFrame:
