@@ -12,6 +12,7 @@ from linkrank.operators import joins as jn
 from linkrank.operators.rank import top_k, top_n_per_group
 from linkrank.operators.review import with_track_keys
 from linkrank.plans import gems as plan
+from linkrank.runtime import materialize
 from linkrank.sources.replies import release_years
 from linkrank.sources.standins import POSITIONS, with_sql
 
@@ -232,7 +233,7 @@ def tier_counts(t):
     ),
 )
 def roster_verify(t):
-    known = songs(t)
+    known = materialize(songs(t))
     top = plan.top_gems(plan.gems(t.stats, known, CUT), ag.known_artists(known, CUT.min_songs), CUT)
     return top.agg(
         F.count("*").alias("roster_rows"), F.countDistinct(F.lower("artist")).alias("distinct_artists")

@@ -14,7 +14,7 @@ GEMS_SQL = with_sql("chart stats", f"SELECT {', '.join(GEM_COLUMNS)} FROM gems",
 
 
 def top(t):
-    grain = songs(t)
+    grain = materialize(songs(t))
     return plan.top_gems(plan.gems(t.stats, grain, CUT), ag.known_artists(grain, CUT.min_songs), CUT)
 
 

@@ -342,7 +342,7 @@ def star_lookup(t):
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(
             F.count("*").alias("n"),
-            F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"),
+            F.sum(F.floor(F.col("o_totalprice") * 100 + 0.5)).alias("cents"),
         )
     )
     places = t.table("nation").join(F.broadcast(t.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))

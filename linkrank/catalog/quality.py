@@ -165,7 +165,7 @@ def shrink_ledger(t):
 )
 def checkpoint_agreement(t):
     """The roster counted two ways must give one number."""
-    grain = songs(t)
+    grain = materialize(songs(t))
     roster = ag.known_artists(grain, CUT.min_songs).agg(F.count("*").alias("roster_rows"))
     counted = ag.survivors(ag.entity_sizes(grain), "songs_charted", {"survivors": CUT.min_songs})
     return roster.select("roster_rows", counted.scalar().alias("survivors")).withColumn(

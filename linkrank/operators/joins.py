@@ -16,7 +16,7 @@ SKETCH_FACTOR = 16
 SKETCH_GROUPS = 64
 
 
-def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> list[int]:
+def hot_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
     """Hashes of the key values holding more than 1/MAX_HOT of the rows of ``df``.
 
     A count comes first (file footers answer it for a plain scan): a table no
@@ -25,6 +25,7 @@ def hot_hashes(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) ->
     reach the driver. The sketch only steers the plan: a key it misses takes the
     shuffled path and the result is the same.
     """
+    min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
     if df.count() <= min_rows:
         return []
     size = MAX_HOT * SKETCH_FACTOR
@@ -56,7 +57,7 @@ def lookup_join(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    min_hot_rows: int = MIN_HOT_ROWS,
+    min_hot_rows: int | None = None,
 ) -> DataFrame:
     """Join many rows to a side with one row per key, safe against hot keys.
 

@@ -20,7 +20,7 @@ def value_ranks(df: DataFrame, col: str, out: str, partition_by: tuple[str, ...]
 
     1. count rows per value, which takes all ties out on the map side;
     2. range-partition the values and note the slot of each one; the result is
-       checkpointed, so a lost executor cannot move a value to another slot;
+       written to a table, so a lost executor cannot move a value to another slot;
     3. add up the slots, of which there are as many as shuffle partitions;
     4. rows below a value = rows in lower slots + rows below it in its own slot.
 

@@ -45,9 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` as Parquet, replacing what was there, and read it back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut the lineage of ``df``: a table in the shared folder that later steps read.
+
+    A table rather than a row checkpoint, so that readers get only the columns they
+    need and Spark knows its size when it picks a join.
+    """
+    return write_table(df, scratch_path(df.sparkSession, "stage"))

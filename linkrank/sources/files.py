@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkrank.runtime import scratch_path
+from linkrank.runtime import scratch_path, write_table
 
 CORRUPT = "_corrupt_record"
 SNAPSHOT = "snapshot_date"
@@ -136,10 +136,7 @@ def write_playlist_csv(df: DataFrame, path: str) -> str:
 
 def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     """``CREATE TABLE AS``: write ``df`` and read it back. Overwrites, so it can be re-run."""
-    spark = df.sparkSession
-    path = path or scratch_path(spark, "frozen")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_table(df, path or scratch_path(df.sparkSession, "frozen"))
 
 
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:

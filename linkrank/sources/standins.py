@@ -23,6 +23,11 @@ def _s(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _cents(price: str) -> Column:
+    """Price in whole cents, so that sums are exact."""
+    return F.floor(F.col(price) * 100 + 0.5)
+
+
 def _item(key: str = "p_partkey") -> Column:
     return _s(F.col("p_name"), " #", F.col(key))
 
@@ -79,8 +84,8 @@ class Inputs:
         """Weekly ranking of parts by revenue: one row per week and position."""
         revenue = (
             self.table("lineitem")
-            .groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("w"), "l_partkey")
-            .agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+            .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "week").alias("w"), "l_partkey")
+            .agg(F.sum(_cents("l_extendedprice")).alias("cents"))
         )
         ranked = top_n_per_group(
             revenue, ["w"], [F.desc("cents"), F.asc("l_partkey")], POSITIONS, rank="p"

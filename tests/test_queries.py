@@ -32,3 +32,27 @@ def test_entry_has_rows(spark):
     df = contract.entry(spark)
     assert df.columns == ["artist", "track", "listeners", "playcount", "plays_per_listener", "tier"]
     assert df.count() > 0
+
+
+HOT_QUERIES = [
+    "left_join_compound",
+    "anti_join",
+    "inner_join_ci",
+    "inner_join_mapping",
+    "left_join_subquery",
+    "one_to_many_lookup",
+    "percent_rank_global",
+    "percent_rank_partitioned",
+    "composite_score",
+    "punctuation_false_gems",
+    "tag_fallback",
+    "range_and_ratio",
+    "decade_build",
+]
+
+
+@pytest.mark.parametrize("key", HOT_QUERIES)
+def test_matches_sql_with_hot_keys_split_off(spark, con, key, monkeypatch):
+    """The same results when every key with a few rows is treated as hot."""
+    monkeypatch.setattr("linkrank.operators.joins.MIN_HOT_ROWS", 5)
+    assert compare(QUERIES[key](spark, SF), con, ORACLES[key]) == []
