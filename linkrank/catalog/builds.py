@@ -36,16 +36,13 @@ era AS (SELECT lower({ladder('performer')}) AS artist_lower, min(chart_week) AS
     "page_build",
     with_sql(
         "chart stats details",
-        """SELECT g.artist, g.track, g.listeners, g.playcount, g.plays_per_listener, d.album,
-        CASE WHEN d.tags IS NULL OR d.tags = '' THEN ''
-             ELSE substr(d.tags, 1, instr(d.tags || '|', '|') - 1) END AS genre, d.tags,
-        CASE WHEN d.duration_ms IS NULL OR d.duration_ms = 0 THEN ''
-             ELSE (d.duration_ms // 60000) || ':' || lpad(cast((d.duration_ms // 1000) % 60 AS varchar), 2, '0') END AS duration,
-        substr(e.first_chart, 1, 3) || '0s' AS debut_decade,
+        """SELECT artist, track, listeners, playcount, plays_per_listener, album,
+        coalesce(split_part(tags, '|', 1), '') AS genre, tags,
+        coalesce(format('{}:{:02d}', nullif(duration_ms, 0) // 60000, duration_ms // 1000 % 60), '') AS duration,
+        left(first_chart, 3) || '0s' AS debut_decade,
         round((0.7::double * percent_rank() OVER (ORDER BY plays_per_listener)
              + 0.3::double * percent_rank() OVER (ORDER BY listeners)) * 100, 1) AS gem_score
-        FROM top_gems g LEFT JOIN details d ON g.artist = d.artist AND g.track = d.track
-        LEFT JOIN era e ON e.artist_lower = lower(g.artist)""",
+        FROM top_gems LEFT JOIN details USING (artist, track) LEFT JOIN era ON artist_lower = lower(artist)""",
         stages(TOP_STAGES, ERA),
     ),
 )

@@ -86,8 +86,8 @@ def page_title_keys(t):
     with_sql(
         "chart stats",
         " UNION ALL ".join(
-            f"""SELECT {n} AS key_level, count(*) AS devoted_tracks, count_if(s.title IS NOT NULL)::bigint AS matched_to_chart,
-            round(count_if(s.title IS NOT NULL) * 100::double / count(*), 1) AS match_rate_pct
+            f"""SELECT {n} AS key_level, count(*) AS devoted_tracks, count(s.title) AS matched_to_chart,
+            round(count(s.title) * 100::double / count(*), 1) AS match_rate_pct
             FROM stats t LEFT JOIN songs s ON lower(t.artist) = lower(s.primary_artist)
              AND {key('t.track', n)} = {song_key('s.title', n)}"""
             for n in rv.LEVELS
@@ -103,8 +103,8 @@ def key_rule_uplift(t):
     "benchmark_match_rate",
     with_sql(
         "lines benchmark_songs",
-        f"""SELECT count(*) AS devoted_tracks, count_if(b.title IS NOT NULL)::bigint AS matched_to_chart,
-        round(count_if(b.title IS NOT NULL) * 100::double / count(*), 1) AS match_rate_pct
+        f"""SELECT count(*) AS devoted_tracks, count(b.title) AS matched_to_chart,
+        round(count(b.title) * 100::double / count(*), 1) AS match_rate_pct
         FROM (SELECT {key('track', 3)} AS k FROM lines) l
         LEFT JOIN (SELECT title, {song_key('title', 3)} AS k FROM benchmark_songs) b ON l.k = b.k""",
     ),
@@ -120,8 +120,8 @@ def benchmark_match_rate(t):
     "clerical_review",
     with_sql(
         "chart stats",
-        f"""SELECT t.artist, t.track, t.listeners, t.plays_per_listener {UNMATCHED}
-        ORDER BY t.listeners DESC, t.artist, t.track, t.plays_per_listener LIMIT 30""",
+        f"""SELECT artist, track, listeners, plays_per_listener {UNMATCHED}
+        ORDER BY listeners DESC, artist, track, plays_per_listener LIMIT 30""",
         stages(SONGS, song_keys(), devoted()),
     ),
 )

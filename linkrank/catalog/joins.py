@@ -58,9 +58,9 @@ def left_join_compound(t):
     "match_rate",
     with_sql(
         "chart stats",
-        """SELECT count(*) AS devoted_tracks, count_if(s.title IS NOT NULL)::bigint AS matched_to_chart,
-        round(count_if(s.title IS NOT NULL) * 100::double / count(*), 1) AS match_rate_pct
-        FROM devoted t LEFT JOIN song_keys s ON t.artist_key = s.artist_key AND t.title_key = s.title_key""",
+        """SELECT count(*) AS devoted_tracks, count(title) AS matched_to_chart,
+        round(count(title) * 100::double / count(*), 1) AS match_rate_pct
+        FROM devoted LEFT JOIN song_keys USING (artist_key, title_key)""",
         LINK,
     ),
 )
@@ -68,8 +68,7 @@ def match_rate(t):
     return jn.match_rate(plan.devoted(t.stats, CUT), keyed_songs(t), KEYS)
 
 
-UNMATCHED = """FROM devoted t LEFT JOIN song_keys s
-ON t.artist_key = s.artist_key AND t.title_key = s.title_key WHERE s.title IS NULL"""
+UNMATCHED = "FROM devoted ANTI JOIN song_keys USING (artist_key, title_key)"
 
 
 @query("anti_join", with_sql("chart stats", f"SELECT artist, track, listeners, plays_per_listener {UNMATCHED}", LINK))
@@ -82,7 +81,7 @@ def anti_join(t):
     with_sql(
         "chart stats",
         f"""SELECT artist, track, listeners, n AS unmatched_with_dash FROM
-        (SELECT artist, track, listeners, count(*) OVER () AS n {UNMATCHED} AND t.track LIKE '% - %')
+        (SELECT artist, track, listeners, count(*) OVER () AS n {UNMATCHED} WHERE track LIKE '% - %')
         ORDER BY listeners DESC, artist, track LIMIT 20""",
         stages(SONGS, song_keys(1), devoted(1)),
     ),

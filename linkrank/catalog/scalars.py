@@ -171,9 +171,7 @@ def tag_filter(t):
     "duration_text",
     with_sql(
         "details",
-        """SELECT track, CASE WHEN duration_ms IS NULL OR duration_ms = 0 THEN ''
-        ELSE (duration_ms // 60000) || ':' || lpad(cast((duration_ms // 1000) % 60 AS varchar), 2, '0') END AS duration
-        FROM details""",
+        """SELECT track, coalesce(format('{}:{:02d}', nullif(duration_ms, 0) // 60000, duration_ms // 1000 % 60), '') AS duration FROM details""",
     ),
 )
 def duration_text(t):

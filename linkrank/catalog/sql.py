@@ -3,41 +3,34 @@
 from __future__ import annotations
 
 from linkrank.catalog.registry import CUT
-from linkrank.functions.keys import CREDIT_RUNGS
-from linkrank.functions.text import VARIANT_MARKERS
+from linkrank.functions.keys import CREDIT_RUNGS, TITLE_TAILS
+from linkrank.functions.text import ASCII_LOWER, ASCII_UPPER, VARIANT_MARKERS
 
-A, Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+def _before(text: str, found_in: str, mark: str) -> str:
+    return f"left({text}, position('{mark}' IN {found_in}) - 1)"
 
 
 def ladder(col: str, rungs=CREDIT_RUNGS) -> str:
-    arms = " ".join(
-        f"WHEN instr({col}, '{r}') > 0 THEN substr({col}, 1, instr({col}, '{r}') - 1)" for r in rungs
-    )
+    arms = " ".join(f"WHEN contains({col}, '{r}') THEN {_before(col, col, r)}" for r in rungs)
     return f"CASE {arms} ELSE {col} END"
 
 
 def cut_tail(col: str) -> str:
-    low = f"translate({col}, {A}, {Z})"
-    arms = " ".join(
-        f"WHEN instr({low}, '{t}') > 0 THEN substr({col}, 1, instr({low}, '{t}') - 1)"
-        for t in (" (feat.", " (with ")
-    )
+    low = f"translate({col}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
+    arms = " ".join(f"WHEN contains({low}, '{t}') THEN {_before(col, low, t)}" for t in TITLE_TAILS)
     return f"CASE {arms} ELSE {col} END"
 
 
 def cut_dash(col: str, dash: str = " - ") -> str:
-    return f"CASE WHEN instr({col}, '{dash}') > 0 THEN substr({col}, 1, instr({col}, '{dash}') - 1) ELSE {col} END"
+    return f"split_part({col}, '{dash}', 1)"
 
 
 def fold(col: str) -> str:
-    out = f"lower({col})"
-    for c in ["''", "’", "‘", '"', "“", "”"]:
-        out = f"replace({out}, '{c}', '')"
-    for c in [",", ".", "!", "?", "(", ")", "*", ":", ";", "/"]:
-        out = f"replace({out}, '{c}', ' ')"
-    out = f"(' ' || {out} || ' ')"
-    for c in [" a ", " an ", " the ", "  "]:
-        out = f"replace({out}, '{c}', ' ')"
+    out = f"regexp_replace(lower({col}), '[''’‘\"“”]', '', 'g')"
+    out = f"' ' || regexp_replace({out}, '[,.!?()*:;/]', ' ', 'g') || ' '"
+    for sweep in (" a ", " an ", " the ", "  "):
+        out = f"replace({out}, '{sweep}', ' ')"
     return f"trim({out}, ' ')"
 
 
@@ -69,13 +62,10 @@ FROM songs GROUP BY 1 HAVING count(*) >= {min_songs})"""
 
 def devoted(level: int = 3) -> str:
     return f"""
-cut1 AS (SELECT *, round(playcount * 1.0::double / listeners, 1) AS plays_per_listener,
-       {cut_tail('track')} AS c1 FROM stats
-WHERE listeners >= {CUT.min_listeners} AND playcount * 1.0::double / listeners >= {CUT.min_ratio}),
-cut2 AS (SELECT *, {cut_dash('c1')} AS c2 FROM cut1),
-devoted AS (SELECT artist, track, playcount, listeners, plays_per_listener, lower(artist) AS artist_key,
-       {['lower(track)', "lower(trim(c1, ' '))", "lower(trim(c2, ' '))", fold('c2')][level]} AS title_key
-FROM cut2)"""
+devoted AS (SELECT *, round(plays, 1) AS plays_per_listener, lower(artist) AS artist_key,
+       {key('track', level)} AS title_key
+FROM (SELECT *, playcount::double / nullif(listeners, 0) AS plays FROM stats)
+WHERE listeners >= {CUT.min_listeners} AND plays >= {CUT.min_ratio})"""
 
 
 def song_keys(level: int = 3) -> str:
@@ -84,31 +74,32 @@ song_keys AS (SELECT *, lower(primary_artist) AS artist_key, {song_key('title',
 
 
 def markers(col: str = "track", negate: bool = True) -> str:
-    test = " OR ".join(f"lower({col}) LIKE '%{m}%'" for m in VARIANT_MARKERS)
-    return f"coalesce(NOT ({test}), true)" if negate else f"({test})"
+    marks = "|".join(m.replace("(", "[(]").replace(".", "[.]") for m in VARIANT_MARKERS)
+    test = f"regexp_matches(lower({col}), '{marks}')"
+    return f"NOT coalesce({test}, false)" if negate else test
 
 
 def gems(clean: bool = True) -> str:
     return f"""
-gems AS (SELECT min(t.artist) AS artist, min(t.track) AS track, max(t.listeners) AS listeners,
-       max(t.playcount) AS playcount, max(t.plays_per_listener) AS plays_per_listener,
-       CASE WHEN max(t.listeners) < {CUT.low_tier} THEN 'hidden gem'
-            WHEN max(t.listeners) >= {CUT.high_tier} THEN 'buried anthem'
-            ELSE 'middle band' END AS tier, t.artist_key, t.title_key
-FROM devoted t LEFT JOIN song_keys s ON t.artist_key = s.artist_key AND t.title_key = s.title_key
-WHERE s.title IS NULL GROUP BY t.artist_key, t.title_key
-{('HAVING ' + markers('min(t.track)')) if clean else ''})"""
+collapsed AS (SELECT artist_key, title_key, min(artist) AS artist, min(track) AS track,
+       max(listeners) AS listeners, max(playcount) AS playcount,
+       max(plays_per_listener) AS plays_per_listener
+FROM devoted GROUP BY ALL),
+gems AS (SELECT *, CASE WHEN listeners >= {CUT.high_tier} THEN 'buried anthem'
+                        WHEN listeners >= {CUT.low_tier} THEN 'middle band' ELSE 'hidden gem' END AS tier
+FROM collapsed ANTI JOIN song_keys USING (artist_key, title_key)
+{('WHERE ' + markers()) if clean else ''})"""
 
 
 DEVOTION = "plays_per_listener DESC, listeners DESC, artist, track"
 
 TOP = f"""
-top_gems AS (SELECT artist, track, listeners, playcount, plays_per_listener
-FROM (SELECT g.*, row_number() OVER (PARTITION BY lower(g.artist) ORDER BY {DEVOTION}) AS gem_rank
-      FROM gems g JOIN (SELECT DISTINCT lower(primary_artist) AS artist_lower FROM known_artists
-                        WHERE career_peak <= {CUT.worst_peak}) k ON k.artist_lower = lower(g.artist)
-      WHERE g.tier = 'hidden gem')
-WHERE gem_rank <= {CUT.per_artist} ORDER BY {DEVOTION} LIMIT {CUT.roster_size})"""
+top_gems AS (SELECT artist, track, listeners, playcount, plays_per_listener FROM gems
+SEMI JOIN (SELECT * FROM known_artists WHERE career_peak <= {CUT.worst_peak}) k
+  ON lower(k.primary_artist) = lower(gems.artist)
+WHERE tier = 'hidden gem'
+QUALIFY row_number() OVER (PARTITION BY lower(artist) ORDER BY {DEVOTION}) <= {CUT.per_artist}
+ORDER BY {DEVOTION} LIMIT {CUT.roster_size})"""
 
 
 def stages(*ctes: str) -> str:
