@@ -26,6 +26,7 @@ from linkrank.operators.rank import (
     weighted_score,
 )
 from linkrank.operators.review import KEYS, with_song_keys, with_track_keys
+from linkrank.runtime import materialize
 from linkrank.sources.files import delete_where
 from linkrank.sources.replies import release_years
 
@@ -81,7 +82,11 @@ def absent_from_archive(collapsed: DataFrame, songs: DataFrame, cut: Cutoffs) ->
 
 def gems(tracks: DataFrame, songs: DataFrame, cut: Cutoffs, drop_variants: bool = True) -> DataFrame:
     found = absent_from_archive(collapse(devoted(tracks, cut), cut), songs, cut)
-    return delete_where(found, has_any_marker(F.col("track"))) if drop_variants else found
+    return without_variants(found) if drop_variants else found
+
+
+def without_variants(found: DataFrame) -> DataFrame:
+    return delete_where(found, has_any_marker(F.col("track")))
 
 
 def devotion_order() -> list[Column]:
@@ -232,12 +237,12 @@ def decade_match_report(years: DataFrame) -> DataFrame:
 
 
 def shrink_ledger(chart: DataFrame, tracks: DataFrame, cut: Cutoffs) -> DataFrame:
-    """Named row counts along the build."""
-    songs = song_grain(chart, cut.rungs)
+    """Named row counts along the build; the two costly stages are stored once."""
+    songs = materialize(song_grain(chart, cut.rungs))
     roster = known_artists(songs, cut.min_songs)
     kept = devoted(tracks, cut)
-    found = gems(tracks, songs, cut, drop_variants=False)
-    clean = gems(tracks, songs, cut)
+    found = materialize(gems(tracks, songs, cut, drop_variants=False))
+    clean = without_variants(found)
     return ledger(
         {
             "chart_entries": chart,

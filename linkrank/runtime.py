@@ -41,8 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, under one folder per application.
+
+    Nothing is deleted here: drop the application's folder when its results are no
+    longer read.
+    """
+    home = f"{shared_dir(spark).rstrip('/')}/linkrank/{spark.sparkContext.applicationId}"
+    return f"{home}/{name}-{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
