@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkrank.functions.text import ascii_lower, cut_before
+from linkrank.functions.text import any_case, ascii_lower, cut_before
 
 # Credit joiners, most specific first.
 CREDIT_RUNGS = (" A Duet With ", " Duet With ", " Featuring ", " With ")
@@ -33,11 +33,8 @@ def primary_entity(col: Column, rungs=CREDIT_RUNGS) -> Column:
 def title_cut_tail(col: Column, tails=TITLE_TAILS) -> Column:
     """Drop a guest tail, found without regard to ASCII case; the rest keeps its case."""
     out = col
-    lowered = ascii_lower(col)
     for tail in reversed(tails):
-        out = F.when(
-            F.contains(lowered, F.lit(tail)), cut_before(col, tail, ignore_case=True)
-        ).otherwise(out)
+        out = F.when(col.rlike(any_case(tail)), cut_before(col, tail, ignore_case=True)).otherwise(out)
     return out
 
 

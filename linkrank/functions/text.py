@@ -33,6 +33,12 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def any_case(literal: str) -> str:
+    """Pattern for a literal text in any ASCII case. Positions are those of the text
+    itself, which lowering a copy of it would not guarantee outside ASCII."""
+    return f"(?i)\\Q{literal}\\E"
+
+
 def contains_ci(col: Column, needle: str) -> Column:
     """SQL ``LIKE '%needle%'`` without regard to case; wildcards in needle are literal."""
     escaped = needle.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
@@ -56,7 +62,7 @@ def cut_before(col: Column, delimiter: str, ignore_case: bool = False) -> Column
     """Text before the first delimiter, or the whole text when it is absent."""
     if not ignore_case:
         return F.substring_index(col, delimiter, 1)
-    return F.substr(col, F.lit(1), F.length(F.substring_index(ascii_lower(col), delimiter.lower(), 1)))
+    return F.split(col, any_case(delimiter), 2)[0]
 
 
 def decade_of_date(col: Column) -> Column:

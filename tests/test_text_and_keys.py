@@ -187,3 +187,11 @@ def test_strip_quotes_and_first_tag(spark):
 def test_ratio_rounds_and_guards(spark, top, bottom, expected):
     df = spark.createDataFrame([(top, bottom)], "a bigint, b bigint")
     assert df.select(F.round(tx.ratio(F.col("a"), F.col("b")), 1).alias("r")).first()["r"] == expected
+
+
+def test_cut_before_ignores_ascii_case_only(spark):
+    check(
+        spark,
+        lambda c: tx.cut_before(c, " Ké ", ignore_case=True),
+        [("a kÉ b", "a kÉ b"), ("a KÉ b", "a KÉ b"), ("a ké b", "a"), ("a Ké b ké c", "a"), ("Ké", "Ké")],
+    )
