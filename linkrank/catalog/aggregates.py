@@ -2,9 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from linkrank.catalog.filters import roster, songs
+from linkrank.catalog.filters import roster as known_roster, songs
 from linkrank.catalog.registry import CUT, query
-from linkrank.catalog.sql import GEM_STAGES, RAW_GEM_STAGES, SONG_STAGES, SONGS, TOP_STAGES, ladder
+from linkrank.catalog.sql import (
+    GEM_STAGES,
+    RAW_GEM_STAGES,
+    SONG_STAGES,
+    SONGS,
+    TOP,
+    TOP_STAGES,
+    ladder,
+    roster,
+)
 from linkrank.functions.keys import primary_entity
 from linkrank.functions.text import contains_ci, decade_ladder, decade_of_date, has_any_marker, ratio
 from linkrank.operators import aggregates as ag
@@ -16,6 +25,9 @@ from linkrank.runtime import materialize
 from linkrank.sources.replies import release_years
 from linkrank.sources.standins import POSITIONS, with_sql
 
+# The roster spans few artists with many songs each, so the strict cutoffs are high.
+ROSTER_CUTOFFS = (3, 20, 25)
+
 
 @query("count_all", with_sql("chart", "SELECT count(*) AS total_rows FROM chart"))
 def count_all(t):
@@ -140,7 +152,7 @@ def threshold_survivors(t):
     with_sql("chart", "SELECT primary_artist, songs_charted, career_peak FROM known_artists", SONG_STAGES),
 )
 def entity_roster(t):
-    return roster(t)
+    return known_roster(t)
 
 
 @query(
@@ -153,7 +165,7 @@ def entity_roster(t):
     ),
 )
 def case_twins(t):
-    return ag.case_twins(roster(t))
+    return ag.case_twins(known_roster(t))
 
 
 @query(
@@ -268,6 +280,8 @@ def group_dedup(t):
     with_sql(
         "chart stats",
         """SELECT count_if(lower(track) LIKE '%remix%')::bigint AS remixes,
+        count_if(regexp_matches(lower(track), 'instrumental|[(]inst'))::bigint AS instrumentals,
+        count_if(regexp_matches(lower(track), 'sped up|slowed'))::bigint AS speed_variants,
         count_if(lower(track) LIKE '%version%' OR lower(track) LIKE '% ver.%')::bigint AS versions,
         count_if(lower(track) LIKE '% live%' OR lower(track) LIKE '%(live%')::bigint AS live_cuts,
         count(*) AS hidden_tier_total FROM gems WHERE tier = 'hidden gem'""",
@@ -276,7 +290,13 @@ def group_dedup(t):
 )
 def variant_counts(t):
     hidden = plan.gems(t.stats, songs(t), CUT, drop_variants=False).where(F.col("tier") == "hidden gem")
-    kinds = {"remixes": ("remix",), "versions": ("version", " ver."), "live_cuts": (" live", "(live")}
+    kinds = {
+        "remixes": ("remix",),
+        "instrumentals": ("instrumental", "(inst"),
+        "speed_variants": ("sped up", "slowed"),
+        "versions": ("version", " ver."),
+        "live_cuts": (" live", "(live"),
+    }
     return hidden.agg(
         *[F.count_if(has_any_marker(F.col("track"), marks)).alias(name) for name, marks in kinds.items()],
         F.count("*").alias("hidden_tier_total"),
@@ -301,6 +321,24 @@ def group_match_rate(t):
 
 @query(
     "roster_cutoff_compare",
+    with_sql(
+        "chart stats",
+        " UNION ALL ".join(
+            f"""(WITH {roster(n).strip()}, {TOP.strip()} SELECT *, {n} AS min_songs FROM top_gems)"""
+            for n in ROSTER_CUTOFFS
+        ),
+        GEM_STAGES,
+    ),
+)
+def roster_cutoff_compare(t):
+    """The final list under a looser and two stricter meanings of "known"."""
+    grain = materialize(songs(t))
+    found = materialize(plan.gems(t.stats, grain, CUT))
+    return plan.rosters_compared(found, grain, CUT, ROSTER_CUTOFFS)
+
+
+@query(
+    "roster_cutoff_sizes",
     with_sql(
         "chart",
         f"""SELECT cutoff, count(*) AS roster_size, min(career_peak) AS best_peak, sum(songs_charted)::bigint AS songs
@@ -309,7 +347,7 @@ def group_match_rate(t):
         SONGS,
     ),
 )
-def roster_cutoff_compare(t):
+def roster_cutoff_sizes(t):
     """Roster at 3+, 5+ and 10+ songs: each artist counts towards every cutoff it passes."""
     passed = F.filter(F.array(F.lit(3), F.lit(5), F.lit(10)), lambda c: F.col("songs_charted") >= c)
     return (

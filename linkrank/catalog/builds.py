@@ -13,8 +13,8 @@ GEM_COLUMNS = ["artist", "track", "listeners", "playcount", "plays_per_listener"
 GEMS_SQL = with_sql("chart stats", f"SELECT {', '.join(GEM_COLUMNS)} FROM gems", GEM_STAGES)
 
 
-def top(t):
-    grain = materialize(songs(t))
+def top(t, chart=None):
+    grain = materialize(ag.song_grain(t.chart if chart is None else chart, CUT.rungs))
     return plan.top_gems(plan.gems(t.stats, grain, CUT), ag.known_artists(grain, CUT.min_songs), CUT)
 
 
@@ -47,8 +47,9 @@ era AS (SELECT lower({ladder('performer')}) AS artist_lower, min(chart_week) AS
     ),
 )
 def page_build(t):
-    frozen = materialize(top(t))
-    return plan.gem_page(frozen, t.details, plan.first_last_seen(t.chart, CUT), CUT.roster_size)
+    chart = materialize(t.chart)
+    frozen = materialize(top(t, chart))
+    return plan.gem_page(frozen, t.details, plan.first_last_seen(chart, CUT), CUT.roster_size)
 
 
 SCORED = """

@@ -8,6 +8,7 @@ chain meets one row per key and needs no special path for hot keys.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,19 @@ def top_gems(found: DataFrame, roster: DataFrame, cut: Cutoffs) -> DataFrame:
     )
 
 
+def rosters_compared(
+    found: DataFrame, songs: DataFrame, cut: Cutoffs, cutoffs: tuple[int, ...] = (3, 10)
+) -> DataFrame:
+    """The final list rebuilt for each roster cutoff, labelled with it.
+
+    Store ``found`` and ``songs`` first: each cutoff reads them.
+    """
+    lists = [
+        top_gems(found, known_artists(songs, n), cut).withColumn("min_songs", F.lit(n)) for n in cutoffs
+    ]
+    return reduce(DataFrame.unionByName, lists)
+
+
 def first_last_seen(chart: DataFrame, cut: Cutoffs, mapping: DataFrame | None = None) -> DataFrame:
     """First and last archive week per lead artist.
 
