@@ -20,9 +20,11 @@ from linkrank.operators.rank import top_k
 from linkrank.operators.review import KEYS, with_song_keys
 from linkrank.plans import gems as plan
 from linkrank.runtime import materialize
+from linkrank.sources.files import store_by_key
 from linkrank.sources.standins import with_sql
 
 LINK = stages(SONGS, song_keys(), devoted())
+STORED_BUCKETS = 16
 TRACK_COLUMNS = ["artist", "track", "listeners", "plays_per_listener"]
 
 
@@ -68,6 +70,27 @@ def match_rate(t):
     return jn.match_rate(plan.devoted(t.stats, CUT), keyed_songs(t), KEYS)
 
 
+@query(
+    "stored_keys_join",
+    with_sql(
+        "chart stats",
+        """SELECT artist_key, title_key, tracks, songs FROM
+        (SELECT artist_key, title_key, count(*) AS tracks FROM devoted GROUP BY ALL)
+        LEFT JOIN (SELECT artist_key, title_key, count(*) AS songs FROM song_keys GROUP BY ALL)
+        USING (artist_key, title_key)""",
+        LINK,
+    ),
+)
+def stored_keys_join(t):
+    """Both sides stored by match key, one row each, and joined without a shuffle."""
+    tracks = jn.one_row_per_key(plan.devoted(t.stats, CUT), KEYS, F.count("*").alias("tracks"))
+    archive = jn.one_row_per_key(keyed_songs(t), KEYS, F.count("*").alias("songs"))
+    run = t.spark.sparkContext.applicationId.replace("-", "_")
+    left = store_by_key(tracks, f"linkrank_track_keys_{run}", KEYS, STORED_BUCKETS)
+    right = store_by_key(archive, f"linkrank_song_keys_{run}", KEYS, STORED_BUCKETS)
+    return left.join(right, KEYS, "left")
+
+
 UNMATCHED = "FROM devoted ANTI JOIN song_keys USING (artist_key, title_key)"
 
 

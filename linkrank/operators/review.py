@@ -52,14 +52,16 @@ def key_rule_uplift(tracks: DataFrame, songs: DataFrame, levels=LEVELS) -> DataF
 def false_merge_check(songs: DataFrame, level: int = 3) -> DataFrame:
     """Keys under which one entity owns several titles, with the first and last of them.
 
-    The count and the two witnesses fit in a fixed-size buffer; the titles of a key
-    are never collected.
+    Copies go first, so keys are worked out once per distinct title. The count and
+    the two witnesses fit in a fixed-size buffer; the titles of a key are never
+    collected.
     """
+    spellings = songs.select(artist_key(F.col("primary_artist")).alias("artist_key"), "title").distinct()
     return (
-        with_song_keys(songs, level)
+        spellings.withColumn("title_key", song_key(F.col("title"), level))
         .groupBy(*KEYS)
         .agg(
-            F.countDistinct("title").alias("titles"),
+            F.count("*").alias("titles"),
             F.min("title").alias("first_title"),
             F.max("title").alias("last_title"),
         )

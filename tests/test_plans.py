@@ -50,3 +50,12 @@ def test_best_n_is_cut_before_the_shuffle(spark):
         plan = plan_of(QUERIES[key](spark, SF))
         assert re.search(r"WindowGroupLimit [^\n]*Partial", plan), key
     assert "TakeOrderedAndProject" in plan_of(QUERIES["topk"](spark, SF))
+
+
+def test_stored_keys_join_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = plan_of(QUERIES["stored_keys_join"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
