@@ -58,13 +58,16 @@ def lookup_join(
     on: list[str],
     how: str = "left",
     min_hot_rows: int | None = None,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Join many rows to a side with one row per key, safe against hot keys.
 
     ``right`` must be unique on ``on`` (see :func:`one_row_per_key`). Rows of hot
     keys meet their at most MAX_HOT partners in a broadcast join and are never
     shuffled; all other rows take the ordinary shuffled join. Where nothing is hot
-    the plan is the plain join.
+    the plan is the plain join. ``left`` is read once to look for hot keys and, where
+    there are some, once per path: store it first when it is costly. ``hot`` hands
+    over the hashes when the caller has them already.
     """
     left_types = dict(left.dtypes)
     right = right.select(
@@ -73,7 +76,7 @@ def lookup_join(
             for c in right.columns
         ]
     )
-    hot = hot_hashes(left, on, min_hot_rows)
+    hot = hot_hashes(left, on, min_hot_rows) if hot is None else hot
     if not hot:
         return left.join(right, on, how)
     is_hot = F.xxhash64(*on).isin(hot)

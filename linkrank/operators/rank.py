@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkrank.operators.joins import lookup_join
+from linkrank.operators.joins import hot_hashes, lookup_join
 from linkrank.runtime import materialize
 
 
@@ -60,16 +60,34 @@ def value_ranks(df: DataFrame, col: str, out: str, partition_by: tuple[str, ...]
     )
 
 
-def percent_rank_at_scale(
-    df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = (), **options
+def percent_ranks_at_scale(
+    df: DataFrame, ranks: dict[str, str], partition_by: tuple[str, ...] = (), min_hot_rows: int | None = None
 ) -> DataFrame:
-    """``PERCENT_RANK() OVER ([PARTITION BY ...] ORDER BY col)`` without a one-task sort.
+    """``PERCENT_RANK() OVER ([PARTITION BY ...] ORDER BY col)`` without a one-task sort,
+    for each ``col -> output name`` of ``ranks``.
 
-    NULLs rank first, hence 0. Group columns must not be NULL.
+    NULLs rank first, hence 0. Group columns must not be NULL. Values are counted on
+    ``df`` itself, so no rank waits for another one's join; ``df`` is read several
+    times: store it first when it is costly.
     """
-    ranks = value_ranks(df, col, out, partition_by).where(F.col(col).isNotNull())
-    joined = lookup_join(df, ranks, [*partition_by, col], "left", **options)
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.0)))
+    keys = {col: [*partition_by, col] for col in ranks}
+    hot = {col: hot_hashes(df, keys[col], min_hot_rows) for col in ranks}
+    found = {col: value_ranks(df, col, out, partition_by) for col, out in ranks.items()}
+    out_df = df
+    for i, (col, out) in enumerate(ranks.items()):
+        if i and hot[col]:
+            out_df = materialize(out_df)
+        known = found[col].where(F.col(col).isNotNull())
+        out_df = lookup_join(out_df, known, keys[col], "left", hot=hot[col])
+        out_df = out_df.withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return out_df
+
+
+def percent_rank_at_scale(
+    df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = (), min_hot_rows: int | None = None
+) -> DataFrame:
+    """One percent rank; see :func:`percent_ranks_at_scale`."""
+    return percent_ranks_at_scale(df, {col: out}, partition_by, min_hot_rows)
 
 
 def weighted_score(weights: dict[str, float]) -> Column:
@@ -85,12 +103,10 @@ def composite_score(
     df: DataFrame, weights: dict[str, float], out: str, partition_by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Composite percentile score over a table of any size."""
-    columns = df.columns
-    ranked = {col: f"__pr{i}" for i, col in enumerate(weights)}
-    for col, name in ranked.items():
-        df = percent_rank_at_scale(df, col, name, partition_by)
-    score = weighted_score({ranked[col]: w for col, w in weights.items()})
-    return df.select(*columns, score.alias(out))
+    names = {col: f"__pr{i}" for i, col in enumerate(weights)}
+    ranked = percent_ranks_at_scale(df, names, partition_by)
+    score = weighted_score({names[col]: w for col, w in weights.items()})
+    return ranked.select(*df.columns, score.alias(out))
 
 
 def top_n_per_group(df: DataFrame, group: list, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
