@@ -6,7 +6,8 @@ from linkrank.catalog.sql import GEM_STAGES, TOP_STAGES, ladder, stages
 from linkrank.operators import aggregates as ag
 from linkrank.operators.joins import lookup_join
 from linkrank.plans import gems as plan
-from linkrank.runtime import materialize
+from linkrank.runtime import materialize, scratch_path
+from linkrank.sources import files
 from linkrank.sources.standins import with_sql
 
 GEM_COLUMNS = ["artist", "track", "listeners", "playcount", "plays_per_listener", "tier"]
@@ -108,6 +109,23 @@ def decade_build(t):
     return resolved(t)
 
 
+@query(
+    "release_years_csv",
+    with_sql(
+        "chart stats",
+        """SELECT artist, track, debut_decade, release_year,
+        coalesce(left(cast(release_year AS varchar), 3) || '0s', '') AS release_decade, mb_score,
+        cast(release_year IS NOT NULL AS int) AS matched FROM years""",
+        stages(GEM_STAGES, SCORED),
+    ),
+)
+def release_years_csv(t):
+    """The resolved years as a dated CSV, read back under its contract; no year is a blank."""
+    rows = resolved(t).select(*files.RELEASE_YEARS.names)
+    path = files.write_dated_csv(rows, scratch_path(t.spark, "years"), "2026-07-20")
+    return files.read_csv_contract(t.spark, path, files.RELEASE_YEARS).good
+
+
 @query(
     "decade_match_report",
     with_sql(

@@ -9,18 +9,44 @@ from pyspark.sql import functions as F
 from linkrank.operators.joins import hot_hashes, lookup_join
 from linkrank.runtime import materialize
 
+# Spark's own limit for cutting a row-number filter before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+EARLY_CUT = 1000
+
 
 def percent_rank_small(order: str, partition_by: tuple[str, ...] = ()) -> Column:
     """Plain window, for inputs whose size is bounded (a frozen top-k list)."""
     return F.percent_rank().over(W.partitionBy(*partition_by).orderBy(F.col(order).asc_nulls_first()))
 
 
+def _slotted(df: DataFrame, order: list) -> DataFrame:
+    """``df`` range-partitioned by ``order``, with the number of each row's slot.
+
+    Stored, so that a lost executor cannot move a row to another slot.
+    """
+    return materialize(df.repartitionByRange(*order).withColumn("__slot", F.spark_partition_id()))
+
+
+def _slot_starts(slotted: DataFrame, parts: list, size: Column) -> DataFrame:
+    """Rows before each slot and rows in all, per group: one row per group and slot."""
+    lower_slots = W.partitionBy(*parts).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
+    return (
+        slotted.groupBy(*parts, "__slot")
+        .agg(size.alias("__size"))
+        .select(
+            *parts,
+            "__slot",
+            F.coalesce(F.sum("__size").over(lower_slots), F.lit(0)).alias("__start"),
+            F.sum("__size").over(W.partitionBy(*parts)).alias("__total"),
+        )
+    )
+
+
 def value_ranks(df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Percent rank of every distinct value of ``col`` (per ``partition_by``).
 
     1. count rows per value, which takes all ties out on the map side;
-    2. range-partition the values and note the slot of each one; the result is
-       written to a table, so a lost executor cannot move a value to another slot;
+    2. range-partition the values into slots;
     3. add up the slots, of which there are as many as shuffle partitions;
     4. rows below a value = rows in lower slots + rows below it in its own slot.
 
@@ -28,22 +54,8 @@ def value_ranks(df: DataFrame, col: str, out: str, partition_by: tuple[str, ...]
     """
     parts = list(partition_by)
     histogram = df.groupBy(*parts, col).agg(F.count("*").alias("__n"))
-    slotted = materialize(
-        histogram.repartitionByRange(*parts, F.col(col).asc_nulls_first()).withColumn(
-            "__slot", F.spark_partition_id()
-        )
-    )
-    lower_slots = W.partitionBy(*parts).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        slotted.groupBy(*parts, "__slot")
-        .agg(F.sum("__n").alias("__n"))
-        .select(
-            *parts,
-            "__slot",
-            F.coalesce(F.sum("__n").over(lower_slots), F.lit(0)).alias("__start"),
-            F.sum("__n").over(W.partitionBy(*parts)).alias("__total"),
-        )
-    )
+    slotted = _slotted(histogram, [*parts, F.col(col).asc_nulls_first()])
+    starts = _slot_starts(slotted, parts, F.sum("__n"))
     within = (
         W.partitionBy(*parts, "__slot")
         .orderBy(F.col(col).asc_nulls_first())
@@ -109,17 +121,39 @@ def composite_score(
     return ranked.select(*df.columns, score.alias(out))
 
 
-def top_n_per_group(df: DataFrame, group: list, order: list[Column], n: int, rank: str | None = None) -> DataFrame:
-    """Best n rows of each group; ``order`` must be total.
+def top_n_per_group(
+    df: DataFrame, group: list[str], order: list[Column], n: int, rank: str | None = None
+) -> DataFrame:
+    """Best n rows of each group; ``order`` must be total. ``rank`` keeps the row number.
 
     Spark cuts every task's rows to n per group before the shuffle, so a hot group
-    arrives as n rows per task.
+    arrives as n rows per task. It stops doing so above EARLY_CUT; longer lists are
+    numbered slot by slot instead.
     """
     name = rank or "__rank"
-    ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-    kept = ranked.where(F.col(name) <= n)
+    if n <= EARLY_CUT:
+        number = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        kept = df.withColumn(name, number).where(F.col(name) <= n)
+    else:
+        kept = _long_lists(df, group, order, n, name)
     return kept if rank else kept.drop(name)
 
 
+def _long_lists(df: DataFrame, group: list[str], order: list[Column], n: int, name: str) -> DataFrame:
+    """Row number = rows of the group in lower slots + row number in the own slot.
+
+    Slots that start beyond n are dropped before any sort.
+    """
+    slotted = _slotted(df, [*group, *order])
+    starts = _slot_starts(slotted, group, F.count("*")).where(F.col("__start") < n)
+    inside = F.row_number().over(W.partitionBy(*group, "__slot").orderBy(*order))
+    return (
+        slotted.join(starts, [*group, "__slot"])
+        .withColumn(name, (F.col("__start") + inside).cast("int"))
+        .where(F.col(name) <= n)
+        .select(*df.columns, name)
+    )
+
+
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)

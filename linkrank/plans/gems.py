@@ -188,7 +188,7 @@ def gem_page(
         score = weighted_score({f"__{col}": w for col, w in SCORE_WEIGHTS.items()})
         page = page.withColumns(ranks).withColumn("gem_score", score)
     else:
-        page = composite_score(page, SCORE_WEIGHTS, "gem_score")
+        page = composite_score(materialize(page), SCORE_WEIGHTS, "gem_score")
     return page.select(
         "artist",
         "track",

@@ -137,3 +137,26 @@ def test_false_merges(frame):
         ("a", ""): (2, "?", "The"),
         ("b", "paint it black"): (2, "Paint It Black", "Paint It, Black"),
     }
+
+
+def test_long_lists_match_the_plain_window(skewed, monkeypatch):
+    """Above Spark's early cut the rows are numbered slot by slot."""
+    order = [F.desc("v")]
+    number = F.row_number().over(W.partitionBy("k").orderBy(*order))
+    for n in (1_500, 25_000):
+        got = rank.top_n_per_group(skewed.where("k IS NOT NULL"), ["k"], order, n, rank="rk")
+        expected = skewed.where("k IS NOT NULL").withColumn("rk", number).where(F.col("rk") <= n)
+        assert got.dtypes == expected.dtypes
+        assert rows(got) == rows(expected)
+
+
+@settings(max_examples=5, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from("aaaab"), st.integers(0, 9)), min_size=1, max_size=80),
+    st.lists(st.sampled_from("abc"), unique=True, max_size=3),
+)
+def test_lookup_join_property(spark, left, right):
+    a = spark.createDataFrame(left, "k string, v int")
+    b = spark.createDataFrame([(k, k * 2) for k in right], "k string, w string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert rows(jn.lookup_join(a, b, ["k"], how, min_hot_rows=0)) == rows(a.join(b, ["k"], how))
