@@ -90,6 +90,18 @@ def file_size_check(t):
     return files.file_sizes(t.spark, f"{t.folder}/*.parquet")
 
 
+@query(
+    "written_bytes_check",
+    """SELECT cast(sum(octet_length(encode(track)) + 1) AS bigint) AS bytes FROM
+    (SELECT unnest(string_split(text, chr(10))) AS track FROM documents)""",
+)
+def written_bytes_check(t):
+    """Length of a written file set: every line and its line end."""
+    path = scratch_path(t.spark, "lines")
+    t.lines.select("track").write.text(path)
+    return files.file_sizes(t.spark, path).agg(F.sum("bytes").alias("bytes"))
+
+
 # Reply parsing. The SQL reads the columns the replies were built from, not the replies.
 
 

@@ -75,14 +75,14 @@ def collapse(devoted_tracks: DataFrame, cut: Cutoffs) -> DataFrame:
     ).withColumn("tier", tier(F.col("listeners"), cut.low_tier, cut.high_tier))
 
 
-def absent_from_archive(collapsed: DataFrame, songs: DataFrame, cut: Cutoffs) -> DataFrame:
-    """Keys never seen in the archive. Both sides hold one row per key."""
-    keys = one_row_per_key(with_song_keys(songs, cut.key_level), KEYS)
-    return collapsed.join(keys, KEYS, "left_anti")
+def absent_from_archive(collapsed: DataFrame, song_keys: DataFrame) -> DataFrame:
+    """Keys never seen in the archive. Both sides meet with one row per key."""
+    return collapsed.join(one_row_per_key(song_keys, KEYS), KEYS, "left_anti")
 
 
 def gems(tracks: DataFrame, songs: DataFrame, cut: Cutoffs, drop_variants: bool = True) -> DataFrame:
-    found = absent_from_archive(collapse(devoted(tracks, cut), cut), songs, cut)
+    song_keys = with_song_keys(songs, cut.key_level)
+    found = absent_from_archive(collapse(devoted(tracks, cut), cut), song_keys)
     return without_variants(found) if drop_variants else found
 
 

@@ -190,3 +190,37 @@ def test_six_dimensions_report_each_defect(frame):
         "accuracy": 1,
         "timeliness": 1,
     }
+
+
+def test_whole_analysis_from_files(spark, folder, chart, tracks, frame):
+    from linkrank.plans.analysis import run
+    from linkrank.sources import files
+
+    chart_csv = files.write_dated_csv(chart, f"{folder}/chart", "2026-07-13")
+    files.write_dated_csv(tracks.limit(1), f"{folder}/tracks", "2026-06-14")
+    files.write_dated_csv(tracks, f"{folder}/tracks", "2026-07-14")
+    details = frame(
+        [("Tyler, The Creator", "Gem", "LP", "rap|pop", 61_000)],
+        "artist string, track string, album string, tags string, duration_ms bigint",
+    )
+    files.write_dated_csv(details, f"{folder}/details", "2026-07-15")
+    for _ in range(2):
+        tables = run(
+            spark, chart_csv, f"{folder}/tracks", f"{folder}/details", f"{folder}/out", CUT, "2026-07-14"
+        )
+    counts = {name: df.count() for name, df in tables.items()}
+    assert counts == {
+        "rejected_chart_rows": 0,
+        "chart_entries": 8,
+        "artist_songs": 7,
+        "known_artists": 3,
+        "song_keys": 7,
+        "devoted_tracks": 10,
+        "gems": 7,
+        "top_gems": 3,
+        "gem_page": 3,
+    }
+    assert tables["gem_page"].columns == [
+        "artist", "track", "listeners", "playcount", "plays_per_listener", "album", "genre", "tags",
+        "duration", "debut_decade", "gem_score",
+    ]
