@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from linkrank.catalog.registry import CUT, query
-from linkrank.catalog.sql import GEM_STAGES, SONG_STAGES, SONGS, markers, stages
+from linkrank.catalog.sql import GEM_STAGES, SONG_STAGES, SONGS, markers
 from linkrank.functions.text import contains_ci, has_any_marker, ratio
 from linkrank.operators import aggregates as ag
 from linkrank.operators import profile as pf

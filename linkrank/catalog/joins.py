@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from linkrank.catalog.filters import roster, songs
 from linkrank.catalog.registry import CUT, query
 from linkrank.catalog.sql import (
-    DEVOTION,
     GEM_STAGES,
     SONG_STAGES,
     SONGS,
