@@ -185,7 +185,7 @@ def parse_recordings_json(t):
     return found.select(
         "o_orderkey",
         F.size("recordings").alias("recordings"),
-        first["score"].alias("first_score"),
+        first["score"].try_cast("int").alias("first_score"),
         first["first-release-date"].alias("first_date"),
     )
 

@@ -13,23 +13,29 @@ TRACK_INFO = (
     " toptags: struct<tag: array<struct<name: string>>>, duration: string>>"
 )
 TOP_TAGS = "struct<toptags: struct<tag: array<struct<name: string>>>>"
-RECORDINGS = (
-    "struct<recordings: array<struct<score: int, `first-release-date`: string,"
-    " releases: array<struct<date: string>>>>>"
+LIST_OF_RECORDINGS = (
+    "array<struct<score: string, `first-release-date`: string, releases: array<struct<date: string>>>>"
 )
+RECORDINGS = f"struct<recordings: {LIST_OF_RECORDINGS}>"
 
 LIST_MARK = "|"
+# Member of a parsed reply that holds the text of an unreadable one.
+UNREADABLE = "_unreadable"
 
 
 def parse(body: Column, shape: str) -> Column:
-    """Reply text as a struct. Malformed text parses to a struct of NULLs, so test
-    :func:`is_failed` on the text, not on the struct."""
-    return F.from_json(body, shape)
+    """Reply text as a struct. Keep it in a column of its own, so that it is parsed once."""
+    marked = f"{shape.removesuffix('>')}, {UNREADABLE}: string>"
+    return F.from_json(body, marked, {"columnNameOfCorruptRecord": UNREADABLE})
 
 
-def is_failed(body: Column) -> Column:
-    """No reply, or a reply that is not a JSON object."""
-    return body.isNull() | F.json_object_keys(body).isNull()
+def is_failed(reply: Column) -> Column:
+    """No reply, or a reply that is not JSON of the expected shape."""
+    return reply.isNull() | reply[UNREADABLE].isNotNull()
+
+
+def _score(recording: Column) -> Column:
+    return F.coalesce(recording["score"].try_cast("int"), F.lit(0))
 
 
 def top_names(tags: Column, n: int = 3) -> Column:
@@ -48,7 +54,7 @@ def has_tag(tags: Column, tag: str) -> Column:
 
 def earliest_year(recordings: Column, min_score: int = 90) -> Column:
     """Smallest year of any dated release among confidently matched recordings."""
-    trusted = F.filter(recordings, lambda r: F.coalesce(r["score"], F.lit(0)) >= min_score)
+    trusted = F.filter(recordings, lambda r: _score(r) >= min_score)
     dates = F.flatten(
         F.transform(
             trusted,
@@ -65,8 +71,7 @@ def earliest_year(recordings: Column, min_score: int = 90) -> Column:
 
 
 def best_score(recordings: Column) -> Column:
-    scores = F.transform(recordings, lambda r: F.coalesce(r["score"], F.lit(0)))
-    return F.coalesce(F.array_max(scores), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(recordings, _score)), F.lit(0))
 
 
 def blend_decade(release_decade: Column, debut_decade: Column) -> Column:

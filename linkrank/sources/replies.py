@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkrank.functions.nested import (
+    LIST_OF_RECORDINGS,
     RECORDINGS,
     TOP_TAGS,
     TOP_TRACKS,
@@ -27,8 +28,9 @@ def _text(col, default: str = ""):
 def parse_toptracks(df: DataFrame, artist: str = "artist", body: str = "body") -> DataFrame:
     """One row per track of every readable reply; missing members become ''."""
     return (
-        df.where(~is_failed(F.col(body)))
-        .select(artist, F.inline(parse(F.col(body), TOP_TRACKS)["toptracks"]["track"]))
+        df.select(artist, parse(F.col(body), TOP_TRACKS).alias("reply"))
+        .where(~is_failed(F.col("reply")))
+        .select(artist, F.inline("reply.toptracks.track"))
         .select(
             artist,
             _text(F.col("name")).alias("track"),
@@ -40,21 +42,28 @@ def parse_toptracks(df: DataFrame, artist: str = "artist", body: str = "body") -
 
 def parse_trackinfo(df: DataFrame, body: str = "body") -> DataFrame:
     """Album, first three tags and duration; a failed reply keeps its row with defaults."""
-    info = parse(F.col(body), TRACK_INFO)["track"]
     keep = [c for c in df.columns if c != body]
-    return df.select(
+    read = df.select(*keep, parse(F.col(body), TRACK_INFO).alias("reply")).withColumn(
+        "failed", is_failed(F.col("reply"))
+    )
+    info = F.when(~F.col("failed"), F.col("reply.track"))
+    return read.select(
         *keep,
         _text(info["album"]["title"]).alias("album"),
         top_names(info["toptags"]["tag"]).alias("tags"),
         _text(info["duration"], "0").alias("duration_ms"),
-        is_failed(F.col(body)).alias("failed"),
+        "failed",
     )
 
 
 def parse_toptags(df: DataFrame, owner: str, body: str = "body") -> DataFrame:
     """First three tags of each owner, one row per owner."""
+    reply = F.col("reply")
+    tags = F.when(~is_failed(reply), reply["toptags"]["tag"])
     return one_row_per_key(
-        df.select(owner, top_names(parse(F.col(body), TOP_TAGS)["toptags"]["tag"]).alias("tags")),
+        df.select(owner, parse(F.col(body), TOP_TAGS).alias("reply")).select(
+            owner, top_names(tags).alias("tags")
+        ),
         [owner],
         F.max("tags").alias("owner_tags"),
     )
@@ -62,10 +71,12 @@ def parse_toptags(df: DataFrame, owner: str, body: str = "body") -> DataFrame:
 
 def parse_recordings(df: DataFrame, body: str = "body") -> DataFrame:
     """The recordings list of each reply, an empty list where there is none."""
-    empty = F.array().cast("array<struct<score:int,`first-release-date`:string,releases:array<struct<date:string>>>>")
-    found = parse(F.col(body), RECORDINGS)["recordings"]
     keep = [c for c in df.columns if c != body]
-    return df.select(*keep, F.coalesce(found, empty).alias("recordings"))
+    reply = F.col("reply")
+    found = F.when(~is_failed(reply), reply["recordings"])
+    return df.select(*keep, parse(F.col(body), RECORDINGS).alias("reply")).select(
+        *keep, F.coalesce(found, F.array().cast(LIST_OF_RECORDINGS)).alias("recordings")
+    )
 
 
 def release_years(df: DataFrame, body: str = "body", min_score: int = 90) -> DataFrame:
@@ -100,6 +111,11 @@ def tag_fallback(items: DataFrame, owners: DataFrame, owner: str, tags: str = "t
     return joined.withColumn(tags, F.coalesce(own, "owner_tags", F.lit(""))).drop("owner_tags")
 
 
-def failures(df: DataFrame, body: str = "body") -> DataFrame:
-    """Requests without a usable reply; count these rows for the report."""
-    return df.where(is_failed(F.col(body))).drop(body)
+def failures(df: DataFrame, body: str = "body", shape: str = TOP_TRACKS) -> DataFrame:
+    """Requests without a usable reply of the given shape; count these rows for the report."""
+    keep = [c for c in df.columns if c != body]
+    return (
+        df.select(*keep, parse(F.col(body), shape).alias("reply"))
+        .where(is_failed(F.col("reply")))
+        .select(*keep)
+    )

@@ -99,11 +99,17 @@ def test_toptracks(frame):
         "bare": "{}",
         "broken": '{"toptracks":{"tra',
         "none": None,
+        "blank": "",
+        "page": "<html>",
+        "number": "12",
+        "other shape": '{"toptracks":{"track":"x"}}',
+        "extra": '{"toptracks":{"track":[{"name":"z","playcount":7,"more":[1]}],"attr":{"page":1}}}',
     }
     df = frame(list(bodies.items()), "artist string, body string")
     found = sorted(tuple(r) for r in rp.parse_toptracks(df).collect())
-    assert found == [("full", "x", "5", "2"), ("full", "y", "", "")]
-    assert sorted(r["artist"] for r in rp.failures(df).collect()) == ["broken", "none"]
+    assert found == [("extra", "z", "7", ""), ("full", "x", "5", "2"), ("full", "y", "", "")]
+    failed = sorted(r["artist"] for r in rp.failures(df).collect())
+    assert failed == ["blank", "broken", "none", "number", "other shape", "page"]
 
 
 def test_trackinfo_and_fallback(frame):
@@ -150,6 +156,7 @@ def test_release_years(frame):
         "low score": ([rec(89, "1960", [])], None, 89, "", 0),
         "mixed": ([rec(100, "2001"), rec(50, "1950"), rec(92, None, ["1998"])], 1998, 100, "1990s", 1),
         "no score": ([rec(None, "1950", ["1950"])], None, 0, "", 0),
+        "score as text": ([rec("91", "1950")], 1950, 91, "1950s", 1),
         "empty": ([], None, 0, "", 0),
     }
     rows = [(k, json.dumps({"recordings": v[0]})) for k, v in cases.items()]

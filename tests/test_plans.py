@@ -59,3 +59,10 @@ def test_stored_keys_join_without_a_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_each_reply_is_parsed_once(spark):
+    for key in ("parse_trackinfo_json", "decade_match_report", "group_match_rate", "blend_year"):
+        plan = plan_of(QUERIES[key](spark, SF))
+        branches = plan.count("from_json(")
+        assert branches == plan.count(" AS reply#"), key
