@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="linkrank-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="linkrank-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,7 @@ from linkrank import runtime
 def fake(master, named=None):
     conf = {"spark.checkpoint.dir": named} if named else {}
     return SimpleNamespace(
-        conf=SimpleNamespace(get=conf.get, set=conf.__setitem__),
+        conf=SimpleNamespace(get=conf.get),
         sparkContext=SimpleNamespace(master=master, applicationId="app-1"),
     )
 
