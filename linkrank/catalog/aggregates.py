@@ -189,7 +189,8 @@ def value_bands(t):
     with_sql(
         "stats",
         f"""SELECT count_if(r < 22)::bigint AS under_22, count_if(r >= 22 AND r < 24)::bigint AS band_22_24,
-        count_if(r >= 24 AND r < 26)::bigint AS band_24_26, count_if(r >= 26)::bigint AS band_26_plus
+        count_if(r >= 24 AND r < 26)::bigint AS band_24_26, count_if(r >= 26)::bigint AS band_26_plus,
+        count(*) AS floor_passing
         FROM (SELECT playcount::double / nullif(listeners, 0) AS r FROM stats WHERE listeners >= {CUT.min_listeners})""",
     ),
 )
@@ -197,20 +198,22 @@ def ratio_bands(t):
     above = t.stats.where(F.col("listeners") >= CUT.min_listeners).withColumn(
         "r", ratio(F.col("playcount"), F.col("listeners"))
     )
-    return ag.bands(above, "r", [22, 24, 26], ["under_22", "band_22_24", "band_24_26", "band_26_plus"])
+    names = ["under_22", "band_22_24", "band_24_26", "band_26_plus"]
+    return ag.bands(above, "r", [22, 24, 26], names, F.count("*").alias("floor_passing"))
 
 
 @query(
     "pattern_share",
     with_sql(
         "stats",
-        """SELECT count(*) AS total, count_if(track ILIKE '%(feat.%')::bigint AS feat_tails,
-        count_if(track ILIKE '%(with %')::bigint AS with_tails FROM stats WHERE track LIKE '%(%'""",
+        """SELECT count(*) AS total, count_if(track LIKE '%(%')::bigint AS tracks_with_parens,
+        count_if(track ILIKE '%(feat.%')::bigint AS feat_tails,
+        count_if(track ILIKE '%(with %')::bigint AS with_tails FROM stats""",
     ),
 )
 def pattern_share(t):
-    open_paren = t.stats.where(contains_ci(F.col("track"), "("))
-    return ag.pattern_counts(open_paren, "track", {"feat_tails": "(feat.", "with_tails": "(with "})
+    patterns = {"tracks_with_parens": "(", "feat_tails": "(feat.", "with_tails": "(with "}
+    return ag.pattern_counts(t.stats, "track", patterns)
 
 
 @query(

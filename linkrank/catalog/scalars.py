@@ -36,10 +36,10 @@ def concat_op(t):
     )
 
 
-@query("pad2", "SELECT p_partkey, lpad(cast(p_size % 60 AS varchar), 2, '0') AS padded FROM part")
+@query("pad2", "SELECT p_partkey, lpad(cast(p_size AS varchar), 2, '0') AS padded FROM part")
 def pad2(t):
     return t.table("part").select(
-        "p_partkey", F.lpad((F.col("p_size") % 60).cast("string"), 2, "0").alias("padded")
+        "p_partkey", F.lpad(F.col("p_size").cast("string"), 2, "0").alias("padded")
     )
 
 

@@ -80,11 +80,11 @@ def two_rankings(t):
 
 @query(
     "filtered_topk",
-    with_sql("chart stats", f"{SELECT} WHERE tier = 'middle band' ORDER BY {DEVOTION} LIMIT 25", GEM_STAGES),
+    with_sql("chart stats", f"{SELECT} WHERE tier = 'hidden gem' ORDER BY {DEVOTION} LIMIT 25", GEM_STAGES),
 )
 def filtered_topk(t):
-    middle = found(t).where(F.col("tier") == "middle band").select(*COLUMNS)
-    return top_k(middle, plan.devotion_order(), 25)
+    hidden = found(t).where(F.col("tier") == "hidden gem").select(*COLUMNS)
+    return top_k(hidden, plan.devotion_order(), 25)
 
 
 @query(
