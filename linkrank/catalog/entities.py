@@ -19,10 +19,12 @@ RUNGS = (" of the ", " of ", " and ")
 
 @query(
     "primary_entity",
-    with_sql("credits", f"SELECT doc_id, credit, {ladder('credit', RUNGS)} AS primary_artist FROM credits"),
+    with_sql("lines", f"SELECT track AS credit, {ladder('track', RUNGS)} AS primary_artist FROM lines"),
 )
 def primary_entity(t):
-    return t.credits.select("doc_id", "credit", ky.primary_entity(F.col("credit"), RUNGS).alias("primary_artist"))
+    """Every document line taken as a credit."""
+    lead = ky.primary_entity(F.col("track"), RUNGS).alias("primary_artist")
+    return t.lines.select(F.col("track").alias("credit"), lead)
 
 
 LADDERS = {2: (" Featuring ", " With "), 3: (" Duet With ", " Featuring ", " With "), 4: ky.CREDIT_RUNGS}

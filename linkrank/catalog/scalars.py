@@ -24,7 +24,9 @@ query("trim_spaces", line_sql("trim('  ' || track || ' ', ' ')"))(
     per_line(lambda c: F.trim(F.concat(F.lit("  "), c, F.lit(" "))))
 )
 query("instr_pos", line_sql("cast(instr(track, ' the ') AS int)"))(per_line(lambda c: F.instr(c, " the ")))
-query("substr_cut", line_sql("substr(track, 1, 12)"))(per_line(lambda c: F.substring(c, 1, 12)))
+query("substr_cut", line_sql("substr(track, 1, greatest(instr(track, ', ') - 1, 0))"))(
+    per_line(lambda c: F.substr(c, F.lit(1), F.greatest(F.instr(c, ", ") - 1, F.lit(0))))
+)
 query("cut_before", line_sql(cut_dash("track", ", ")))(per_line(lambda c: tx.cut_before(c, ", ")))
 query("replace_chain", line_sql(fold("track")))(per_line(fold_title))
 

@@ -167,16 +167,6 @@ class Inputs:
             )
         )
 
-    @cached_property
-    def credits(self) -> DataFrame:
-        """First line of every document as a credit of its source."""
-        return self.table("documents").select(
-            "doc_id",
-            F.col("source").alias("artist"),
-            F.substring_index("text", "\n", 1).alias("credit"),
-            "lang",
-        )
-
     @cached_property
     def lines(self) -> DataFrame:
         """Every line of every document as a track of its source."""
@@ -201,7 +191,7 @@ class Inputs:
 
     @cached_property
     def toptracks_replies(self) -> DataFrame:
-        """Per document: its lines as tracks. Spanish replies are cut short, German ones missing."""
+        """Per document: its lines as tracks. Spanish requests got an error page, German ones nothing."""
         track = F.transform(
             F.split("text", "\n"),
             lambda line: F.struct(
@@ -213,7 +203,7 @@ class Inputs:
         body = F.to_json(F.struct(F.struct(track.alias("track")).alias("toptracks")))
         return self.table("documents").select(
             _s(F.col("source"), "/", F.col("doc_id")).alias("artist"),
-            F.when(F.col("lang") == "es", F.substring(body, 1, 40))
+            F.when(F.col("lang") == "es", F.concat(F.lit("<html>"), "text"))
             .when(F.col("lang") != "de", body)
             .alias("body"),
         )
@@ -366,8 +356,6 @@ details AS (SELECT p_brand AS artist, {_ITEM} AS track, p_type AS album,
        CASE WHEN p_type = 'PROMO' THEN '' ELSE p_type || '|' || replace(p_name, ' ', '|') END AS tags,
        CASE WHEN p_type = 'LARGE' THEN 0 ELSE cast(round(p_retailprice * 100) AS bigint) END AS duration_ms
 FROM part WHERE p_type <> 'SMALL')""",
-    "credits": """
-credits AS (SELECT doc_id, source AS artist, split_part(text, chr(10), 1) AS credit, lang FROM documents)""",
     "lines": """
 lines AS (SELECT source AS artist, unnest(string_split(text, chr(10))) AS track FROM documents)""",
     "benchmark_songs": """
