@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkrank.llm import codes, packing, quality  # noqa: F401  they register their queries
+from linkrank.llm import chat, codes, packing, pages, private, quality  # noqa: F401  they register their queries
 from linkrank.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
