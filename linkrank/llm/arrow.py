@@ -19,7 +19,7 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
+OTHER_BASE = 0xD1342543DE82EF95 | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,11 +47,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Rolling:
     """Hashes of any ranges of a sequence of 64-bit values, equal for equal ranges."""
 
-    def __init__(self, values: np.ndarray):
+    def __init__(self, values: np.ndarray, base: int = _BASE):
         n = len(values)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(_BASE, n)[:n], out=self.sums[1:])
-        self.undo = _powers(_UNBASE, n)
+        np.cumsum(values * _powers(base, n)[:n], out=self.sums[1:])
+        self.undo = _powers(pow(base, -1, 1 << 64), n)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.undo[start]
@@ -125,3 +125,27 @@ def lists(values: np.ndarray, lengths) -> pa.Array:
     at = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at), longs(values))
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of several texts, and the number of the first word of each text.
+
+    Long data are worked on piece by piece, cut at white space.
+    """
+    if len(data) <= 4 * CHUNK_BYTES:
+        words = find_words(data, bounds)
+        return Rolling(byte_values(data)).of(words.start, words.end), words.first
+    if len(bounds) > 2:
+        parts = [word_hashes(data[a:b], np.array([0, b - a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        first = np.cumsum([0, *(len(x) for x, _ in parts)])
+        return np.concatenate([x for x, _ in parts]), first
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK_BYTES)
+        while end < len(data) and not IS_SPACE[data[end]]:
+            end += 1
+        words = find_words(data[at:end], np.array([0, end - at]))
+        found.append(Rolling(byte_values(data[at:end])).of(words.start, words.end))
+        at = end
+    whole = np.concatenate(found)
+    return whole, np.array([0, len(whole)])

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from linkrank.llm import chat, codes, packing, pages, private, quality  # noqa: F401  they register their queries
+from linkrank.llm import (  # noqa: F401  they register their queries
+    bytes_dedup,
+    chat,
+    codes,
+    neardup,
+    packing,
+    pages,
+    private,
+    quality,
+    substrings,
+)
 from linkrank.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
