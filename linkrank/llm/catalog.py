@@ -6,6 +6,7 @@ from linkrank.llm import (  # noqa: F401  they register their queries
     bytes_dedup,
     chat,
     codes,
+    leaks,
     neardup,
     packing,
     pages,
