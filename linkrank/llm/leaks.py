@@ -33,33 +33,37 @@ UNITS = (
     "km/h mph w kw kwh v hz ghz mhz kb mb gb tb"
 ).split()
 
-_TOKEN = r"[\p{L}\p{M}]+(?:['’/-][\p{L}\p{M}]+)*[.!?:]?|[0-9]+(?:[.,][0-9]+)*[.!?:]?"
-_ENDS = r"[.!?:]$"
+#: Put before a name; sorts before digits, which sort before letters.
+_MARK = "\u0002"
+_NAME = r"(\p{Lu})(?<=[^.!?:\s]\s\p{Lu})"
+_TOKEN = _MARK + r"?+[\p{L}\p{M}]++(?:['’/-][\p{L}\p{M}]++)*+|[0-9]++(?:[.,][0-9]++)*+"
 
 
-def _tokens(docs: DataFrame, keys: list[str], text: Column) -> DataFrame:
-    """Add ``kinds`` (0 word, 1 number, 2 unit, 3 name) and ``words`` (lower case, no end mark)."""
-    rows = docs.select(*keys, F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("tokens"))
+def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
+    """One row per template window: the keys, position, template (its hash), slots (its values).
 
-    def kind(x: Column, i: Column) -> Column:
-        before = F.get("tokens", i - 1)
-        after_number = F.ascii(before).between(48, 57)
-        capital = F.substring(x, 1, 1) != F.lower(F.substring(x, 1, 1))
-        unit = F.when(after_number, F.lower(F.rtrim(F.lit(".!?:"), x)).isin(UNITS)).otherwise(False)
-        name = F.when(capital & (i > 0), ~before.rlike(_ENDS)).otherwise(False)
-        return F.when(F.ascii(x).between(48, 57), 1).when(unit, 2).when(name, 3).otherwise(0)
+    A name is a word with a capital first letter that does not begin a sentence.
+    """
+    marked = F.lower(F.regexp_replace(text, _NAME, f"{_MARK}$1"))
+    rows = docs.select(*keys, F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)).alias("tokens"), marked.alias("marked"))
+    has_numbers = F.col("marked").rlike("[0-9]")
+    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), (has_numbers | F.contains("marked", F.lit(_MARK))).alias("slotted"))
 
-    rows = rows.withColumn("kinds", F.transform("tokens", kind))
-    return rows.withColumn("words", F.transform("tokens", lambda x: F.lower(F.rtrim(F.lit(".!?:"), x)))).drop("tokens")
+    def is_name(x: Column) -> Column:
+        return x < chr(ord(_MARK) + 1)
 
+    def is_number(x: Column) -> Column:
+        return x < chr(ord("9") + 1)
 
-def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
-    """One row per template window: the keys, position, template (its hash), slots (its values)."""
-    rows = _tokens(docs, keys, text).where(F.size("words") >= size)
-    templates = F.zip_with("words", "kinds", lambda w, k: F.when(k == 0, F.xxhash64(w)).otherwise(k.cast("long")))
-    values = F.zip_with("words", "kinds", lambda w, k: F.when(k > 0, F.concat(k.cast("string"), w)))
-    slotted = F.exists("kinds", lambda k: k > 0)
-    rows = rows.select(*keys, templates.alias("templates"), F.when(slotted, values).alias("values"))
+    def is_unit(x: Column, i: Column) -> Column:
+        return F.col("numbers") & (i > 0) & is_number(F.get("tokens", i - 1)) & ~is_name(F.get("tokens", i - 1)) & x.isin(UNITS)
+
+    def kind(x: Column, i: Column) -> Column:
+        return F.when(is_name(x), 3).when(is_number(x), 1).when(is_unit(x, i), 2)
+
+    templates = F.transform("tokens", lambda x, i: F.coalesce(kind(x, i).cast("long"), F.xxhash64(x)))
+    values = F.transform("tokens", lambda x, i: F.concat(kind(x, i).cast("string"), x))
+    rows = rows.select(*keys, templates.alias("templates"), F.when(F.col("slotted"), values).alias("values"))
 
     def window(i: Column) -> Column:  # by element: cutting a slice reads the whole array
         slots = F.concat_ws("\u0001", *[F.get("values", i + k) for k in range(size)])
@@ -69,7 +73,7 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
             F.when(F.col("values").isNull(), F.lit("")).otherwise(slots).alias("slots"),
         )
 
-    places = F.sequence(F.lit(0), F.size("templates") - size)
+    places = F.when(F.size("templates") >= size, F.sequence(F.lit(0), F.size("templates") - size))
     return rows.select(*keys, F.explode(F.transform(places, window)).alias("w")).select(*keys, "w.*")
 
 
