@@ -274,7 +274,9 @@ def find_repeats(rows: DataFrame, units: Units, earliest: Callable[[Shard, int],
     earlier, as an array of (low, high) that may overlap. Documents without repeats are left out."""
     spark = rows.sparkSession
     found = rows.mapInArrow(_find(units), _OCCURRENCE)
-    again = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Stored, so that both sides of the join are shuffled for it and a frequent anchor can be split.
+    again = store(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    release(spark)
     occurrences = store(found.join(again, "anchor", "left_semi"))
     release(spark)
 

@@ -24,7 +24,7 @@ from linkrank.llm.registry import query
 from linkrank.llm.stages import given_id, read
 
 WINDOW = 20
-ANCHOR = 4
+ANCHOR = 6
 
 
 def _words_themselves(raw: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
