@@ -50,7 +50,7 @@ era AS (SELECT lower({ladder('performer')}) AS artist_lower, min(chart_week) AS
 def page_build(t):
     chart = materialize(t.chart)
     frozen = materialize(top(t, chart))
-    return plan.gem_page(frozen, t.details, plan.first_last_seen(chart, CUT), CUT.roster_size)
+    return plan.gem_page(frozen, t.details, plan.first_last_seen(chart, CUT))
 
 
 SCORED = """

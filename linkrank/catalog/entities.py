@@ -43,11 +43,7 @@ LADDERS = {2: (" Featuring ", " With "), 3: (" Duet With ", " Featuring ", " Wit
 )
 def rule_preview(t):
     """Three versions of the ladder, each with the credits it changes."""
-    one, two, three = [
-        rv.rule_preview(t.chart, "performer", rungs).select(F.lit(n).alias("rungs"), "performer", "primary_artist")
-        for n, rungs in LADDERS.items()
-    ]
-    return one.unionByName(two).unionByName(three)
+    return rv.rule_preview(t.chart, "performer", LADDERS)
 
 
 @query("title_cut_tail", with_sql("stats", f"SELECT artist, track, {cut_tail('track')} AS cut FROM stats"))
@@ -98,7 +94,7 @@ def page_title_keys(t):
     ),
 )
 def key_rule_uplift(t):
-    return rv.key_rule_uplift(materialize(t.stats), materialize(songs(t)))
+    return rv.key_rule_uplift(t.stats, songs(t))
 
 
 @query(

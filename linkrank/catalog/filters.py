@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from linkrank.catalog.registry import CUT, query
-from linkrank.catalog.sql import GEM_STAGES, SONG_STAGES, SONGS, markers
-from linkrank.functions.text import contains_ci, has_any_marker, ratio
+from linkrank.catalog.sql import RAW_GEM_STAGES, SONG_STAGES, SONGS, markers, text_list
+from linkrank.functions.text import VARIANT_MARKERS, contains_ci, has_any_marker, ratio
 from linkrank.operators import aggregates as ag
 from linkrank.operators import profile as pf
 from linkrank.operators import rank
 from linkrank.plans import gems as plan
+from linkrank.sources.files import delete_counts
 from linkrank.sources.standins import with_sql
 
 
@@ -172,11 +173,18 @@ def chart_toppers_only(t):
 @query(
     "delete_where",
     with_sql(
-        "chart stats", "SELECT artist, track, listeners, playcount, plays_per_listener, tier FROM gems", GEM_STAGES
+        "chart stats",
+        f"""SELECT 'before' AS counted, count(*) AS row_count FROM gems
+        UNION ALL SELECT 'after', count(*) FROM gems WHERE {markers()}
+        UNION ALL SELECT m, count_if(contains(lower(track), m))::bigint
+        FROM gems, (SELECT unnest({text_list(VARIANT_MARKERS)}) AS m) GROUP BY m""",
+        RAW_GEM_STAGES,
     ),
 )
 def delete_where(t):
-    return plan.gems(t.stats, songs(t), CUT).drop("artist_key", "title_key")
+    """Rows before and after the delete, and the rows that each marker deletes."""
+    found = plan.gems(t.stats, songs(t), CUT, drop_variants=False)
+    return delete_counts(found, F.col("track"))
 
 
 @query(

@@ -23,7 +23,7 @@ from linkrank.sources.files import store_by_key
 from linkrank.sources.standins import with_sql
 
 LINK = stages(SONGS, song_keys(), devoted())
-STORED_BUCKETS = 16
+ROWS_PER_BUCKET = 1_000_000
 TRACK_COLUMNS = ["artist", "track", "listeners", "plays_per_listener"]
 
 
@@ -85,12 +85,15 @@ def stored_keys_join(t):
     tracks = jn.one_row_per_key(plan.devoted(t.stats, CUT), KEYS, F.count("*").alias("tracks"))
     archive = jn.one_row_per_key(keyed_songs(t), KEYS, F.count("*").alias("songs"))
     run = t.spark.sparkContext.applicationId.replace("-", "_")
-    left = store_by_key(tracks, f"linkrank_track_keys_{run}", KEYS, STORED_BUCKETS)
-    right = store_by_key(archive, f"linkrank_song_keys_{run}", KEYS, STORED_BUCKETS)
+    tracks, archive = materialize(tracks), materialize(archive)
+    buckets = max(2, -(-max(tracks.count(), archive.count()) // ROWS_PER_BUCKET))
+    left = store_by_key(tracks, f"linkrank_track_keys_{run}", KEYS, buckets)
+    right = store_by_key(archive, f"linkrank_song_keys_{run}", KEYS, buckets)
     return left.join(right, KEYS, "left")
 
 
-UNMATCHED = "FROM devoted ANTI JOIN song_keys USING (artist_key, title_key)"
+UNMATCHED = """FROM (SELECT t.* FROM devoted t LEFT JOIN song_keys s
+ON s.artist_key = t.artist_key AND s.title_key = t.title_key WHERE s.artist_key IS NULL)"""
 
 
 @query("anti_join", with_sql("chart stats", f"SELECT artist, track, listeners, plays_per_listener {UNMATCHED}", LINK))

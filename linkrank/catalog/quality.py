@@ -12,7 +12,7 @@ from linkrank.operators import aggregates as ag
 from linkrank.operators import profile as pf
 from linkrank.plans import gems as plan
 from linkrank.runtime import materialize
-from linkrank.sources.standins import POSITIONS, with_sql
+from linkrank.sources.standins import with_sql
 
 CHART_COLUMNS = ["chart_week", "current_week", "title", "performer", "last_week", "peak_pos", "wks_on_chart"]
 
@@ -32,9 +32,9 @@ def profile_table(t):
     return pf.profile_table(t.chart)
 
 
-@query("profile_table_wide", profile_sql("documents", ["doc_id", "lang", "source", "n_chars"]))
+@query("profile_table_wide", profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
 def profile_table_wide(t):
-    return pf.profile_table(t.table("documents"), ["doc_id", "lang", "source", "n_chars"])
+    return pf.profile_table(t.table("documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
 @query(
@@ -94,41 +94,47 @@ def legal_range(t):
     "expected_vs_actual",
     with_sql(
         "chart",
-        f"""SELECT count(*) AS actual_rows, (date_diff('day', min(cast(chart_week AS date)),
-        max(cast(chart_week AS date))) // 7 + 1) * {POSITIONS} AS expected_rows FROM chart""",
+        """SELECT count(*) AS actual_rows, (date_diff('day', min(cast(chart_week AS date)),
+        max(cast(chart_week AS date))) // 7 + 1) * max(current_week) AS expected_rows FROM chart""",
     ),
 )
 def expected_vs_actual(t):
-    """Rows against weeks in the covered span times positions per week."""
+    """Rows against weeks in the covered span times the most positions of a week."""
     day = F.col("chart_week").cast("date")
     weeks = F.floor(F.date_diff(F.max(day), F.min(day)) / 7) + 1
-    return t.chart.agg(F.count("*").alias("actual_rows"), (weeks * POSITIONS).alias("expected_rows"))
+    return t.chart.agg(F.count("*").alias("actual_rows"), (weeks * F.max("current_week")).alias("expected_rows"))
 
 
 @query(
     "dq_six_dimensions",
     with_sql(
         "chart",
-        f"""SELECT dimension, failures::bigint AS failures, failures = 0 AS passed FROM (
-        SELECT 'completeness' AS dimension, count_if(title = '' OR performer = '') + abs(count(*) - 1071) AS failures FROM chart
+        """SELECT dimension, failures::bigint AS failures, failures = 0 AS passed FROM (
+        SELECT 'completeness' AS dimension, count_if(title = '' OR performer = '')
+            + abs(count(*) - count(DISTINCT chart_week) * max(current_week)) AS failures FROM chart
         UNION ALL SELECT 'validity', count_if(regexp_matches(peak_pos, '[^0-9]')) FROM chart
         UNION ALL SELECT 'consistency', count_if((last_week = 'NA') <> (wks_on_chart = 1)) FROM chart
         UNION ALL SELECT 'uniqueness', count(*) - count(DISTINCT (chart_week, current_week)) FROM chart
         UNION ALL SELECT 'accuracy', count_if(try_cast(peak_pos AS int) > current_week) FROM chart
-        UNION ALL SELECT 'timeliness', CASE WHEN max(chart_week) < '2001-10-01' THEN 1 ELSE 0 END FROM chart)""",
+        UNION ALL SELECT 'timeliness', CASE WHEN max(chart_week) < (SELECT cast(cast(date_trunc('week', max(l_shipdate)) AS date) AS varchar)
+            FROM lineitem) THEN 1 ELSE 0 END FROM chart)""",
     ),
 )
 def dq_six_dimensions(t):
+    """Complete: every week as long as the longest. Timely: up to the week of the last sale."""
+    chart = materialize(t.chart)
+    expected = chart.agg((F.countDistinct("chart_week") * F.max("current_week")).alias("n"))
+    newest = t.table("lineitem").agg(F.trunc(F.max("l_shipdate").cast("date"), "week").cast("string").alias("w"))
     return pf.six_dimensions(
-        t.chart,
-        expected_rows=357 * POSITIONS,
+        chart,
+        expected_rows=expected.scalar(),
         blank=(F.col("title") == "") | (F.col("performer") == ""),
         invalid=has_nondigit(F.col("peak_pos")),
         inconsistent=(F.col("last_week") == "NA") != (F.col("wks_on_chart") == 1),
         identity=["chart_week", "current_week"],
         inaccurate=F.col("peak_pos").try_cast("int") > F.col("current_week"),
         date_col="chart_week",
-        stale_before="2001-10-01",
+        stale_before=newest.scalar(),
     )
 
 

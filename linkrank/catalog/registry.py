@@ -19,7 +19,7 @@ class Entry(NamedTuple):
 REGISTRY: dict[str, Entry] = {}
 
 # The stand-in tracks have 4 to 30 listeners each, so the cutoffs are scaled down.
-CUT = Cutoffs(min_listeners=10, min_ratio=24.0, min_songs=5, low_tier=14, high_tier=18, worst_peak=2)
+CUT = Cutoffs(min_listeners=10, min_ratio=24.0, min_songs=5, low_tier=14, high_tier=18, worst_peak=1)
 
 
 def query(key: str, sql: str | None = None):

@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from linkrank.catalog.registry import CUT
 from linkrank.functions.keys import CREDIT_RUNGS, TITLE_TAILS
-from linkrank.functions.text import ASCII_LOWER, ASCII_UPPER, VARIANT_MARKERS
+from linkrank.functions.text import ASCII_LOWER, ASCII_UPPER, TIER_LABELS, VARIANT_MARKERS
 
 
-def _before(text: str, found_in: str, mark: str) -> str:
-    return f"left({text}, position('{mark}' IN {found_in}) - 1)"
+def text_list(texts) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + "]"
+
+
+def _first_found(texts, col: str) -> str:
+    """The first of several texts, in their order, that ``col`` holds."""
+    return f"list_filter({text_list(texts)}, lambda x: contains({col}, x))[1]"
 
 
 def ladder(col: str, rungs=CREDIT_RUNGS) -> str:
-    arms = " ".join(f"WHEN contains({col}, '{r}') THEN {_before(col, col, r)}" for r in rungs)
-    return f"CASE {arms} ELSE {col} END"
+    return f"coalesce(split_part({col}, {_first_found(rungs, col)}, 1), {col})"
 
 
 def cut_tail(col: str) -> str:
     low = f"translate({col}, '{ASCII_UPPER}', '{ASCII_LOWER}')"
-    arms = " ".join(f"WHEN contains({low}, '{t}') THEN {_before(col, low, t)}" for t in TITLE_TAILS)
-    return f"CASE {arms} ELSE {col} END"
+    kept = f"substring({col}, 1, length(split_part({low}, {_first_found(TITLE_TAILS, low)}, 1)))"
+    return f"coalesce({kept}, {col})"
 
 
 def cut_dash(col: str, dash: str = " - ") -> str:
@@ -74,29 +78,39 @@ song_keys AS (SELECT *, lower(primary_artist) AS artist_key, {song_key('title',
 
 
 def markers(col: str = "track", negate: bool = True) -> str:
-    marks = "|".join(m.replace("(", "[(]").replace(".", "[.]") for m in VARIANT_MARKERS)
-    test = f"regexp_matches(lower({col}), '{marks}')"
-    return f"NOT coalesce({test}, false)" if negate else test
+    held = f"list_count(list_filter({text_list(VARIANT_MARKERS)}, lambda x: contains(lower({col}), x)))"
+    return f"coalesce({held}, 0) = 0" if negate else f"{held} > 0"
+
+
+def tier(col: str, edges=TIER_LABELS, low: int = CUT.low_tier, high: int = CUT.high_tier) -> str:
+    """The label whose range holds the value; a NULL value is in none and takes the middle one."""
+    ends = [None, low, high, None]
+    rows = ", ".join(
+        f"('{label}', {'NULL' if a is None else a}, {'NULL' if b is None else b})"
+        for label, a, b in zip(edges, ends, ends[1:])
+    )
+    return f"""coalesce((SELECT label FROM (VALUES {rows}) AS e(label, at_least, below)
+        WHERE {col} >= coalesce(at_least, {col}) AND ({col} < below OR below IS NULL)), '{edges[1]}')"""
 
 
 def gems(clean: bool = True) -> str:
+    """Track by track: no partner in the archive; only then one row per key."""
     return f"""
-collapsed AS (SELECT artist_key, title_key, min(artist) AS artist, min(track) AS track,
+absent AS (SELECT t.* FROM devoted t LEFT JOIN song_keys s
+           ON s.artist_key = t.artist_key AND s.title_key = t.title_key WHERE s.artist_key IS NULL),
+once AS (SELECT artist_key, title_key, min(artist) AS artist, min(track) AS track,
        max(listeners) AS listeners, max(playcount) AS playcount,
        max(plays_per_listener) AS plays_per_listener
-FROM devoted GROUP BY ALL),
-gems AS (SELECT *, CASE WHEN listeners >= {CUT.high_tier} THEN 'buried anthem'
-                        WHEN listeners >= {CUT.low_tier} THEN 'middle band' ELSE 'hidden gem' END AS tier
-FROM collapsed ANTI JOIN song_keys USING (artist_key, title_key)
-{('WHERE ' + markers()) if clean else ''})"""
+FROM absent GROUP BY artist_key, title_key),
+gems AS (SELECT *, {tier('listeners')} AS tier FROM once {('WHERE ' + markers()) if clean else ''})"""
 
 
 DEVOTION = "plays_per_listener DESC, listeners DESC, artist, track"
 
 TOP = f"""
 top_gems AS (SELECT artist, track, listeners, playcount, plays_per_listener FROM gems
-SEMI JOIN (SELECT * FROM known_artists WHERE career_peak <= {CUT.worst_peak}) k
-  ON lower(k.primary_artist) = lower(gems.artist)
+JOIN (SELECT DISTINCT lower(primary_artist) AS known FROM known_artists WHERE career_peak <= {CUT.worst_peak})
+  ON known = lower(gems.artist)
 WHERE tier = 'hidden gem'
 QUALIFY row_number() OVER (PARTITION BY lower(artist) ORDER BY {DEVOTION}) <= {CUT.per_artist}
 ORDER BY {DEVOTION} LIMIT {CUT.roster_size})"""

@@ -98,13 +98,14 @@ def duration_text(millis: Column) -> Column:
     return F.when(millis.isNull() | (millis == 0), F.lit("")).otherwise(shown)
 
 
+# Audience tiers, from few listeners to many.
+TIER_LABELS = ("hidden gem", "middle band", "buried anthem")
+
+
 def tier(listeners: Column, low: int = 200_000, high: int = 1_000_000) -> Column:
-    """Audience tier; the labels are fixed values."""
-    return (
-        F.when(listeners < low, F.lit("hidden gem"))
-        .when(listeners >= high, F.lit("buried anthem"))
-        .otherwise(F.lit("middle band"))
-    )
+    """Audience tier; an unknown audience counts as the middle one."""
+    number = F.when(listeners < low, 0).when(listeners >= high, 2).otherwise(1)
+    return F.get(F.array(*map(F.lit, TIER_LABELS)), number)
 
 
 def ratio(top: Column, bottom: Column) -> Column:

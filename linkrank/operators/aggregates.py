@@ -19,13 +19,28 @@ def coverage(df: DataFrame, week: str = "chart_week") -> DataFrame:
     )
 
 
-def completeness(df: DataFrame, group: str, expected: int) -> DataFrame:
-    """Do distinct groups times the expected size give the row count, group by group?"""
+def completeness(df: DataFrame, group: str, expected: int | None = None) -> DataFrame:
+    """Do distinct groups times the expected size give the row count, group by group?
+
+    Without an expected size, every group should be as large as the largest.
+    """
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    return sizes.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("actual_rows"),
-        (F.count("*") * expected).alias("expected_rows"),
-        F.count_if(F.col("n") != expected).alias("uneven_groups"),
+    size = F.max("n") if expected is None else F.lit(expected).cast("long")
+    return (
+        sizes.groupBy("n")
+        .agg(F.count("*").alias("groups"))
+        .agg(
+            F.coalesce(F.sum(F.col("n") * F.col("groups")), F.lit(0)).alias("actual_rows"),
+            F.coalesce(F.sum("groups"), F.lit(0)).alias("all_groups"),
+            size.alias("size"),
+            F.coalesce(F.sum(F.when(F.col("n") == expected, F.col("groups")) if expected is not None else F.lit(0)), F.lit(0)).alias("at_size"),
+            F.max_by("groups", "n").alias("at_largest"),
+        )
+        .select(
+            "actual_rows",
+            F.coalesce(F.col("all_groups") * F.col("size"), F.lit(0)).alias("expected_rows"),
+            (F.col("all_groups") - F.coalesce(F.col("at_largest" if expected is None else "at_size"), F.lit(0))).alias("uneven_groups"),
+        )
     )
 
 

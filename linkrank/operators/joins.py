@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/MAX_HOT of the rows, so there are never
-# more than MAX_HOT of them: that is the proven bound of everything broadcast here.
-MAX_HOT = 1024
-# Below this many rows a key is not worth a separate path, whatever its share.
-MIN_HOT_ROWS = 1_000_000
-# Size of the frequent-items sketch relative to MAX_HOT; keeps its error far below 1/MAX_HOT.
+# At most so many hot keys are looked for; the partners of more are not broadcast.
+MAX_HOT = 10_000
+# Size of the frequent-items sketch relative to the number of hot keys; keeps its error far below a share.
 SKETCH_FACTOR = 16
 # First-level sketch groups, so that no single task merges one sketch per input split.
 SKETCH_GROUPS = 64
 
 
-def hot_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
-    """Hashes of the key values holding more than 1/MAX_HOT of the rows of ``df``.
+def hot_shares(spark: SparkSession) -> int:
+    """A key is hot when it has more than one of so many even shares of the rows."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_HOT)
 
-    A count comes first (file footers answer it for a plain scan): a table no
-    larger than ``min_rows`` cannot hold a hot key. Then one pass over the key
-    columns with a mergeable sketch; no key is shuffled and at most MAX_HOT numbers
-    reach the driver. The sketch only steers the plan: a key it misses takes the
-    shuffled path and the result is the same.
+
+def hot_hashes(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the key values with more rows than a shuffle partition should hold.
+
+    That is a partition's even share of the rows, so there are fewer such keys than
+    shuffle partitions. One pass over the key columns with a mergeable sketch; no key is
+    shuffled and at most MAX_HOT numbers reach the driver. The sketch only steers the
+    plan: a key it misses takes the shuffled path and the result is the same.
     """
-    min_rows = MIN_HOT_ROWS if min_rows is None else min_rows
-    if df.count() <= min_rows:
-        return []
-    size = MAX_HOT * SKETCH_FACTOR
+    shares = hot_shares(df.sparkSession)
+    size = shares * SKETCH_FACTOR
     found = (
         df.select(
             F.xxhash64(*keys).alias("h"),
@@ -37,14 +36,24 @@ def hot_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> l
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(h, {size})").alias("s"), F.count("*").alias("n"))
         .agg(F.expr(f"approx_top_k_combine(s, {size})").alias("s"), F.sum("n").alias("n"))
-        .select(F.expr(f"approx_top_k_estimate(s, {MAX_HOT})").alias("top"), "n")
+        .select(F.expr(f"approx_top_k_estimate(s, {shares})").alias("top"), "n")
         .select(F.inline("top"), "n")
-        .where((F.col("count") > F.col("n") / MAX_HOT) & (F.col("count") > min_rows))
+        .where((F.col("count") > F.col("n") / shares) & (F.col("count") > 1))
         .select("item")
     )
     return [row["item"] for row in found.collect()]
 
 
+def _common_types(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their key columns in the type that holds the values of either."""
+    types = dict(left.select(*on).limit(0).union(right.select(*on).limit(0)).dtypes)
+
+    def cast(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`").cast(types[c]).alias(c) if c in on else F.col(f"`{c}`") for c in df.columns])
+
+    return cast(left), cast(right)
+
+
 def one_row_per_key(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     """Collapse to one row per key; map-side aggregation takes the skew out."""
     if not aggregates:
@@ -57,30 +66,27 @@ def lookup_join(
     right: DataFrame,
     on: list[str],
     how: str = "left",
-    min_hot_rows: int | None = None,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Join many rows to a side with one row per key, safe against hot keys.
 
-    ``right`` must be unique on ``on`` (see :func:`one_row_per_key`). Rows of hot
-    keys meet their at most MAX_HOT partners in a broadcast join and are never
-    shuffled; all other rows take the ordinary shuffled join. Where nothing is hot
-    the plan is the plain join. ``left`` is read once to look for hot keys and, where
-    there are some, once per path: store it first when it is costly. ``hot`` hands
+    Rows of hot keys meet their partners in a broadcast join and are never shuffled, if
+    there are as few partners as one row per key makes; else they take a join of their
+    own that Spark plans. All other rows take the ordinary shuffled join. Where nothing
+    is hot the plan is the plain join. ``left`` is read once to look for hot keys and,
+    where there are some, once per path: store it first when it is costly. ``hot`` hands
     over the hashes when the caller has them already.
     """
-    left_types = dict(left.dtypes)
-    right = right.select(
-        *[
-            F.col(f"`{c}`").cast(left_types[c]).alias(c) if c in on else F.col(f"`{c}`")
-            for c in right.columns
-        ]
-    )
-    hot = hot_hashes(left, on, min_hot_rows) if hot is None else hot
+    left, right = _common_types(left, right, on)
+    hot = hot_hashes(left, on) if hot is None else hot
     if not hot:
         return left.join(right, on, how)
     is_hot = F.xxhash64(*on).isin(hot)
-    warm = left.where(is_hot).join(F.broadcast(right.where(is_hot)), on, how)
+    partners = right.where(is_hot)
+    if how in ("left_semi", "left_anti"):
+        partners = one_row_per_key(partners, on)
+    few = partners.limit(MAX_HOT + 1).count() <= MAX_HOT
+    warm = left.where(is_hot).join(F.broadcast(partners) if few else partners, on, how)
     cold = left.where(~is_hot).join(right.where(~is_hot), on, how)
     return cold.unionByName(warm)
 
@@ -97,14 +103,16 @@ def _pair_counts(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFram
     )
 
 
-def match_rate(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def match_rate(left: DataFrame, right: DataFrame, keys: list[str], by: tuple[str, ...] = ()) -> DataFrame:
     """Total, matched and matched % of a LEFT JOIN, fan-out included.
 
-    Counted from rows per key, so no pair is ever produced.
+    Counted from rows per key, so no pair is ever produced. ``by`` names keys to report
+    separately.
     """
     pairs = F.col("n_left") * F.coalesce("n_right", F.lit(1))
     return (
         _pair_counts(left, right, keys)
+        .groupBy(*by)
         .agg(
             F.coalesce(F.sum(pairs), F.lit(0)).alias("devoted_tracks"),
             F.coalesce(F.sum(F.when(F.col("n_right").isNotNull(), pairs)), F.lit(0)).alias(

@@ -13,55 +13,66 @@ from linkrank.functions.text import MISSING_MARKERS, has_nondigit
 def profile_table(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column: rows, nulls, blanks, distinct values, min, max, non-digit values.
 
-    A first aggregate counts rows per (column, value), so duplicates collapse before
-    the shuffle and no distinct set is built in one task; the second adds them up.
+    Distinct values are counted by 128-bit hashes, deduplicated in two phases, so long
+    texts are not shuffled and no distinct set is built in one task. All else is one pass.
     """
     columns = columns or df.columns
-    pairs = F.array(
+    texts = {c: F.col(f"`{c}`").cast("string") for c in columns}
+    hashes = F.array(
         *[
-            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-            for c in columns
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.when(v.isNotNull(), F.xxhash64(v)).alias("h1"),
+                F.xxhash64(F.lit(1), v).alias("h2"),
+            )
+            for c, v in texts.items()
         ]
     )
-    per_value = (
-        df.select(F.inline(pairs)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    distinct = (
+        df.select(F.inline(hashes))
+        .groupBy("column_name", "h1", "h2")
+        .agg(F.lit(1))
+        .groupBy("column_name")
+        .agg(F.count("h1").alias("distinct_count"))
     )
-    value = F.col("value")
-
-    def rows_where(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-
-    return per_value.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
-        rows_where(value.isNull()).alias("null_count"),
-        rows_where(value == "").alias("blank_count"),
-        F.count("value").alias("distinct_count"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        rows_where(has_nondigit(value)).alias("nondigit_count"),
+    rest = _one_pass(df, columns, {k: v for k, v in _MEASURES.items() if k != "distinct_count"})
+    return rest.join(distinct, "column_name", "left").select(
+        "column_name",
+        "row_count",
+        "null_count",
+        "blank_count",
+        F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
+        "min_value",
+        "max_value",
+        "nondigit_count",
     )
 
 
-def profile_table_approx(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """As :func:`profile_table` in one pass without a shuffle of values; distinct is a sketch."""
-    columns = columns or df.columns
-    measures = {
-        "row_count": lambda v: F.count("*"),
-        "null_count": lambda v: F.count_if(v.isNull()),
-        "blank_count": lambda v: F.count_if(v == ""),
-        "distinct_count": lambda v: F.approx_count_distinct(v),
-        "min_value": F.min,
-        "max_value": F.max,
-        "nondigit_count": lambda v: F.count_if(has_nondigit(v)),
-    }
+_MEASURES = {
+    "row_count": lambda v: F.count("*"),
+    "null_count": lambda v: F.count_if(v.isNull()),
+    "blank_count": lambda v: F.count_if(v == ""),
+    "distinct_count": lambda v: F.approx_count_distinct(v),
+    "min_value": F.min,
+    "max_value": F.max,
+    "nondigit_count": lambda v: F.count_if(has_nondigit(v)),
+}
+
+
+def _one_pass(df: DataFrame, columns: list[str], measures: dict) -> DataFrame:
     wide = df.agg(
         *[
-            F.struct(*[m(F.col(c).cast("string")).alias(k) for k, m in measures.items()]).alias(c)
+            F.struct(*[m(F.col(f"`{c}`").cast("string")).alias(k) for k, m in measures.items()]).alias(c)
             for c in columns
         ]
     )
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), f"`{c}`.*") for c in columns])
-    return wide.select(F.inline(cells))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("m")) for c in columns])
+    return wide.select(F.inline(cells)).select("column_name", "m.*")
+
+
+def profile_table_approx(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """As :func:`profile_table` in one pass without a shuffle of values; distinct is a sketch."""
+    return _one_pass(df, columns or df.columns, _MEASURES)
 
 
 def count_blank(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -126,7 +137,7 @@ def six_dimensions(
     identity: list[str],
     inaccurate: Column,
     date_col: str,
-    stale_before: str,
+    stale_before: str | Column,
 ) -> DataFrame:
     """One row per quality dimension: what was checked, failing rows, verdict.
 

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkrank.operators.joins import hot_hashes, lookup_join
 from linkrank.runtime import materialize
 
-# Spark's own limit for cutting a row-number filter before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-EARLY_CUT = 1000
-
-
-def percent_rank_small(order: str, partition_by: tuple[str, ...] = ()) -> Column:
-    """Plain window, for inputs whose size is bounded (a frozen top-k list)."""
-    return F.percent_rank().over(W.partitionBy(*partition_by).orderBy(F.col(order).asc_nulls_first()))
-
 
 def _slotted(df: DataFrame, order: list) -> DataFrame:
     """``df`` range-partitioned by ``order``, with the number of each row's slot.
@@ -27,79 +20,59 @@ def _slotted(df: DataFrame, order: list) -> DataFrame:
     return materialize(df.repartitionByRange(*order).withColumn("__slot", F.spark_partition_id()))
 
 
-def _slot_starts(slotted: DataFrame, parts: list, size: Column) -> DataFrame:
+def _at_slot(df: DataFrame, slots: DataFrame, parts: list[str]) -> DataFrame:
+    """Join facts about a group's slot, one row each, to the rows there; NULL is a group too."""
+    names = {c: f"__of_{c}" for c in [*parts, "__slot"]}
+    slots = slots.withColumnsRenamed(names)
+    same = reduce(and_, [F.col(f"`{c}`").eqNullSafe(F.col(f"`{n}`")) for c, n in names.items()])
+    return df.join(slots, same).drop(*names.values())
+
+
+def _starts(sizes: DataFrame, parts: list[str], size: str) -> DataFrame:
     """Rows before each slot and rows in all, per group: one row per group and slot."""
     lower_slots = W.partitionBy(*parts).orderBy("__slot").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        slotted.groupBy(*parts, "__slot")
-        .agg(size.alias("__size"))
-        .select(
-            *parts,
-            "__slot",
-            F.coalesce(F.sum("__size").over(lower_slots), F.lit(0)).alias("__start"),
-            F.sum("__size").over(W.partitionBy(*parts)).alias("__total"),
-        )
+    return sizes.withColumns(
+        {
+            "__start": F.coalesce(F.sum(size).over(lower_slots), F.lit(0)),
+            "__total": F.sum(size).over(W.partitionBy(*parts)),
+        }
     )
 
 
-def value_ranks(df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Percent rank of every distinct value of ``col`` (per ``partition_by``).
-
-    1. count rows per value, which takes all ties out on the map side;
-    2. range-partition the values into slots;
-    3. add up the slots, of which there are as many as shuffle partitions;
-    4. rows below a value = rows in lower slots + rows below it in its own slot.
+def percent_rank_at_scale(
+    df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``PERCENT_RANK() OVER ([PARTITION BY ...] ORDER BY col)`` without a one-task sort.
 
-    No task sees more than one slot, however the rows are spread over groups.
+    Rows are range-partitioned into slots by group, value and a hash of the row, so a value
+    with many rows spans slots. Rows below a value = rows in lower slots + rows below it in its
+    own slot. For a slot's first value, rows of that value in lower slots are taken off again;
+    they are known from one row per slot. NULLs rank first; NULL is a group like any other.
     """
     parts = list(partition_by)
-    histogram = df.groupBy(*parts, col).agg(F.count("*").alias("__n"))
-    slotted = _slotted(histogram, [*parts, F.col(col).asc_nulls_first()])
-    starts = _slot_starts(slotted, parts, F.sum("__n"))
-    within = (
-        W.partitionBy(*parts, "__slot")
-        .orderBy(F.col(col).asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, -1)
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    slotted = _slotted(df, [*parts, F.col(col).asc_nulls_first(), spread])
+    inside = F.rank().over(W.partitionBy(*parts, "__slot").orderBy(F.col(col).asc_nulls_first()))
+    ranked = slotted.withColumn("__inside", inside)
+    value = F.struct(F.col(col).alias("v"))  # a struct, so that NULL is a value too
+    sizes = ranked.groupBy(*parts, "__slot").agg(
+        F.count("*").alias("__size"),
+        F.min(value).alias("__low"),
+        F.max(value).alias("__high"),
+        F.max("__inside").alias("__last"),
     )
-    below = F.coalesce(F.sum("__n").over(within), F.lit(0))
-    rank = F.when(
-        F.col("__total") > 1, (F.col("__start") + F.col("__below")) / (F.col("__total") - 1)
-    ).otherwise(F.lit(0.0))
-    return (
-        slotted.withColumn("__below", below)
-        .join(starts, [*parts, "__slot"])
-        .select(*parts, col, rank.alias(out))
+    slots = _starts(materialize(sizes), parts, "__size")
+    ends = slots.select(
+        *parts, "__slot", F.col("__high").alias("__v"), (F.col("__size") - F.col("__last") + 1).alias("__n"), F.lit(1).alias("__end")
     )
-
-
-def percent_ranks_at_scale(
-    df: DataFrame, ranks: dict[str, str], partition_by: tuple[str, ...] = (), min_hot_rows: int | None = None
-) -> DataFrame:
-    """``PERCENT_RANK() OVER ([PARTITION BY ...] ORDER BY col)`` without a one-task sort,
-    for each ``col -> output name`` of ``ranks``.
-
-    NULLs rank first, hence 0. Group columns must not be NULL. Values are counted on
-    ``df`` itself, so no rank waits for another one's join; ``df`` is read several
-    times: store it first when it is costly.
-    """
-    keys = {col: [*partition_by, col] for col in ranks}
-    hot = {col: hot_hashes(df, keys[col], min_hot_rows) for col in ranks}
-    found = {col: value_ranks(df, col, out, partition_by) for col, out in ranks.items()}
-    out_df = df
-    for i, (col, out) in enumerate(ranks.items()):
-        if i and hot[col]:
-            out_df = materialize(out_df)
-        known = found[col].where(F.col(col).isNotNull())
-        out_df = lookup_join(out_df, known, keys[col], "left", hot=hot[col])
-        out_df = out_df.withColumn(out, F.coalesce(out, F.lit(0.0)))
-    return out_df
-
-
-def percent_rank_at_scale(
-    df: DataFrame, col: str, out: str, partition_by: tuple[str, ...] = (), min_hot_rows: int | None = None
-) -> DataFrame:
-    """One percent rank; see :func:`percent_ranks_at_scale`."""
-    return percent_ranks_at_scale(df, {col: out}, partition_by, min_hot_rows)
+    heads = slots.select(*parts, "__slot", F.col("__low").alias("__v"), F.lit(0).cast("long").alias("__n"), F.lit(0).alias("__end"))
+    before = W.partitionBy(*parts, "__v").orderBy("__slot", "__end").rowsBetween(W.unboundedPreceding, -1)
+    tied = ends.unionByName(heads).withColumn("__tied", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    tied = tied.where("__end = 0").select(*parts, "__slot", "__tied")
+    slots = _at_slot(slots.select(*parts, "__slot", "__start", "__total"), tied, parts)
+    below = F.col("__start") + F.col("__inside") - 1 - F.when(F.col("__inside") == 1, F.col("__tied")).otherwise(0)
+    rank = F.when(F.col("__total") > 1, below / (F.col("__total") - 1)).otherwise(F.lit(0.0))
+    return _at_slot(ranked, slots, parts).select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))
 
 
 def weighted_score(weights: dict[str, float]) -> Column:
@@ -116,7 +89,9 @@ def composite_score(
 ) -> DataFrame:
     """Composite percentile score over a table of any size."""
     names = {col: f"__pr{i}" for i, col in enumerate(weights)}
-    ranked = percent_ranks_at_scale(df, names, partition_by)
+    ranked = df
+    for col, name in names.items():
+        ranked = percent_rank_at_scale(ranked, col, name, partition_by)
     score = weighted_score({names[col]: w for col, w in weights.items()})
     return ranked.select(*df.columns, score.alias(out))
 
@@ -127,32 +102,35 @@ def top_n_per_group(
     """Best n rows of each group; ``order`` must be total. ``rank`` keeps the row number.
 
     Spark cuts every task's rows to n per group before the shuffle, so a hot group
-    arrives as n rows per task. It stops doing so above EARLY_CUT; longer lists are
-    numbered slot by slot instead.
+    arrives as n rows per task, as long as n is within its own limit for that. Longer
+    lists are numbered slot by slot instead.
     """
     name = rank or "__rank"
-    if n <= EARLY_CUT:
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n <= limit:
         number = F.row_number().over(W.partitionBy(*group).orderBy(*order))
         kept = df.withColumn(name, number).where(F.col(name) <= n)
     else:
-        kept = _long_lists(df, group, order, n, name)
+        kept = numbered(df, group, order, name, n)
     return kept if rank else kept.drop(name)
 
 
-def _long_lists(df: DataFrame, group: list[str], order: list[Column], n: int, name: str) -> DataFrame:
-    """Row number = rows of the group in lower slots + row number in the own slot.
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, n: int | None = None) -> DataFrame:
+    """``ROW_NUMBER()`` per group without a task that holds a group; at most ``n`` rows of each.
 
-    Slots that start beyond n are dropped before any sort.
+    Row number = rows of the group in lower slots + row number in the own slot. Slots
+    that start beyond n are dropped before any sort.
     """
     slotted = _slotted(df, [*group, *order])
-    starts = _slot_starts(slotted, group, F.count("*")).where(F.col("__start") < n)
+    starts = _starts(slotted.groupBy(*group, "__slot").agg(F.count("*").alias("__size")), group, "__size")
+    starts = starts.select(*group, "__slot", "__start")
+    if n is not None:
+        starts = starts.where(F.col("__start") < n)
     inside = F.row_number().over(W.partitionBy(*group, "__slot").orderBy(*order))
-    return (
-        slotted.join(starts, [*group, "__slot"])
-        .withColumn(name, (F.col("__start") + inside).cast("int"))
-        .where(F.col(name) <= n)
-        .select(*df.columns, name)
-    )
+    found = _at_slot(slotted, starts, group).withColumn(name, (F.col("__start") + inside).cast("int"))
+    if n is not None:
+        found = found.where(F.col(name) <= n)
+    return found.select(*df.columns, name)
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:

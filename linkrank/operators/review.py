@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +12,16 @@ KEYS = ["artist_key", "title_key"]
 LEVELS = (0, 1, 2, 3)
 
 
-def rule_preview(df: DataFrame, credit: str, rungs) -> DataFrame:
-    """Distinct credits the ladder changes, next to what it makes of them."""
-    return (
-        df.select(credit)
-        .distinct()
-        .withColumn("primary_artist", primary_entity(F.col(credit), rungs))
-        .where(F.col("primary_artist") != F.col(credit))
+def rule_preview(df: DataFrame, credit: str, ladders: dict[int, tuple[str, ...]]) -> DataFrame:
+    """Distinct credits that each of several ladders changes, next to what it makes of them."""
+    leads = F.array(
+        *[
+            F.struct(F.lit(n).alias("rungs"), primary_entity(F.col(credit), rungs).alias("primary_artist"))
+            for n, rungs in ladders.items()
+        ]
     )
+    found = df.select(credit).distinct().select(credit, F.inline(leads))
+    return found.where(F.col("primary_artist") != F.col(credit)).select("rungs", credit, "primary_artist")
 
 
 def with_track_keys(df: DataFrame, level: int, artist: str = "artist", track: str = "track") -> DataFrame:
@@ -39,14 +39,17 @@ def with_song_keys(
 
 
 def key_rule_uplift(tracks: DataFrame, songs: DataFrame, levels=LEVELS) -> DataFrame:
-    """Match rate of every key level, one row each."""
-    rows = [
-        match_rate(with_track_keys(tracks, n), with_song_keys(songs, n), KEYS).withColumn(
-            "key_level", F.lit(n)
+    """Match rate of every key level, one row each: both sides unfold their keys and meet once."""
+
+    def unfolded(df: DataFrame, entity: str, title: str, key) -> DataFrame:
+        keys = F.array(
+            *[F.struct(F.lit(n).alias("key_level"), key(F.col(title), n).alias("title_key")) for n in levels]
         )
-        for n in levels
-    ]
-    return reduce(DataFrame.unionByName, rows)
+        return df.select(artist_key(F.col(entity)).alias("artist_key"), F.inline(keys))
+
+    left = unfolded(tracks, "artist", "track", match_key)
+    right = unfolded(songs, "primary_artist", "title", song_key)
+    return match_rate(left, right, ["key_level", *KEYS], ("key_level",))
 
 
 def false_merge_check(songs: DataFrame, level: int = 3) -> DataFrame:

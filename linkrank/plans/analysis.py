@@ -40,14 +40,18 @@ def run(
     songs = store("artist_songs", song_grain(chart, cut.rungs))
     roster = store("known_artists", known_artists(songs, cut.min_songs))
     keys = store("song_keys", with_song_keys(songs, cut.key_level).drop("performer"))
-    tracks = files.read_snapshots(spark, tracks_dir, files.TRACKS, snapshot).drop(files.SNAPSHOT)
+    tracks, rejected = files.read_snapshots(spark, tracks_dir, files.TRACKS, snapshot)
+    store("rejected_track_rows", rejected)
+    tracks = tracks.drop(files.SNAPSHOT)
     devoted = store("devoted_tracks", plan.devoted(tracks, cut))
     found = plan.without_variants(plan.absent_from_archive(plan.collapse(devoted, cut), keys))
     found = store("gems", found.drop(*plan.KEYS))
     top = store("top_gems", plan.top_gems(found, roster, cut))
-    details = files.read_snapshots(spark, details_dir, files.DETAILS).drop(files.SNAPSHOT)
+    details, rejected = files.read_snapshots(spark, details_dir, files.DETAILS)
+    store("rejected_detail_rows", rejected)
+    details = details.drop(files.SNAPSHOT)
     eras = plan.first_last_seen(chart, cut)
-    store("gem_page", plan.gem_page(top, details, eras, cut.roster_size))
+    store("gem_page", plan.gem_page(top, details, eras))
     return tables
 
 
@@ -55,7 +59,7 @@ def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     for name in ("chart_csv", "tracks_dir", "details_dir", "out_dir"):
         parser.add_argument(name)
-    parser.add_argument("--snapshot", help="date of the track snapshot; all of them when left out")
+    parser.add_argument("--snapshot", help="date of the track snapshot; the newest when left out")
     args = parser.parse_args()
     spark = SparkSession.builder.appName("linkrank").getOrCreate()
     run(spark, args.chart_csv, args.tracks_dir, args.details_dir, args.out_dir, snapshot=args.snapshot)

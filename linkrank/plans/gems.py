@@ -21,10 +21,8 @@ from linkrank.operators.joins import lookup_join, one_row_per_key
 from linkrank.operators.profile import ledger
 from linkrank.operators.rank import (
     composite_score,
-    percent_rank_small,
     top_k,
     top_n_per_group,
-    weighted_score,
 )
 from linkrank.operators.review import KEYS, with_song_keys, with_track_keys
 from linkrank.runtime import materialize
@@ -34,9 +32,6 @@ from linkrank.sources.replies import release_years
 # Weights of the composite score.
 SCORE_WEIGHTS = {"plays_per_listener": 0.7, "listeners": 0.3}
 
-# A list no longer than this may be broadcast and sorted in one task.
-SMALL_LIST = 100_000
-
 
 @dataclass(frozen=True)
 class Cutoffs:
@@ -153,24 +148,19 @@ def first_last_seen(chart: DataFrame, cut: Cutoffs, mapping: DataFrame | None =
     )
 
 
-def gem_page(
-    top: DataFrame, details: DataFrame, eras: DataFrame, roster_size: int = Cutoffs.roster_size
-) -> DataFrame:
+def gem_page(top: DataFrame, details: DataFrame, eras: DataFrame) -> DataFrame:
     """One scored row per frozen top row, with details and debut decade.
 
-    ``top`` is a top-k list of at most ``roster_size`` rows. While that bound is
-    small the list is broadcast to cut the two big tables down and is ranked by a
-    plain window; beyond it Spark picks the joins and the ranks are counted at scale.
+    The plan is the same for a list of any length: Spark picks the joins by size and the
+    ranks are counted slot by slot.
     """
-    small = roster_size <= SMALL_LIST
-    hint = F.broadcast if small else (lambda df: df)
-    names = hint(top.select("artist", "track").distinct())
+    names = top.select("artist", "track").distinct()
     wanted = one_row_per_key(
         details.join(names, ["artist", "track"], "left_semi"),
         ["artist", "track"],
         F.min(F.struct("album", "tags", "duration_ms")).alias("d"),
     ).select("artist", "track", "d.*")
-    artists = hint(top.select(F.lower("artist").alias("artist_lower")).distinct())
+    artists = top.select(F.lower("artist").alias("artist_lower")).distinct()
     debut = one_row_per_key(
         eras.withColumn("artist_lower", F.lower("primary_artist")).join(
             artists, ["artist_lower"], "left_semi"
@@ -183,12 +173,7 @@ def gem_page(
         .join(wanted, ["artist", "track"], "left")
         .join(debut, ["artist_lower"], "left")
     )
-    if small:
-        ranks = {f"__{col}": percent_rank_small(col) for col in SCORE_WEIGHTS}
-        score = weighted_score({f"__{col}": w for col, w in SCORE_WEIGHTS.items()})
-        page = page.withColumns(ranks).withColumn("gem_score", score)
-    else:
-        page = composite_score(materialize(page), SCORE_WEIGHTS, "gem_score")
+    page = composite_score(page, SCORE_WEIGHTS, "gem_score")
     return page.select(
         "artist",
         "track",

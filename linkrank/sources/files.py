@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkrank.functions.text import VARIANT_MARKERS, has_any_marker
 from linkrank.runtime import scratch_path, write_table
 
 CORRUPT = "_corrupt_record"
@@ -32,6 +34,7 @@ CHART_ENTRIES = _table(
 )
 TRACKS = _table(artist=TEXT, track=TEXT, playcount=LONG, listeners=LONG)
 DETAILS = _table(artist=TEXT, track=TEXT, album=TEXT, tags=TEXT, duration_ms=LONG)
+PLAYLIST = _table(artist=TEXT, track=TEXT)
 RELEASE_YEARS = _table(
     artist=TEXT,
     track=TEXT,
@@ -58,6 +61,7 @@ def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("enforceSchema", False)
+        .option("multiLine", True)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
@@ -83,6 +87,9 @@ def _kept(raw: DataFrame, schema: T.StructType) -> DataFrame:
 def read_csv_contract(spark: SparkSession, path, schema: T.StructType) -> Contracted:
     """Read a CSV whose header and column count must match ``schema``.
 
+    Quoted texts may hold line breaks, so a file is read by one task: large tables should
+    come as many files, as Spark writes them.
+
     A header with other names raises; a line with too many or too few fields, or
     with text where a number belongs, lands in ``bad``. Blank text stays ''.
     """
@@ -90,12 +97,20 @@ def read_csv_contract(spark: SparkSession, path, schema: T.StructType) -> Contra
     return Contracted(_kept(raw, schema), raw.where(_is_bad(schema)))
 
 
-def read_snapshots(spark: SparkSession, root: str, schema: T.StructType, date: str | None = None) -> DataFrame:
-    """All snapshots under ``root``, or one; the date filter prunes folders."""
+def snapshot_dates(df: DataFrame) -> list[str]:
+    """Dates of the snapshot folders a table is read from, oldest first; no file is opened."""
+    return sorted({d for f in df.inputFiles() for d in re.findall(rf"/{SNAPSHOT}=([0-9-]+)/", f)})
+
+
+def read_snapshots(
+    spark: SparkSession, root: str, schema: T.StructType, date: str | None = None, every: bool = False
+) -> Contracted:
+    """The newest snapshot under ``root``, or that of a date, or every one; other folders are pruned."""
     raw = _csv(spark, root, T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())]))
-    if date is not None:
-        raw = raw.where(F.col(SNAPSHOT) == F.lit(date).cast("date"))
-    return _kept(raw, schema)
+    if not every:
+        dates = [date] if date is not None else snapshot_dates(raw)[-1:]
+        raw = raw.where(F.col(SNAPSHOT).isin([F.lit(d).cast("date") for d in dates]))
+    return Contracted(_kept(raw, schema), raw.where(_is_bad(schema)))
 
 
 def roster_scan(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
@@ -155,6 +170,14 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
+def delete_counts(df: DataFrame, col: Column, markers=VARIANT_MARKERS) -> DataFrame:
+    """Rows before and after deleting what holds a marker, and rows that hold each one."""
+    counts = {"before": F.count("*"), "after": F.count_if(~F.coalesce(has_any_marker(col, markers), F.lit(False)))}
+    counts |= {m: F.count_if(F.contains(F.lower(col), F.lit(m))) for m in markers}
+    cells = [F.struct(F.lit(k).alias("counted"), v.alias("row_count")) for k, v in counts.items()]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def file_sizes(spark: SparkSession, path) -> DataFrame:
     """Name and length of each input file; contents are not read."""
     return (
@@ -164,5 +187,12 @@ def file_sizes(spark: SparkSession, path) -> DataFrame:
     )
 
 
+def folder_sizes(spark: SparkSession, path, folder: str, smallest: int, largest: int) -> DataFrame:
+    """Bytes under each partition folder of a written table, and whether that is plausible."""
+    sizes = spark.read.format("binaryFile").load(path).groupBy(folder).agg(F.sum("length").alias("bytes"))
+    verdict = F.when(F.col("bytes") < smallest, "too small").when(F.col("bytes") > largest, "too large")
+    return sizes.withColumn("verdict", F.coalesce(verdict, F.lit("plausible")))
+
+
 def suspicious_files(spark: SparkSession, path, smallest: int, largest: int) -> DataFrame:
     return file_sizes(spark, path).where(~F.col("bytes").between(smallest, largest))

@@ -111,6 +111,16 @@ def tag_fallback(items: DataFrame, owners: DataFrame, owner: str, tags: str = "t
     return joined.withColumn(tags, F.coalesce(own, "owner_tags", F.lit(""))).drop("owner_tags")
 
 
+def failure_totals(df: DataFrame, body: str = "body") -> DataFrame:
+    """Requests, failed requests, and the rows that the others bring."""
+    parsed = df.select(parse(F.col(body), TOP_TRACKS).alias("reply"))
+    failed = is_failed(F.col("reply"))
+    rows = F.when(~failed, F.size(F.col("reply")["toptracks"]["track"])).otherwise(0)
+    return parsed.agg(
+        F.count("*").alias("requests"), F.count_if(failed).alias("failed"), F.sum(rows).alias("rows_written")
+    )
+
+
 def failures(df: DataFrame, body: str = "body", shape: str = TOP_TRACKS) -> DataFrame:
     """Requests without a usable reply of the given shape; count these rows for the report."""
     keep = [c for c in df.columns if c != body]

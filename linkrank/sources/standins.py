@@ -13,10 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkrank.operators.joins import lookup_join
-from linkrank.operators.rank import top_n_per_group
-
-# Chart positions kept per week.
-POSITIONS = 3
+from linkrank.operators.rank import numbered
 
 
 def _s(*parts) -> Column:
@@ -81,15 +78,13 @@ class Inputs:
 
     @cached_property
     def chart(self) -> DataFrame:
-        """Weekly ranking of parts by revenue: one row per week and position."""
+        """Weekly ranking of all parts sold by revenue: one row per week and position."""
         revenue = (
             self.table("lineitem")
             .groupBy(F.trunc(F.col("l_shipdate").cast("date"), "week").alias("w"), "l_partkey")
             .agg(F.sum(_cents("l_extendedprice")).alias("cents"))
         )
-        ranked = top_n_per_group(
-            revenue, ["w"], [F.desc("cents"), F.asc("l_partkey")], POSITIONS, rank="p"
-        )
+        ranked = numbered(revenue, ["w"], [F.desc("cents"), F.asc("l_partkey")], "p")
         history = W.partitionBy("l_partkey").orderBy("w")
         return (
             ranked.select(
@@ -148,11 +143,11 @@ class Inputs:
 
     @cached_property
     def details(self) -> DataFrame:
-        """Album, tags and duration; some part types lack an entry, tags or a duration."""
+        """Album, tags and duration; some part types lack tags or a duration, and the tails of
+        track names leave some tracks without an entry."""
         kind = F.col("p_type")
         return (
             self.table("part")
-            .where(kind != "SMALL")
             .select(
                 F.col("p_brand").alias("artist"),
                 _item().alias("track"),
@@ -191,7 +186,11 @@ class Inputs:
 
     @cached_property
     def toptracks_replies(self) -> DataFrame:
-        """Per document: its lines as tracks. Spanish requests got an error page, German ones nothing."""
+        return self._toptracks.select("artist", "body")
+
+    @cached_property
+    def _toptracks(self) -> DataFrame:
+        """Per document: its lines as tracks."""
         track = F.transform(
             F.split("text", "\n"),
             lambda line: F.struct(
@@ -203,11 +202,17 @@ class Inputs:
         body = F.to_json(F.struct(F.struct(track.alias("track")).alias("toptracks")))
         return self.table("documents").select(
             _s(F.col("source"), "/", F.col("doc_id")).alias("artist"),
-            F.when(F.col("lang") == "es", F.concat(F.lit("<html>"), "text"))
-            .when(F.col("lang") != "de", body)
-            .alias("body"),
+            "lang",
+            "text",
+            body.alias("body"),
         )
 
+    @cached_property
+    def broken_replies(self) -> DataFrame:
+        """The same, but Spanish requests got an error page and German ones nothing."""
+        body = F.when(F.col("lang") == "es", F.concat(F.lit("<html>"), "text")).when(F.col("lang") != "de", F.col("body"))
+        return self._toptracks.select("artist", body.alias("body"))
+
     @cached_property
     def trackinfo_replies(self) -> DataFrame:
         """Per order: priority words as tags; pending orders got no reply."""
@@ -310,9 +315,7 @@ _SQL = {
 rev AS (SELECT cast(date_trunc('week', l_shipdate) AS date) AS w, l_partkey,
                sum(cast(round(l_extendedprice * 100) AS bigint)) AS cents
         FROM lineitem GROUP BY 1, 2),
-pos AS (SELECT * FROM (SELECT w, l_partkey,
-               row_number() OVER (PARTITION BY w ORDER BY cents DESC, l_partkey) AS p FROM rev)
-        WHERE p <= {POSITIONS}),
+pos AS (SELECT w, l_partkey, row_number() OVER (PARTITION BY w ORDER BY cents DESC, l_partkey) AS p FROM rev),
 chart AS (SELECT cast(w AS varchar) AS chart_week, cast(p AS int) AS current_week,
        CASE WHEN p_size BETWEEN 31 AND 36
             THEN concat(replace(p_name, ' ', ', '), ' #', cast(p_partkey AS varchar))
@@ -355,7 +358,7 @@ WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY p_brand, p_name, p_partkey)"
 details AS (SELECT p_brand AS artist, {_ITEM} AS track, p_type AS album,
        CASE WHEN p_type = 'PROMO' THEN '' ELSE p_type || '|' || replace(p_name, ' ', '|') END AS tags,
        CASE WHEN p_type = 'LARGE' THEN 0 ELSE cast(round(p_retailprice * 100) AS bigint) END AS duration_ms
-FROM part WHERE p_type <> 'SMALL')""",
+FROM part)""",
     "lines": """
 lines AS (SELECT source AS artist, unnest(string_split(text, chr(10))) AS track FROM documents)""",
     "benchmark_songs": """

@@ -48,14 +48,33 @@ def test_snapshots_replace_and_prune(spark, folder, frame):
     files.write_dated_csv(frame([("a", "x", 1, 1)], ddl), folder, "2026-06-01")
     files.write_dated_csv(frame([("a", 'say "y"', 2, 2), ("b", "", 3, 3)], ddl), folder, "2026-07-01")
     files.write_dated_csv(frame([("a", ' say "y", ok', 5, 5)], ddl), folder, "2026-07-01")
-    every = files.read_snapshots(spark, folder, files.TRACKS)
+    every = files.read_snapshots(spark, folder, files.TRACKS, every=True).good
     assert sorted((r["track"], str(r["snapshot_date"])) for r in every.collect()) == [
         (' say "y", ok', "2026-07-01"),
         ("x", "2026-06-01"),
     ]
-    one = files.read_snapshots(spark, folder, files.TRACKS, "2026-06-01")
+    one = files.read_snapshots(spark, folder, files.TRACKS, "2026-06-01").good
     assert [r["track"] for r in one.collect()] == ["x"]
     assert "PartitionFilters: [isnotnull(snapshot_date" in one._jdf.queryExecution().executedPlan().toString()
+    newest = files.read_snapshots(spark, folder, files.TRACKS)
+    assert [r["track"] for r in newest.good.collect()] == [' say "y", ok'] and newest.bad.count() == 0
+
+
+def test_snapshots_hand_over_what_they_reject(spark, folder):
+    header = "artist,track,playcount,listeners\n"
+    (Path(folder) / "snapshot_date=2026-07-01").mkdir()
+    write(folder, header + 'a,"x\ny",1,2\nb,z,many,3\n', "snapshot_date=2026-07-01/x.csv")
+    good, bad = files.read_snapshots(spark, folder, files.TRACKS)
+    assert [(r["track"], r["playcount"]) for r in good.collect()] == [("x\ny", 1)]
+    assert [r[files.CORRUPT].strip() for r in bad.collect()] == ["b,z,many,3"]
+
+
+def test_texts_with_line_breaks_come_back(spark, folder, frame):
+    rows = [("a\nb", 'x\r\n"y",\n', 1, 2), ("\n", " z ", 3, 4), ("c", "", 5, 6)]
+    df = frame(rows, "artist string, track string, playcount bigint, listeners bigint")
+    path = files.write_dated_csv(df, folder, "2026-07-14")
+    good, bad = files.read_csv_contract(spark, path, files.TRACKS)
+    assert sorted(map(tuple, good.collect())) == sorted(rows) and bad.count() == 0
 
 
 def test_freeze_overwrites(spark, folder):

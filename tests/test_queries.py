@@ -54,5 +54,5 @@ HOT_QUERIES = [
 @pytest.mark.parametrize("key", HOT_QUERIES)
 def test_matches_sql_with_hot_keys_split_off(spark, con, key, monkeypatch):
     """The same results when every key with a few rows is treated as hot."""
-    monkeypatch.setattr("linkrank.operators.joins.MIN_HOT_ROWS", 5)
+    monkeypatch.setattr("linkrank.operators.joins.hot_shares", lambda spark: 2_000)
     assert compare(QUERIES[key](spark, SF), con, ORACLES[key]) == []
