@@ -5,13 +5,14 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from linkrank.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
+QUERIES = {key: contract.queries()[key] for key in REGISTRY}
 
-# Percent ranks over a list that ends in LIMIT, and running sums over one row per slot.
+# Running sums over one row per slot.
 ONE_TASK_WINDOWS = {
-    "page_build": "frozen top-k list",
+    "page_build": "one row per slot",
     "percent_rank_global": "one row per slot",
     "composite_score": "one row per slot",
 }
@@ -31,9 +32,9 @@ def test_no_pairs_and_no_python_rows(spark, key):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = plan_of(QUERIES["left_join_exact2"](spark, SF))
-    details = [line for line in plan.splitlines() if "FileScan" in line and "p_retailprice" in line]
-    assert details and "Not(EqualTo(p_type,SMALL))" in details[0]
+    plan = plan_of(QUERIES["snapshot_diff"](spark, SF))
+    lines = [line for line in plan.splitlines() if "FileScan" in line and "l_shipdate" in line]
+    assert len(lines) == 2 and all(re.search(r"PushedFilters: \[[^]]*(LessThan|GreaterThanOrEqual)\(l_shipdate", x) for x in lines)
     scan = plan_of(QUERIES["table_scan"](spark, SF))
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in scan
 

