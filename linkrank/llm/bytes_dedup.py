@@ -22,7 +22,7 @@ from linkrank.llm.registry import query
 from linkrank.llm.stages import given_id, read
 
 WINDOW = 100
-ANCHOR = 16
+ANCHOR = 32
 
 
 def _values(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

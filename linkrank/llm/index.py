@@ -75,45 +75,72 @@ class Suffixes:
     """Suffixes of several strings, sorted up to ``depth`` symbols.
 
     ``symbols`` holds the strings one after the other, each followed by a 0 that stands nowhere
-    else. A suffix ends at its string's 0.
+    else. A suffix ends at its string's 0. Ranks of the first so many symbols are made of three
+    shorter ones at a time; the first ranks are symbols packed into one number.
     """
 
+    BITS = 21  #: of a rank; three fit into a number
+
     def __init__(self, symbols: np.ndarray, depth: int):
+        if len(symbols) >= 1 << self.BITS:
+            raise ValueError("the shard is too large")
         ends = np.flatnonzero(symbols == 0)
-        n = len(symbols)
         self.end = np.repeat(ends, np.diff(np.concatenate([[-1], ends])))
-        self.place = np.arange(n)
+        self.place = np.arange(len(symbols))
         self.ranks = {1: symbols.astype(np.int64)}
-        width = 1
-        while width * 2 <= depth:
-            self.ranks[width * 2] = self._named(width, width)
-            width *= 2
-        whole, have = self.ranks[width], width
-        for part in sorted(self.ranks, reverse=True):
-            if have + part <= depth:
-                key = whole * (int(self.ranks[part].max()) + 1) + self._after(part, have)
-                whole = np.unique(key, return_inverse=True)[1]
-                have += part
-        self.order = np.argsort(whole, kind="stable")
+        width = min(depth, max(1, 3 * self.BITS // int(symbols.max()).bit_length()))
+        if width > 1:
+            self.ranks[width] = self._packed(width)
+        while width * 3 <= depth:
+            self.ranks[width * 3] = self._named([(width, 0), (width, width), (width, 2 * width)])
+            width *= 3
+        key = self._combined(self._parts(depth))
+        self.order = np.argsort(key, kind="stable")
         self.transform = np.where(self.order > 0, symbols[self.order - 1], 0)
 
-    def _after(self, width: int, skip: int) -> np.ndarray:
-        return self.ranks[width][np.minimum(self.place + skip, self.end)]
-
-    def _named(self, width: int, skip: int) -> np.ndarray:
-        first = self.ranks[width]
-        return np.unique(first * (int(first.max()) + 1) + self._after(width, skip), return_inverse=True)[1]
+    def _packed(self, width: int) -> np.ndarray:
+        symbols, bits = self.ranks[1], int(self.ranks[1].max()).bit_length()
+        key = symbols.copy()
+        for k in range(1, width):
+            key = key << bits | symbols[np.minimum(self.place + k, self.end)]
+        return np.unique(key, return_inverse=True)[1]
+
+    def _parts(self, depth: int) -> list[tuple[int, int]]:
+        """Widths and offsets of known ranks that cover ``depth`` symbols; the last may overlap."""
+        parts, have = [], 0
+        while have < depth:
+            enough = [w for w in self.ranks if w >= depth - have and w <= depth]
+            if enough:
+                parts.append((min(enough), depth - min(enough)))
+                break
+            parts.append((max(w for w in self.ranks if w <= depth), have))
+            have += parts[-1][0]
+        return parts
+
+    def _combined(self, parts: list[tuple[int, int]]) -> np.ndarray:
+        """One number that sorts by several ranks."""
+        key = None
+        for k, (width, skip) in enumerate(parts):
+            rank = self.ranks[width][np.minimum(self.place + skip, self.end)]
+            if key is None:
+                key = rank
+                continue
+            if k >= 3:
+                key = np.unique(key, return_inverse=True)[1]
+            key = key << self.BITS | rank
+        return key
+
+    def _named(self, parts: list[tuple[int, int]]) -> np.ndarray:
+        return np.unique(self._combined(parts), return_inverse=True)[1]
 
     def run_starts(self, depth: int) -> np.ndarray:
         """Whether a suffix differs from the one before it within the first ``depth`` symbols."""
         new = np.zeros(len(self.order), bool)
         new[0] = True
-        have = 0
-        for part in sorted(self.ranks, reverse=True):
-            while have + part <= depth:
-                values = self.ranks[part][np.minimum(self.order + have, self.end[self.order])]
-                new[1:] |= values[1:] != values[:-1]
-                have += part
+        end = self.end[self.order]
+        for width, skip in self._parts(depth):
+            values = self.ranks[width][np.minimum(self.order + skip, end)]
+            new[1:] |= values[1:] != values[:-1]
         return new
 
 

@@ -4,9 +4,9 @@ Both operators on repeated passages ask which windows of a fixed number of units
 also start earlier. The window's rarest-looking part, the k units with the smallest hash, is its
 anchor; equal windows have equal anchors at equal places. Neighbouring windows with one anchor
 form a stretch. Stretches whose anchor occurs once in the corpus hold no repeat and end here.
-The others are collapsed to distinct stretches with their first occurrence and spread over shards
-by anchor, where an index finds each window's earliest occurrence. All windows of a stretch that
-is not its own first occurrence start earlier too.
+The others are collapsed to distinct stretches with their first occurrence: all windows of any
+later occurrence start earlier too. Where an anchor has several distinct stretches, these are
+spread over shards by anchor, and an index finds the earliest occurrence of each window.
 
 An anchor with more than ``MOST_STRETCHES`` distinct stretches would overfill a shard. Its windows
 are dealt out by their 128-bit hashes instead, and the first start of each is taken.
@@ -284,11 +284,14 @@ def find_repeats(rows: DataFrame, units: Units, earliest: Callable[[Shard, int],
     distinct = occurrences.groupBy("anchor", "content").agg(first, F.first("length").alias("length"))
     distinct = store(distinct.select("anchor", "content", "first.*", "length"))
     release(spark)
-    wanted = distinct.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "content", "start", "length")).alias("wanted"))
+    counts = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    counts = store(counts)
+    unlike = distinct.join(counts.select("anchor"), "anchor", "left_semi")
+    wanted = unlike.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "content", "start", "length")).alias("wanted"))
     bodies = store(rows.join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "wanted").mapInArrow(_bodies(units), _BODY))
     release(spark)
 
-    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > MOST_STRETCHES).select("anchor")
+    crowded = counts.where(F.col("c") > MOST_STRETCHES).select("anchor")
     crowded = store(crowded)
     spread = bodies.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     verdicts = spread.mapInArrow(_index(units, earliest), _VERDICT)
