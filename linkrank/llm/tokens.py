@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 #: Words that each Python worker keeps with their ids; twice as many while it changes tables.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 
 #: So many unknown words are encoded as one text.
 JOINED_WORDS = 1000
