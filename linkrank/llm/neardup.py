@@ -11,6 +11,7 @@ Documents with equal sets are one class from the start. Partial keys that only o
 dropped before table keys are formed. In a table's bucket a few centres are linked to the other
 members instead of linking all pairs; after the confirmed links are joined into components, the
 pairs of a bucket that are still in different components are compared too, so no link is lost.
+Of these, only pairs are made whose common shingles can still be enough.
 """
 
 from __future__ import annotations
@@ -121,18 +122,25 @@ def _sets(size: int):
     return run
 
 
-def _table_members(classes: DataFrame) -> DataFrame:
-    """Classes that share a table key with another class: t, rep, n."""
-    side = F.explode(F.array(F.struct(F.lit(0).alias("right"), F.col("left").alias("keys")), F.struct(F.lit(1).alias("right"), F.col("right").alias("keys"))))
-    keys = classes.select("rep", "n", side.alias("side"))
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """Classes with their partial keys that another class has too: rep, n, l, r."""
+    sides = F.array(
+        F.struct(F.lit(0).alias("right"), F.col("left").alias("keys")),
+        F.struct(F.lit(1).alias("right"), F.col("right").alias("keys")),
+    )
+    keys = classes.select("rep", "n", F.explode(sides).alias("side"))
     keys = keys.select("rep", "n", "side.right", F.explode("side.keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    keys = keys.join(shared, "key", "left_semi")
-    both = keys.groupBy("rep", "n").agg(
+    both = keys.join(shared, "key", "left_semi").groupBy("rep", "n").agg(
         F.collect_list(F.when(F.col("right") == 0, F.col("key"))).alias("l"),
         F.collect_list(F.when(F.col("right") == 1, F.col("key"))).alias("r"),
     )
-    tables = both.where((F.size("l") > 0) & (F.size("r") > 0)).select("rep", "n", F.explode("l").alias("l"), "r")
+    return both.where((F.size("l") > 0) & (F.size("r") > 0))
+
+
+def _table_members(keyed: DataFrame) -> DataFrame:
+    """One row per table key of a class: t, rep, n."""
+    tables = keyed.select("rep", "n", F.explode("l").alias("l"), "r")
     tables = tables.select("rep", "n", "l", F.explode("r").alias("r"))
     return tables.select(F.xxhash64("l", "r").alias("t"), "rep", "n")
 
@@ -142,6 +150,39 @@ def _alike(percent: int):
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
+def _common_at_most(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """For classes that are still apart: how many of their shingles any other of them has."""
+    theirs = sets.join(apart.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    single = theirs.groupBy("doc").agg(F.count("*").alias("texts"))
+    each = theirs.select("doc", F.explode("shingles").alias("s")).groupBy("s")
+    lone = each.agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("lone"))
+    facts = single.join(lone, "doc", "left").select(
+        F.col("doc").alias("rep"), F.when(F.col("texts") == 1, F.coalesce("lone", F.lit(0))).otherwise(0).alias("lone")
+    )
+    return apart.join(facts, "rep")
+
+
+def _unlinked_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Each pair of classes that share a table key, are in different components and could still be
+    similar enough, once: in the bucket of its first common left key.
+
+    Shingles that no other class has are in no intersection, which rules out most pairs of a
+    bucket of loose copies before they are made.
+    """
+    rows = classes.select("rep", "n", "l", "r", "component", (F.col("n") - F.col("lone")).alias("m"), F.explode("l").alias("key"))
+    x = rows.select("key", *[F.col(c).alias(f"{c}a") for c in ("rep", "n", "l", "r", "component", "m")])
+    y = rows.select("key", *[F.col(c).alias(f"{c}b") for c in ("rep", "n", "l", "r", "component", "m")])
+    most = F.least("ma", "mb")
+    possible = (
+        (F.col("repa") < F.col("repb"))
+        & (F.col("componenta") != F.col("componentb"))
+        & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+        & F.arrays_overlap("ra", "rb")
+        & (F.array_min(F.array_intersect("la", "lb")) == F.col("key"))
+    )
+    return x.join(y, "key").where(possible).select(F.col("repa").alias("a"), F.col("repb").alias("b"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("sa"))
@@ -171,7 +212,8 @@ def group(
         F.min("doc").alias("rep"), F.first("left").alias("left"), F.first("right").alias("right")
     )
     classes = store(classes)
-    members = store(_table_members(classes))
+    keyed = store(_shared_keys(classes))
+    members = store(_table_members(keyed))
     release(docs.sparkSession)
 
     # The centres of a bucket: the smallest id, and the smallest by a few other orders.
@@ -197,13 +239,11 @@ def group(
     # Pairs of a bucket that the centres did not bring together.
     labels = found.select(F.col("node").alias("rep"), F.col("component"))
     placed = members.join(shared, "t", "left_semi").join(labels, "rep", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    placed = placed.select("t", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    apart = store(placed.join(apart.select("t"), "t", "left_semi"))
-    x = apart.select("t", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = apart.select("t", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "t").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike(percent))
-    pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    apart = store(placed.join(apart.select("t"), "t", "left_semi").select("rep", "component").distinct())
+    left_over = store(keyed.join(_common_at_most(apart, sets), "rep"))
+    pairs = _unlinked_pairs(left_over, percent).join(stars, ["a", "b"], "left_anti")
     more = store(_confirmed(pairs, sets, percent))
     if not more.isEmpty():
         found = store(components(links.union(more)))
