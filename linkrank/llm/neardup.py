@@ -10,8 +10,8 @@ similarity s they miss each other with a probability below 2 * (1 - s ** ROWS) *
 Documents with equal sets are one class from the start. Partial keys that only one class has are
 dropped before table keys are formed. In a table's bucket a few centres are linked to the other
 members instead of linking all pairs; after the confirmed links are joined into components, the
-pairs of a bucket that are still in different components are compared too, so no link is lost.
-Of these, only pairs are made whose common shingles can still be enough.
+pairs of a bucket that are still in different components are compared too, inside the join that
+finds them, so no link is lost.
 """
 
 from __future__ import annotations
@@ -147,38 +147,36 @@ def _table_members(keyed: DataFrame) -> DataFrame:
 
 def _alike(percent: int):
     """Two sets can only be similar enough if their sizes are."""
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
-def _common_at_most(apart: DataFrame, sets: DataFrame) -> DataFrame:
-    """For classes that are still apart: how many of their shingles any other of them has."""
-    theirs = sets.join(apart.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    single = theirs.groupBy("doc").agg(F.count("*").alias("texts"))
-    each = theirs.select("doc", F.explode("shingles").alias("s")).groupBy("s")
-    lone = each.agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1").groupBy("doc").agg(F.count("*").alias("lone"))
-    facts = single.join(lone, "doc", "left").select(
-        F.col("doc").alias("rep"), F.when(F.col("texts") == 1, F.coalesce("lone", F.lit(0))).otherwise(0).alias("lone")
-    )
-    return apart.join(facts, "rep")
+def _with_short_sets(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """Classes that are still apart with their sets cut to 32 bits a shingle, and how many
+    shingles fell together by that."""
+    short = F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int"))
+    short = sets.select(F.col("doc").alias("rep"), F.array_distinct(short).alias("short"), F.size("shingles").alias("n"))
+    return apart.join(short.select("rep", "n", "short", (F.col("n") - F.size("short")).alias("lost")), "rep")
 
 
 def _unlinked_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Each pair of classes that share a table key, are in different components and could still be
-    similar enough, once: in the bucket of its first common left key.
+    """Pairs of classes that share a table key, are in different components and may be similar
+    enough by their short sets, once: in the bucket of their first common left key.
 
-    Shingles that no other class has are in no intersection, which rules out most pairs of a
-    bucket of loose copies before they are made.
+    The join itself compares the sets, so the pairs of a bucket of loose copies are not made.
+    Short sets never hide a link: what fell together is added to the common shingles.
     """
-    rows = classes.select("rep", "n", "l", "r", "component", (F.col("n") - F.col("lone")).alias("m"), F.explode("l").alias("key"))
-    x = rows.select("key", *[F.col(c).alias(f"{c}a") for c in ("rep", "n", "l", "r", "component", "m")])
-    y = rows.select("key", *[F.col(c).alias(f"{c}b") for c in ("rep", "n", "l", "r", "component", "m")])
-    most = F.least("ma", "mb")
+    kept = ("rep", "n", "l", "r", "component", "short", "lost")
+    rows = classes.select(*kept, F.explode("l").alias("key"))
+    x = rows.select("key", *[F.col(c).alias(f"{c}a") for c in kept])
+    y = rows.select("key", *[F.col(c).alias(f"{c}b") for c in kept])
+    common = F.size(F.array_intersect("shorta", "shortb")) + F.col("losta") + F.col("lostb")
     possible = (
         (F.col("repa") < F.col("repb"))
         & (F.col("componenta") != F.col("componentb"))
-        & (100 * most >= percent * (F.col("na") + F.col("nb") - most))
+        & _alike(percent)
         & F.arrays_overlap("ra", "rb")
         & (F.array_min(F.array_intersect("la", "lb")) == F.col("key"))
+        & (100 * common >= percent * (F.col("na") + F.col("nb") - common))
     )
     return x.join(y, "key").where(possible).select(F.col("repa").alias("a"), F.col("repb").alias("b"))
 
@@ -242,8 +240,8 @@ def group(
     placed = placed.select("t", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     apart = store(placed.join(apart.select("t"), "t", "left_semi").select("rep", "component").distinct())
-    left_over = store(keyed.join(_common_at_most(apart, sets), "rep"))
-    pairs = _unlinked_pairs(left_over, percent).join(stars, ["a", "b"], "left_anti")
+    left_over = keyed.join(_with_short_sets(apart, sets), ["rep", "n"])
+    pairs = _unlinked_pairs(left_over, percent).distinct().join(stars, ["a", "b"], "left_anti")
     more = store(_confirmed(pairs, sets, percent))
     if not more.isEmpty():
         found = store(components(links.union(more)))
