@@ -122,10 +122,10 @@ def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
     return hosts.select("host", "n", "failed", shrunk.alias("host_rate"), (shrunk > rules.max_host_rate).alias("host_rejected"))
 
 
-def judge(measured: DataFrame, rules: Rules) -> DataFrame:
-    """Join host verdicts to stored measures. Only rejected hosts are joined; a hot host's rows
+def judge(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Join host verdicts to measures. Only rejected hosts are joined; a hot host's rows
     stay where they are or are split by adaptive execution."""
-    bad = host_verdicts(measured, rules).where("host_rejected").select(F.col("host").alias("bad_host"))
+    bad = verdicts.where("host_rejected").select(F.col("host").alias("bad_host"))
     found = measured.join(bad, F.col("host") == F.col("bad_host"), "left")
     return found.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("bad_host")
 
@@ -139,14 +139,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     rules = rules or Rules()
     measured = store(measure(docs.select(F.col(id_col).alias("id"), text_col, host_col), ["id"], text_col, host_col, rules))
-    return judge(measured, rules).select(F.col("row.id").alias("doc_id"), *MEASURES, "base_failed", "kept")
+    return judge(measured, host_verdicts(measured, rules)).select(F.col("row.id").alias("doc_id"), *MEASURES, "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules | None = None) -> DataFrame:
     """Only the documents that pass, with all their columns; see ``score``."""
     rules = rules or Rules()
-    measured = store(measure(docs, docs.columns, text_col, host_col, rules))
-    return judge(measured, rules).where("kept").select("row.*")
+    measured = store(measure(docs.select(text_col, host_col), [host_col], text_col, host_col, rules))
+    bad = host_verdicts(measured, rules)
+    return judge(measure(docs, docs.columns, text_col, host_col, rules), bad).where("kept").select("row.*")
 
 
 _SQL = r"""
