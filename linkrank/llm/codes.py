@@ -29,6 +29,9 @@ CHUNK = 8
 MAGIC = b"DAC1"
 WORDS_PER_COUNT = 8
 
+#: Encoding is most of the work here and little else is held, so workers keep more words.
+KEPT_WORDS = 800_000
+
 #: A block ends with the first document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
 
@@ -109,7 +112,7 @@ _BLOCKS = "part int, block int, docs array<bigint>, lengths array<bigint>, codes
 
 def _encode_blocks(vocabulary: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, KEPT_WORDS).encode
         part, block = TaskContext.get().partitionId(), 0
         docs, lists, size = [], [], 0
 

@@ -7,8 +7,9 @@ from functools import cache
 
 import numpy as np
 
-#: Words that each Python worker keeps with their ids; twice as many while it changes tables.
-KEPT_WORDS = 800_000
+#: Words that each Python worker keeps with their ids (about 230 bytes each); twice as many while
+#: it changes tables.
+KEPT_WORDS = 250_000
 
 #: So many unknown words are encoded as one text.
 JOINED_WORDS = 1000
@@ -32,7 +33,7 @@ class Encoder:
     and each word is encoded once and then looked up.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, kept_words: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
@@ -41,6 +42,7 @@ class Encoder:
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.id_bytes = np.zeros(max(names.values()) + 1, np.int64)  # one letter stands for one byte
         self.id_bytes[list(names.values())] = [len(x) for x in names]
+        self.kept_words = kept_words
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -66,7 +68,7 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the table; from now on they are."""
-        if len(self.words) + len(words) > KEPT_WORDS:
+        if len(self.words) + len(words) > self.kept_words:
             self.older, self.words = self.words, {}
         found = {x: self.older[x] for x in words.intersection(self.older)}
         words = words.difference(found)
@@ -98,6 +100,6 @@ class Encoder:
 
 
 @cache
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, kept_words: int = KEPT_WORDS) -> Encoder:
     """One per Python worker."""
-    return Encoder(vocabulary)
+    return Encoder(vocabulary, kept_words)
