@@ -1,10 +1,11 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped into lines, one for each block element. Every line weighs as much as its text
-outside links; a line in a menu, advert, form, comment section or the like weighs nothing. Sums
-over sliding windows of lines rise where the article begins (surge) and fall to nothing where it
-ends (dive). All lines with weight between the two points are kept. Where the page marks its
-article or main part, lines outside of it weigh nothing either, and any sum above zero is a surge.
+outside links; menus, adverts, forms, comment sections and the like are left out. Sums over
+sliding windows of lines rise where the article begins (surge) and fall to nothing where it ends
+(dive). All lines with weight between the two points are kept. Where the page marks an article or main part,
+lines in it weigh more, links too, and windows do not reach across its edges; text outside of it
+needs a surge of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from linkrank.llm.registry import query
 from linkrank.llm.stages import read
 
 WINDOW = 3  #: lines added up
-SURGE = 80  #: characters in a window that begin an article on pages that mark none
+SURGE = 80  #: weight in a window that begins an article
 
 # Element names by their part in a page.
 BLOCKS = frozenset(
@@ -67,7 +68,7 @@ def _unwanted(name: str, attrs: str, inside: bool) -> bool:
     """Whether an element holds something else than the article's text."""
     if name in NEVER_TEXT or (name == "header" and not inside):
         return True
-    if not attrs or name in ("html", "body") or name in ARTICLES:
+    if not attrs or name in ("html", "body"):
         return False
     for key, value in _ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
@@ -85,6 +86,8 @@ def lines_of(page: str) -> list[Line]:
     out: list[Line] = []
     parts: list[str] = []
     linked = article = link_depth = 0
+    closed = False
+    ends_of = {x.lower() for x in re.findall("</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
     skipped, depth = "", 0  # the element that is left out, and how many of its name are open
 
     def close() -> None:
@@ -106,7 +109,7 @@ def lines_of(page: str) -> list[Line]:
         if m["skip"] is not None:
             continue
         name, ends = m["name"].lower(), bool(m["end"])
-        if skipped and not ends and name in ARTICLES and skipped not in ARTICLES:
+        if skipped and not ends and name in ARTICLES and not closed:
             skipped = ""  # an element that was never closed
         if skipped:
             if name == skipped:
@@ -120,11 +123,12 @@ def lines_of(page: str) -> list[Line]:
             parts.append(" ")
         if name == "a":
             link_depth = 0 if ends else 1
-        if name in ARTICLES:
-            article = max(0, article - 1) if ends else article + 1
-        elif not ends and name not in VOID and not m["attrs"].endswith("/") and _unwanted(name, m["attrs"], article > 0):
+        if not ends and name not in VOID and not m["attrs"].endswith("/") and _unwanted(name, m["attrs"], article > 0):
             close()
             skipped, depth = name, 1
+            closed = name in ends_of or name in ("aside", "nav", "section", *ARTICLES)
+        elif name in ARTICLES:
+            article = max(0, article - 1) if ends else article + 1
     close()
     return out
 
@@ -132,25 +136,24 @@ def lines_of(page: str) -> list[Line]:
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Lines between surge and dive points, joined by line breaks."""
     lines = lines_of(page)
-    marked = any(x.in_article for x in lines)
-    if marked:
-        lines = [x if x.in_article else Line(x.text, 0, False) for x in lines]
-        weights, surge = [len(x.text) if x.in_article else 0 for x in lines], 1
-    else:
-        weights = [x.weight for x in lines]
+    weights = [len(x.text) * surge if x.in_article else x.weight for x in lines]
     n = len(lines)
-    ahead = [0] * (n + 1)  # sums of the window that begins at each line
-    for i in range(n - 1, -1, -1):
-        ahead[i] = ahead[i + 1] + weights[i] - (weights[i + window] if i + window < n else 0)
     kept: list[str] = []
     inside = False
-    for i in range(n):
-        if not inside and weights[i] and ahead[i] >= surge:
+    for i, line in enumerate(lines):
+        ahead = 0  # of the window that begins here and ends at the edge of a marked part at the latest
+        for j in range(i, min(i + window, n)):
+            if lines[j].in_article != line.in_article:
+                break
+            ahead += weights[j]
+        if inside and i and lines[i - 1].in_article != line.in_article:
+            inside = False
+        if not inside and weights[i] and ahead >= surge:
             inside = True
-        elif inside and not ahead[i]:
+        elif inside and not ahead:
             inside = False
         if inside and weights[i]:
-            kept.append(lines[i].text)
+            kept.append(line.text)
     return "\n".join(kept)
 
 

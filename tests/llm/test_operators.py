@@ -324,3 +324,13 @@ def test_odd_pages(spark):
     got = pages.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit(1)))
     assert all((r["text"], r["n_chars"]) == ("", 0) for r in got.where("page_id is null or page_id in (1, 3)").collect())
     assert got.count() == 5 and got.limit(0).collect() == []
+
+
+LONG = "A sentence of the real story that goes on for a while. " * 4
+
+
+def test_unmarked_text_beside_articles_of_other_kinds():
+    page = "<div class=entry><p>%s</p></div><section class=comments><article class=comment>First!</article></section>"
+    assert pages.main_text(page % LONG) == LONG.strip()
+    page = "<p>By A</p><article><p>Short</p></article><div><p>%s</p></div><aside><article>%s</article></aside>"
+    assert pages.main_text(page % (LONG, LONG)) == "Short\n" + LONG.strip()
