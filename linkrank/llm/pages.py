@@ -3,7 +3,7 @@
 Markup is stripped into lines, one for each block element. Every line weighs as much as its text
 outside links; menus, adverts, forms, comment sections and the like are left out. Sums over
 sliding windows of lines rise where the article begins (surge) and fall to nothing where it ends
-(dive). All lines with weight between the two points are kept. Where the page marks an article or main part,
+(dive). All lines between the two points are kept. Where the page marks an article or main part,
 lines in it weigh more, links too, and windows do not reach across its edges; text outside of it
 needs a surge of its own.
 """
@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -39,14 +40,31 @@ NEVER_TEXT = frozenset(
 ARTICLES = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
+#: Parts of class names and ids that tell what an element is.
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|"
+    r"ad|ads|adv|advert\w*|adsense|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|"
     r"discussion|disclaimer|dialog|footer|form|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|"
     r"notices?|notification|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|"
-    r"skyscraper|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget)(?=$|[\s_-])",
-    re.IGNORECASE,
+    r"skyscraper|social|sponsor\w*|subscribe|subscription|toolbar|topbar|widget"
+)
+#: Parts that may stand beside them; any other (has-sidebar, no-comments) makes it a different name.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons container global icons inner item items link links list page primary "
+    "section secondary site slot top unit wrap wrapper".split()
+)
+HEADERS = frozenset(("header", "pageheader", "siteheader", "heading"))
+#: Elements that hold articles of their own; other unwanted ones that are never closed end where an article begins.
+CLOSED = re.compile(r"comments?|commentlist|disqus|discussion|replies|reply|respond|nav|navbar|navigation|menu|menubar|related|sidebar")
+
+# What the HTML standard says on end tags that may be left out.
+NO_END = frozenset("body dd dt head html li optgroup option p tbody td tfoot th thead tr".split())
+CLOSE_P = BLOCKS - frozenset("body caption html legend option tbody td tfoot th thead tr".split())
+SCOPE = ("button", "caption", "object", "table", "td", "th")
+FORMATS = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+IN_HEAD = frozenset("base bgsound head html link meta noscript script style template title".split())
+SIBLINGS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",), "optgroup": ("option", "optgroup")} | dict.fromkeys(
+    ("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot")
 )
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|heading-bar|page-?header|site-?header)(?=$|[\s_-])", re.IGNORECASE)
 
 _PARTS = re.compile(
     r"""(?P<skip><!--.*?(?:-->|\Z)|<(?P<raw>script|style|noembed|noframes|xmp)\b(?>[^>"']|"[^"]*"|'[^']*')*+>"""
@@ -54,7 +72,7 @@ _PARTS = re.compile(
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^>"']|"[^"]*"|'[^']*')*+)(?:>|\Z)|(?P<text>[^<]++|<)""",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 @dataclass
@@ -62,75 +80,171 @@ class Line:
     text: str
     weight: int
     in_article: bool
+    form: int = -1  #: the form it lies in
+
 
+def _is_unwanted(token: str, names: re.Pattern, more: frozenset[str]) -> bool:
+    parts = [x for x in re.split("[_-]+", token) if x]
+    told = [bool(names.fullmatch(x)) or x in more for x in parts]
+    return any(told) and all(t or x in BESIDE for t, x in zip(told, parts, strict=True))
 
-def _unwanted(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds something else than the article's text."""
-    if name in NEVER_TEXT or (name == "header" and not inside):
-        return True
+
+def _unwanted(name: str, attrs: str, inside: bool) -> str:
+    """How an element is known to hold something else than the article's text, or nothing.
+
+    "open" is one that ends where an article begins if it is never closed.
+    """
+    if name in NEVER_TEXT and name != "form" or name == "header" and not inside:
+        return "closed"
     if not attrs or name in ("html", "body"):
-        return False
+        return ""
+    given: dict[str, str] = {}
     for key, value in _ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" and not value or key == "aria-hidden" and value == "true":
-            return True
-        if key == "role" and value.lower() in ROLES:
-            return True
-        if key in ("class", "id") and (NAMES.search(value) or not inside and HEADERS.search(value)):
-            return True
-    return False
+        given.setdefault(key.lower(), value.strip("\"'").lower())
+    if given.get("hidden", "until-found") != "until-found" or given.get("aria-hidden") == "true":
+        return "closed"
+    if given.get("role") in ROLES and (name, given["role"]) != ("form", "form"):
+        return "closed"
+    tokens = f"{given.get('class', '')} {given.get('id', '')}".split()
+    if name == "form":
+        tokens = [x for x in tokens if x != "form"]
+    found = [x for x in tokens if _is_unwanted(x, NAMES, frozenset() if inside else HEADERS)]
+    if any(CLOSED.fullmatch(y) for x in found for y in re.split("[_-]+", x)):
+        return "closed"
+    return "open" if found else ""
+
+
+def _ends(parts: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """For each start tag: which part ends its element, and whether that is its own end tag."""
+    ends: dict[int, tuple[int, bool]] = {}
+    stack: list[tuple[str, int]] = []
+    at: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    blocks: list[int] = []
+    stops: list[int] = []  # elements through which no list item is closed
+
+    def pop_to(k: int, i: int, own: bool = False) -> None:
+        while len(stack) > k:
+            name, start = stack.pop()
+            for places in (at[name], blocks, stops):
+                if places and places[-1] == len(stack):
+                    places.pop()
+            ends.setdefault(start, (i, own and len(stack) == k))
+
+    def last(names: Iterable[str]) -> int:
+        return max((at[x][-1] for x in names if at[x]), default=-1)
+
+    for i, m in enumerate(parts):
+        if m["skip"] is not None:
+            continue
+        if m["text"] is not None:
+            if stack and stack[-1][0] == "head" and m["text"].strip():
+                pop_to(len(stack) - 1, i)
+            continue
+        name = m["name"].lower()
+        if m["end"]:
+            k = last((name,))
+            if k < 0 or name not in ARTICLES and name not in NO_END and k < last(x for x in SCOPE if x != name) and name not in SCOPE:
+                continue
+            if name == "p" and k < last(SCOPE):
+                continue
+            if name in FORMATS and blocks and blocks[-1] > k:
+                at[name].pop()
+                ends[stack[k][1]] = (i, True)
+            else:
+                pop_to(k, i, True)
+            continue
+        if at["head"] and name not in IN_HEAD:
+            pop_to(at["head"][-1], i)
+        if name in CLOSE_P and at["p"] and at["p"][-1] > last(SCOPE):
+            pop_to(at["p"][-1], i)
+        if name in ("li", "dd", "dt") and stops and stack[stops[-1]][0] in (("li",) if name == "li" else ("dd", "dt")):
+            pop_to(stops[-1], i)
+        elif name in SIBLINGS:
+            group = [x for x in SIBLINGS[name] if at[x] and at[x][-1] > last(("table", "select"))]
+            if name in ("tr", "thead", "tbody", "tfoot"):  # cells and rows that are still open end, too
+                group = [x for x in ("td", "th", "tr", "thead", "tbody", "tfoot") if at[x] and at[x][-1] > last(("table",))]
+                group = [x for x in group if name != "tr" or x in ("td", "th", "tr")]
+            if group:
+                pop_to(min(at[x][-1] for x in group), i)
+        if name in VOID or m["attrs"].endswith("/"):
+            continue
+        at[name].append(len(stack))
+        if name in BLOCKS:
+            blocks.append(len(stack))
+            if name not in ("address", "div", "p"):
+                stops.append(len(stack))
+        stack.append((name, i))
+    pop_to(0, len(parts))
+    return ends
 
 
 def lines_of(page: str) -> list[Line]:
-    """The text of each block, in page order, with its weight."""
+    """The text of each block, in page order, with its weight.
+
+    A form's lines are left out unless they hold most of the text: some pages are one form.
+    """
     out: list[Line] = []
-    parts: list[str] = []
-    linked = article = link_depth = 0
-    closed = False
-    ends_of = {x.lower() for x in re.findall("</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
-    skipped, depth = "", 0  # the element that is left out, and how many of its name are open
+    texts: list[str] = []
+    parts = list(_PARTS.finditer(page))
+    ends = _ends(parts)
+    linked = link_depth = article_end = form_end = 0
+    form = -1
 
     def close() -> None:
         nonlocal linked
-        if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+        if texts:
+            text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                out.append(Line(text, max(0, len(text) - linked), article > 0))
-            parts.clear()
+                out.append(Line(text, max(0, len(text) - linked), inside, form))
+            texts.clear()
         linked = 0
 
-    for m in _PARTS.finditer(page):
+    inside = False
+    i = -1
+    while (i := i + 1) < len(parts):
+        m = parts[i]
+        if inside and i >= article_end or form >= 0 and i >= form_end:
+            close()
+            inside = inside and i < article_end
+            form = form if i < form_end else -1
         if m["text"] is not None:
-            if not skipped:
-                parts.append(m["text"])
-                if link_depth:
-                    linked += len(m["text"].strip())
+            texts.append(m["text"])
+            if link_depth:
+                linked += len(m["text"].strip())
             continue
         if m["skip"] is not None:
             continue
-        name, ends = m["name"].lower(), bool(m["end"])
-        if skipped and not ends and name in ARTICLES and not closed:
-            skipped = ""  # an element that was never closed
-        if skipped:
-            if name == skipped:
-                depth += -1 if ends else 1
-                if not depth:
-                    skipped = ""
-            continue
+        name, tag_ends = m["name"].lower(), bool(m["end"])
         if name in BLOCKS or name in NEVER_TEXT and name not in ("label", "button", "input"):
             close()
         elif name == "br":
-            parts.append(" ")
+            texts.append(" ")
         if name == "a":
-            link_depth = 0 if ends else 1
-        if not ends and name not in VOID and not m["attrs"].endswith("/") and _unwanted(name, m["attrs"], article > 0):
-            close()
-            skipped, depth = name, 1
-            closed = name in ends_of or name in ("aside", "nav", "section", *ARTICLES)
+            link_depth = 0 if tag_ends else 1
+        if tag_ends or i not in ends:
+            continue
+        how = _unwanted(name, m["attrs"], inside)
+        end, own = ends[i]
+        if how:
+            if name not in FORMATS and name not in ("label", "button", "span"):
+                close()
+            if how == "open" and not own and name not in NO_END:  # an element that was never closed
+                end = next((j for j in range(i + 1, end) if j in ends and parts[j]["name"].lower() in ARTICLES), end)
+                own = False
+            if name == "a":
+                link_depth = 0
+            i = end if own else end - 1
         elif name in ARTICLES:
-            article = max(0, article - 1) if ends else article + 1
+            article_end = max(article_end, end) if inside else end
+            inside = True
+        elif name == "form" and form < 0:
+            form, form_end = i, end
     close()
-    return out
+    total = sum(len(x.text) for x in out)
+    held: Counter[int] = Counter()
+    for x in out:
+        held[x.form] += len(x.text)
+    return [x for x in out if x.form < 0 or 2 * held[x.form] > total]
 
 
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -152,7 +266,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
             inside = True
         elif inside and not ahead:
             inside = False
-        if inside and weights[i]:
+        if inside:
             kept.append(line.text)
     return "\n".join(kept)
 

@@ -334,3 +334,21 @@ def test_unmarked_text_beside_articles_of_other_kinds():
     assert pages.main_text(page % LONG) == LONG.strip()
     page = "<p>By A</p><article><p>Short</p></article><div><p>%s</p></div><aside><article>%s</article></aside>"
     assert pages.main_text(page % (LONG, LONG)) == "Short\n" + LONG.strip()
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<p style="overflow:hidden" title="The hidden valley">%s</p>', [LONG]),
+        ("<div class='content has-sidebar'>%s</div>", [LONG]),
+        ("<article><p class=ad>Buy<p>%s</p><p>More</p></article>", [LONG, "More"]),
+        ("<article><ul><li class=ad>Buy<li>Real</ul><div><span class=ad>Buy</div><p>%s</article>", ["Real", LONG]),
+        ("<form id=form><input><p>%s</p></form>", [LONG]),
+        ("<p>%s</p><p><a href=x>a link</a></p><p>the end</p>", [LONG, "a link", "the end"]),
+        ("<head><title>T</title><p>%s", [LONG]),
+        ("<p hidden>no</p><p>%s</p><p aria-hidden='true'>no</p><div class='cookie-notice'>no</div>", [LONG]),
+        ("<table><tr class=ad><td>Buy<tr><td>%s</table>", [LONG]),
+    ],
+)
+def test_skipping_ends_where_the_element_does(page, expected):
+    assert pages.main_text(page % LONG) == "\n".join(x.strip() for x in expected)
