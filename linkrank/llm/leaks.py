@@ -1,11 +1,13 @@
 """Benchmark leaks by template canonicalisation, re-parameterised questions included.
 
 Numbers, units after numbers, and names become typed placeholders. Windows of the resulting
-templates are hashed and joined, so a question with other numbers or names still matches. Windows
-of a document and an item that lie on one diagonal form an alignment; there, each value of the
-item must stand for one value of the document throughout, or the alignment is a chance match of
-templates and does not count. A document leaks an item when its consistent alignments cover
-enough of the item's windows.
+templates are hashed and joined, so a question with other numbers or names still matches; words
+are compared in lower case, and windows with names also without placeholders for them. Windows
+of a document and an item that lie on one diagonal form an alignment. Windows with the item's own
+values always count. Of those with other values, the ones that hold a value that stands for
+several values of the document do not count; and none does where such a value also stands for
+itself, as then the values are not replaced throughout. A document leaks an item when the windows
+that count cover enough of the item's.
 
 All of it is Spark column expressions.
 """
@@ -40,14 +42,16 @@ _TOKEN = _MARK + r"?+[\p{L}\p{M}]++(?:['’/-][\p{L}\p{M}]++)*+|[0-9]++(?:[.,][0
 
 
 def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
-    """One row per template window: the keys, position, template (its hash), slots (its values).
+    """Rows of template windows: the keys, position, template (its hash), slots (its values).
 
-    A name is a word with a capital first letter that does not begin a sentence.
+    A name is a word with a capital first letter that does not begin a sentence. A window with
+    names has a second row in which they are words in lower case, as in a copy in one case.
     """
     marked = F.lower(F.regexp_replace(text, _NAME, f"{_MARK}$1"))
     rows = docs.select(*keys, F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)).alias("tokens"), marked.alias("marked"))
-    has_numbers = F.col("marked").rlike("[0-9]")
-    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), (has_numbers | F.contains("marked", F.lit(_MARK))).alias("slotted"))
+    has_numbers, has_names = F.col("marked").rlike("[0-9]"), F.contains("marked", F.lit(_MARK))
+    words = F.transform("tokens", lambda x: F.translate(x, _MARK, ""))
+    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), has_names.alias("names"), F.when(has_names, words).alias("words"))
 
     def is_name(x: Column) -> Column:
         return x < chr(ord(_MARK) + 1)
@@ -55,26 +59,41 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
     def is_number(x: Column) -> Column:
         return x < chr(ord("9") + 1)
 
-    def is_unit(x: Column, i: Column) -> Column:
-        return F.col("numbers") & (i > 0) & is_number(F.get("tokens", i - 1)) & ~is_name(F.get("tokens", i - 1)) & x.isin(UNITS)
+    def coded(tokens: str, slotted: Column) -> tuple[Column, Column]:
+        def is_unit(x: Column, i: Column) -> Column:
+            return F.col("numbers") & (i > 0) & is_number(F.get(tokens, i - 1)) & ~is_name(F.get(tokens, i - 1)) & x.isin(UNITS)
 
-    def kind(x: Column, i: Column) -> Column:
-        return F.when(is_name(x), 3).when(is_number(x), 1).when(is_unit(x, i), 2)
+        def kind(x: Column, i: Column) -> Column:
+            return F.when(is_name(x), 3).when(is_number(x), 1).when(is_unit(x, i), 2)
 
-    templates = F.transform("tokens", lambda x, i: F.coalesce(kind(x, i).cast("long"), F.xxhash64(x)))
-    values = F.transform("tokens", lambda x, i: F.concat(kind(x, i).cast("string"), x))
-    rows = rows.select(*keys, templates.alias("templates"), F.when(F.col("slotted"), values).alias("values"))
+        templates = F.transform(tokens, lambda x, i: F.coalesce(kind(x, i).cast("long"), F.xxhash64(x)))
+        return templates, F.when(slotted, F.transform(tokens, lambda x, i: F.concat(kind(x, i).cast("string"), x)))
 
-    def window(i: Column) -> Column:  # by element: cutting a slice reads the whole array
-        slots = F.concat_ws("\u0001", *[F.get("values", i + k) for k in range(size)])
-        return F.struct(
-            i.alias("position"),
-            F.xxhash64(*[F.get("templates", i + k) for k in range(size)]).alias("template"),
-            F.when(F.col("values").isNull(), F.lit("")).otherwise(slots).alias("slots"),
-        )
+    templates, values = coded("tokens", F.col("numbers") | F.col("names"))
+    word_templates, word_values = coded("words", F.col("numbers"))
+    rows = rows.select(
+        *keys, "names", templates.alias("templates"), values.alias("values"), word_templates.alias("word_templates"), word_values.alias("word_values")
+    )
+
+    def window(templates: str, values: str):  # by element: cutting a slice reads the whole array
+        def at(i: Column) -> Column:
+            slots = F.concat_ws("\u0001", *[F.get(values, i + k) for k in range(size)])
+            return F.struct(
+                i.alias("position"),
+                F.xxhash64(*[F.get(templates, i + k) for k in range(size)]).alias("template"),
+                F.when(F.col(values).isNull(), F.lit("")).otherwise(slots).alias("slots"),
+            )
+
+        return at
+
+    def named(i: Column) -> Column:
+        return F.lit(3).isin(*[F.get("templates", i + k) for k in range(size)])
 
     places = F.when(F.size("templates") >= size, F.sequence(F.lit(0), F.size("templates") - size))
-    return rows.select(*keys, F.explode(F.transform(places, window)).alias("w")).select(*keys, "w.*")
+    typed = F.transform(places, window("templates", "values"))
+    plain = F.transform(F.filter(places, named), window("word_templates", "word_values"))
+    both = F.when(F.col("names"), F.concat(typed, plain)).otherwise(typed)
+    return rows.select(*keys, F.explode(both).alias("w")).select(*keys, "w.*")
 
 
 def find_leaks(
@@ -95,7 +114,7 @@ def find_leaks(
     items = benchmark.select(known_id(item_col).alias("item"), whole_text(item_text_col).alias("item_text")).distinct()
     keyed = items.select("item", F.xxhash64("item_text").alias("version"), "item_text")
     known = store(windows(keyed, ["item", "version"], F.col("item_text"), size))
-    parts = known.groupBy("item", "version").agg(F.count("*").alias("parts"))
+    parts = known.groupBy("item", "version").agg(F.countDistinct("position").alias("parts"))
     known = known.select("item", "version", F.col("position").alias("item_position"), "template", F.col("slots").alias("item_slots"))
     text = whole_text(text_col)
     rows = docs.select(known_id(id_col).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("doc_text"))
@@ -106,11 +125,13 @@ def find_leaks(
     found = found.withColumn("diagonal", F.col("position") - F.col("item_position"))
     found = store(found.select(*here, "diagonal", "item_position", "slots", "item_slots").distinct())
 
-    pairs = F.arrays_zip(F.split("item_slots", "\u0001").alias("old"), F.split("slots", "\u0001").alias("new"))
+    old_values = F.split("item_slots", "\u0001")
+    pairs = F.arrays_zip(old_values.alias("old"), F.split("slots", "\u0001").alias("new"))
     slots = found.where("slots <> ''").select(*here, "diagonal", F.explode(pairs).alias("p")).select(*here, "diagonal", "p.*")
-    slots = slots.distinct().groupBy(*here, "diagonal", "old").agg(F.count("*").alias("c"))
-    chance = slots.where("c > 1").select(*here, "diagonal").distinct()
-    sound = found.join(chance, [*here, "diagonal"], "left_anti")
+    slots = slots.distinct().groupBy(*here, "diagonal", "old").agg(F.count("*").alias("c"), F.max(F.col("old") == F.col("new")).alias("kept"))
+    chance = slots.where("c > 1").groupBy(*here, "diagonal").agg(F.collect_list("old").alias("olds"), F.max("kept").alias("kept"))
+    sound = (F.col("slots") == F.col("item_slots")) | F.col("olds").isNull() | ~F.col("kept") & ~F.arrays_overlap(old_values, "olds")
+    sound = found.join(chance, [*here, "diagonal"], "left").where(sound)
     changed = F.max((F.col("slots") != F.col("item_slots")).cast("int"))
     covered = sound.groupBy(*here, "item_position").agg(changed.alias("changed"))
     covered = covered.groupBy(*here).agg(F.count("*").alias("hits"), F.max("changed").alias("changed"))

@@ -224,6 +224,29 @@ def test_a_large_benchmark_is_joined_by_shuffling(docs, spark, monkeypatch):
     assert {r["doc_id"]: r["contaminated"] for r in got} == {1: True, 2: False}
 
 
+def leaked(docs, spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in leaks.report(docs(list(enumerate(texts))), bench).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_one_inconsistent_value_does_not_hide_a_leak(docs, spark):
+    item = "A train leaves at 9 and goes 120 km to reach Boston before the 9 oclock bell rings for Alice"
+    two = "When Bob adds 2 apples to 2 pears and then gives away 8 of them to his sister how many are left over"
+    texts = [item.replace("at 9", "at 7"), two.replace("2 apples", "3 apples").replace("2 pears", "4 pears").replace("8", "5"), two]
+    edited, roles, same = leaked(docs, spark, texts, [item, two])
+    assert (edited["item_ids"], edited["coverage"]) == ([0], 11 / 16)
+    assert roles["item_ids"] == [1] and roles["reparameterised"] and 0.5 <= roles["coverage"] < 1
+    assert (same["item_ids"], same["coverage"], same["reparameterised"]) == ([1], 1.0, False)
+
+
+def test_copies_in_one_case(docs, spark):
+    item = "Gestern lief der Hund mit dem Ball durch den Garten und für 5 Euro schlief die Katze im Haus"
+    texts = [item.lower(), item.upper(), item, item.lower().replace("5 euro", "7 euro")]
+    got = leaked(docs, spark, texts, [item])
+    assert [(r["item_ids"], r["coverage"], r["reparameterised"]) for r in got] == [([0], 1.0, x) for x in (False, False, False, True)]
+
+
 # Chat
 
 
