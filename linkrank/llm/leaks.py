@@ -7,14 +7,15 @@ of a document and an item that lie on one diagonal form an alignment. Windows wi
 values always count. Of those with other values, the ones that hold a value that stands for
 several values of the document do not count; and none does where such a value also stands for
 itself, as then the values are not replaced throughout. A document leaks an item when the windows
-that count cover enough of the item's.
+that count cover enough of the item's, or when enough of its words follow each other unchanged.
+Items shorter than a window are looked up as a whole.
 
 All of it is Spark column expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkrank.llm.registry import query
@@ -22,6 +23,7 @@ from linkrank.llm.stages import given_id, known_id, read, store, whole_text
 
 WINDOW = 5
 COVERAGE = 0.5
+RUN = 13  #: words in a row that are a leak whatever their share of the item
 
 #: A benchmark of up to so many windows (about 100 MB) is sent to all executors; a larger one is
 #: joined by shuffling both sides.
@@ -38,7 +40,18 @@ UNITS = (
 #: Put before a name; sorts before digits, which sort before letters.
 _MARK = "\u0002"
 _NAME = r"(\p{Lu})(?<=[^.!?:\s]\s\p{Lu})"
-_TOKEN = _MARK + r"?+[\p{L}\p{M}]++(?:['’/-][\p{L}\p{M}]++)*+|[0-9]++(?:[.,][0-9]++)*+"
+#: Scripts without spaces (Thai to Khmer, Kana, Han): each letter is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_LETTERS = rf"[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]++"
+_TOKEN = rf"{_MARK}?+{_LETTERS}(?:['’/-]{_LETTERS})*+|[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*+|[0-9]++(?:[.,][0-9]++)*+"
+
+
+def _marked(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, _NAME, f"{_MARK}$1"))
+
+
+def _words(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x: F.translate(x, _MARK, ""))
 
 
 def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
@@ -47,11 +60,11 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
     A name is a word with a capital first letter that does not begin a sentence. A window with
     names has a second row in which they are words in lower case, as in a copy in one case.
     """
-    marked = F.lower(F.regexp_replace(text, _NAME, f"{_MARK}$1"))
+    marked = _marked(text)
     rows = docs.select(*keys, F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)).alias("tokens"), marked.alias("marked"))
     has_numbers, has_names = F.col("marked").rlike("[0-9]"), F.contains("marked", F.lit(_MARK))
-    words = F.transform("tokens", lambda x: F.translate(x, _MARK, ""))
-    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), has_names.alias("names"), F.when(has_names, words).alias("words"))
+    words = F.when(has_names, _words(F.col("tokens")))
+    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), has_names.alias("names"), words.alias("words"))
 
     def is_name(x: Column) -> Column:
         return x < chr(ord(_MARK) + 1)
@@ -96,6 +109,32 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
     return rows.select(*keys, F.explode(both).alias("w")).select(*keys, "w.*")
 
 
+def _find_short(rows: DataFrame, items: DataFrame, size: int) -> DataFrame | None:
+    """Documents with all words of an item of fewer than ``size`` words, numbers and names included; None if no item is so short."""
+
+    def words(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return docs.select(*keys, _words(F.regexp_extract_all(_marked(F.col(text)), F.lit(_TOKEN), F.lit(0))).alias("words"))
+
+    def key(i: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *[F.get("words", i + k) for k in range(n)])
+
+    short = words(items, ["item", "version"], "item_text").withColumn("n", F.size("words")).where(F.col("n").between(1, size - 1))
+    whole = F.coalesce(*[F.when(F.col("n") == n, key(F.lit(0), n)) for n in range(1, size)])
+    short = store(short.select("item", "version", "n", whole.alias("key")))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+    if not lengths:
+        return None
+
+    def keys_of(n: int) -> Column:
+        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: key(i, n))
+
+    keys = F.array_distinct(F.concat(*[keys_of(n) for n in lengths]))
+    found = words(rows, ["doc", "tie"], "doc_text").select("doc", "tie", F.explode(keys).alias("key"))
+    short = short.drop("n")
+    return found.join(F.broadcast(short) if short.count() <= BROADCAST_WINDOWS else short, "key").select("doc", "tie", "item", "version").distinct()
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -105,11 +144,14 @@ def find_leaks(
     item_text_col: str = "text",
     size: int = WINDOW,
     coverage: float = COVERAGE,
+    run: int = RUN,
 ) -> DataFrame:
     """Stored pairs of a document and an item it leaks: doc, tie, item, coverage, reparameterised.
 
-    ``doc`` and ``tie`` (a hash of the text) name the document. Items of fewer than ``size`` words
-    have no window and are never found; nor are NULL or empty texts. Repeated items count once.
+    ``doc`` and ``tie`` (a hash of the text) name the document. An item is leaked by ``coverage``
+    of its windows, by ``run`` of its words in a row with its own values, or, with fewer than
+    ``size`` words, by all of them in a row with its own values. Texts without a word are never
+    found, nor are NULL or empty ones. Repeated items count once.
     """
     items = benchmark.select(known_id(item_col).alias("item"), whole_text(item_text_col).alias("item_text")).distinct()
     keyed = items.select("item", F.xxhash64("item_text").alias("version"), "item_text")
@@ -135,8 +177,17 @@ def find_leaks(
     changed = F.max((F.col("slots") != F.col("item_slots")).cast("int"))
     covered = sound.groupBy(*here, "item_position").agg(changed.alias("changed"))
     covered = covered.groupBy(*here).agg(F.count("*").alias("hits"), F.max("changed").alias("changed"))
+    exact = found.where("slots = item_slots").select(*here, "diagonal", "item_position").distinct()
+    more = max(0, run - size)  # windows after the first of a run
+    row = Window.partitionBy(*here, "diagonal").orderBy("item_position").rangeBetween(0, more)
+    runs = exact.withColumn("in_a_row", F.count("*").over(row)).where(F.col("in_a_row") > more).select(*here).distinct()
     scored = covered.join(parts, ["item", "version"]).withColumn("coverage", F.col("hits") / F.col("parts"))
-    scored = scored.where(F.col("coverage") >= coverage).groupBy("doc", "tie", "item")
+    scored = scored.join(runs.withColumn("run", F.lit(True)), here, "left")
+    scored = scored.where((F.col("coverage") >= coverage) | F.col("run")).select("doc", "tie", "item", "coverage", "changed")
+    short = _find_short(rows, keyed, size)
+    if short is not None:
+        scored = scored.unionByName(short.select("doc", "tie", "item", F.lit(1.0).alias("coverage"), F.lit(0).alias("changed")))
+    scored = scored.groupBy("doc", "tie", "item")
     return store(scored.agg(F.max("coverage").alias("coverage"), (F.max("changed") == 1).alias("reparameterised")))
 
 

@@ -247,6 +247,24 @@ def test_copies_in_one_case(docs, spark):
     assert [(r["item_ids"], r["coverage"], r["reparameterised"]) for r in got] == [([0], 1.0, x) for x in (False, False, False, True)]
 
 
+def test_long_runs_and_short_items(docs, spark):
+    word = [f"{a}{b}" for a in ("be", "ca", "do", "fi", "gu", "ha", "jo") for b in ("la", "mi", "no", "pe", "ru", "sa", "ti")]
+    long = " ".join(word)
+    items = [long, "Paris in spring", "9 times", "今日は良い天気ですね", "東京"]
+    texts = [
+        f"so {' '.join(word[4:17])} end",  # 13 words
+        f"so {' '.join(word[4:16])} end",
+        "he saw PARIS, in spring, and went",
+        "he saw Paris spring 8 times",
+        "彼は今日は良い天気ですねと言った",
+        "so 9 times 東京都",
+    ]
+    got = leaked(docs, spark, texts, items)
+    assert [r["item_ids"] for r in got] == [[0], [], [1], [], [3], [2, 4]]
+    assert [r["coverage"] for r in got] == [9 / 45, 0, 1, 0, 1, 1]
+    assert not any(r["reparameterised"] for r in got)
+
+
 # Chat
 
 
