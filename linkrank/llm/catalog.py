@@ -12,6 +12,7 @@ from linkrank.llm import (  # noqa: F401  they register their queries
     pages,
     private,
     quality,
+    simhash,
     substrings,
 )
 from linkrank.llm.registry import QUERIES, SQL
