@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: White space between words: 0x20 and 0x09-0x0D.
 IS_SPACE = np.zeros(256, bool)
@@ -18,8 +19,8 @@ LOWER[65:91] += 32
 
 CHUNK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-OTHER_BASE = 0xD1342543DE82EF95 | 1
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,36 +31,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_POWERS: dict[int, np.ndarray] = {}
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_LENGTH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64."""
-    known = _POWERS.get(base)
-    if known is None or len(known) <= n:
-        steps = np.full(max(n, CHUNK_BYTES) + 1, base, np.uint64)
-        steps[0] = 1
-        known = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
-    return known[: n + 1]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place as one number, with zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,))
 
 
-class Rolling:
-    """Hashes of any ranges of a sequence of 64-bit values, equal for equal ranges."""
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ranges of bytes, equal for equal ranges.
 
-    def __init__(self, values: np.ndarray, base: int = _BASE):
-        n = len(values)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * _powers(base, n)[:n], out=self.sums[1:])
-        self.undo = _powers(pow(base, -1, 1 << 64), n)
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.undo[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-
-
-def byte_values(data: np.ndarray) -> np.ndarray:
-    return _BYTE_VALUES[data]
+    Eight bytes after the other are mixed in, so no pattern of bytes makes different ranges
+    collide more often than chance; ranges of up to eight bytes and one length never do.
+    """
+    parts, length = eights(data), end - start
+    out = mix((parts[start] & _FIRST_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * _LENGTH)
+    rest, at = np.flatnonzero((length > 8) & (length <= LONG_WORD)), 8
+    while len(rest):
+        more = parts[start[rest] + at] & _FIRST_BYTES[np.minimum(length[rest] - at, 8)]
+        out[rest] = mix(out[rest] ^ more)
+        at += 8
+        rest = rest[length[rest] > at]
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), int(length[i]) & 0xFFFF)
+    return out
+
+
+def sequence_hashes(values: np.ndarray, at: np.ndarray | slice, offsets: Iterable[int]) -> np.ndarray:
+    """Hashes of the values at ``at`` + each of ``offsets``; the values must be well mixed."""
+    total = None
+    for k, o in enumerate(offsets):
+        part = values[slice(at.start + o, at.stop + o)] if isinstance(at, slice) else values[at + o]
+        part = part * _FACTORS[k]
+        total = part if total is None else np.add(total, part, out=total)
+    return mix(total)
 
 
 def raw_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,13 +100,18 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> Words:
-    """Maximal runs without white space; no word crosses the end of a text.
+#: Odd factors of the places of a sequence.
+_FACTORS = mix(np.arange(1, 1 << 12, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+
+
+def find_words(data: np.ndarray, bounds: np.ndarray, between: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs without white space, or without the bytes of another table; no word crosses
+    the end of a text.
 
     ``bounds`` are positions in ``data``: where each text begins, and where the last ends.
     """
     word = np.zeros(len(data) + 1, bool)
-    word[:-1] = ~IS_SPACE[data]
+    word[:-1] = ~between[data]
     begins = word[:-1].copy()
     begins[1:] &= ~word[:-2]
     inner = bounds[:-1]
@@ -134,7 +148,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     if len(data) <= 4 * CHUNK_BYTES:
         words = find_words(data, bounds)
-        return Rolling(byte_values(data)).of(words.start, words.end), words.first
+        return range_hashes(data, words.start, words.end), words.first
     if len(bounds) > 2:
         parts = [word_hashes(data[a:b], np.array([0, b - a])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         first = np.cumsum([0, *(len(x) for x, _ in parts)])
@@ -145,7 +159,7 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
         while end < len(data) and not IS_SPACE[data[end]]:
             end += 1
         words = find_words(data[at:end], np.array([0, end - at]))
-        found.append(Rolling(byte_values(data[at:end])).of(words.start, words.end))
+        found.append(range_hashes(data[at:end], words.start, words.end))
         at = end
     whole = np.concatenate(found)
     return whole, np.array([0, len(whole)])

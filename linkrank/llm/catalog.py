@@ -10,8 +10,10 @@ from linkrank.llm import (  # noqa: F401  they register their queries
     neardup,
     packing,
     pages,
+    prefixes,
     private,
     quality,
+    ranked,
     simhash,
     substrings,
 )

@@ -43,13 +43,9 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> list[np.nda
     """Hashes of the distinct word shingles of each text, sorted. A text of fewer words than
     ``size`` has its whole sequence as one; a text without words has none."""
     words = arrow.find_words(data, bounds)
-    rolling = arrow.Rolling(arrow.byte_values(arrow.LOWER[data]))
-    hashes = rolling.of(words.start, words.end)
+    hashes = arrow.range_hashes(arrow.LOWER[data], words.start, words.end)
     n = len(hashes)
-    joined = hashes[: max(0, n - size + 1)].copy()
-    for k in range(1, size):
-        joined = joined * _FACTOR + hashes[k : k + len(joined)]
-    joined = arrow.mix(joined)
+    joined = arrow.sequence_hashes(hashes, slice(0, max(0, n - size + 1)), range(size))
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
         if b - a >= size:
