@@ -142,6 +142,21 @@ def false_merge_check(t):
     return rv.false_merge_check(as_songs)
 
 
+@query(
+    "merged_titles",
+    with_sql(
+        "lines",
+        f"""SELECT artist_key, title_key, count(*) OVER (PARTITION BY artist_key, title_key) AS titles, title
+        FROM (SELECT DISTINCT lower(artist) AS artist_key, {song_key('track', 3)} AS title_key, track AS title FROM lines)
+        QUALIFY titles > 1""",
+    ),
+)
+def merged_titles(t):
+    """The further titles of each key, all of them."""
+    as_songs = t.lines.select(F.col("artist").alias("primary_artist"), F.col("track").alias("title"))
+    return rv.merged_titles(as_songs)
+
+
 @query(
     "punctuation_false_gems",
     with_sql(

@@ -9,7 +9,8 @@ from linkrank.operators import aggregates as ag
 from linkrank.operators import profile as pf
 from linkrank.operators import rank
 from linkrank.plans import gems as plan
-from linkrank.sources.files import delete_counts
+from linkrank.runtime import scratch_path
+from linkrank.sources.files import VersionedTable, delete_counts
 from linkrank.sources.standins import with_sql
 
 
@@ -187,6 +188,27 @@ def delete_where(t):
     return delete_counts(found, F.col("track"))
 
 
+@query(
+    "delete_rewrite",
+    with_sql(
+        "chart stats",
+        f"""SELECT artist_key, title_key, artist, track, listeners, playcount, plays_per_listener, tier,
+        (SELECT count(*) FROM gems) AS rows_before, (SELECT count(*) FROM gems WHERE {markers()}) AS rows_after
+        FROM gems WHERE {markers()}""",
+        RAW_GEM_STAGES,
+    ),
+)
+def delete_rewrite(t):
+    """The table after the delete, with the counts that went on record when it was rewritten."""
+    found = plan.gems(t.stats, songs(t), CUT, drop_variants=False)
+    table = VersionedTable(t.spark, scratch_path(t.spark, "gems"), found.schema)
+    table.replace(found)
+    rest = table.delete(has_any_marker(F.col("track")))
+    last = table.history().where("version = 2").select(F.col("before").alias("rows_before"), F.col("after").alias("rows_after"))
+    counts = last.first()
+    return rest.withColumns({c: F.lit(counts[c]).cast("long") for c in last.columns})
+
+
 @query(
     "portable_case_sum",
     with_sql(

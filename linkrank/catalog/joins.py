@@ -235,6 +235,21 @@ def fanout_report(t):
     )
 
 
+@query(
+    "fanning_keys",
+    """SELECT c_custkey, n_left, n_right, n_left * (n_right - 1) AS extra_rows
+    FROM (SELECT c_custkey, count(*) AS n_left FROM customer GROUP BY 1)
+    JOIN (SELECT o_custkey AS c_custkey, count(*) AS n_right FROM orders GROUP BY 1) USING (c_custkey) WHERE n_right > 1""",
+)
+def fanning_keys(t):
+    """Each duplicate key of the right side that makes the join grow."""
+    return jn.fanning_keys(
+        t.table("customer").select("c_custkey"),
+        t.table("orders").select(F.col("o_custkey").alias("c_custkey")),
+        ["c_custkey"],
+    )
+
+
 @query(
     "orphan_check",
     """SELECT count(*) AS orphan_rows, count(DISTINCT doc_id) AS orphan_keys

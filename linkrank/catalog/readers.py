@@ -11,6 +11,7 @@ from linkrank.runtime import scratch_path
 from linkrank.sources import files
 from linkrank.sources import replies as rp
 from linkrank.sources.standins import with_sql
+from linkrank.streaming import snapshots
 
 TRACKS_SQL = with_sql("stats", "SELECT artist, track, playcount, listeners FROM stats")
 
@@ -60,6 +61,24 @@ def read_details_snapshot(t):
     return files.read_snapshots(t.spark, root, files.DETAILS).good.drop("snapshot_date")
 
 
+@query(
+    "follow_snapshots",
+    with_sql(
+        "stats early_stats",
+        """SELECT *, 0::bigint AS loaded_in_run, '2026-07-14' AS snapshot_date FROM early_stats
+        UNION ALL SELECT *, 1, '2026-07-21' FROM stats""",
+    ),
+)
+def follow_snapshots(t):
+    """Two dated folders land one after the other; each run of the stream reads only what is new."""
+    root, table, state = (scratch_path(t.spark, x) for x in ("landing", "followed", "progress"))
+    for rows, date in ((t.early_stats, "2026-07-14"), (t.stats, "2026-07-21")):
+        files.write_dated_csv(rows, root, date)
+        snapshots.follow_snapshots(t.spark, root, files.TRACKS, table, state)
+    found = snapshots.snapshot_table(t.spark, table, files.TRACKS)
+    return found.withColumn("snapshot_date", F.col("snapshot_date").cast("string"))
+
+
 @query("write_dated_csv", TRACKS_SQL)
 def write_dated_csv(t):
     path = files.write_dated_csv(t.stats, scratch_path(t.spark, "dated"), "2026-07-14")
@@ -97,6 +116,22 @@ def drop_rebuild(t):
 SMALLEST, LARGEST = 300_000, 1_000_000
 
 
+GIVEN = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("file_size_check")
+def file_size_check(t):
+    """Every given file with its length and whether that is plausible; no contents are read.
+
+    Any table of the analysis with a file of under 500 bytes holds an error page or nothing.
+    """
+    found = None
+    for name in GIVEN:
+        listed = files.input_files(t.spark, f"{t.folder}/{name}.parquet").select(F.lit(name).alias("table_name"), "*")
+        found = listed if found is None else found.unionByName(listed)
+    return files.file_verdicts(found, 500, 1 << 30)
+
+
 @query(
     "written_bytes_check",
     f"""SELECT lang, bytes, CASE WHEN bytes < {SMALLEST} THEN 'too small' WHEN bytes > {LARGEST} THEN 'too large'
@@ -189,6 +224,54 @@ def failed_row_default(t):
     return kept.select("o_orderkey", "album", "tags", "duration_ms")
 
 
+TRACK = "OBJECT<{}name: STRING, playcount: STRING>"
+LISTED = "OBJECT<toptracks: OBJECT<track: ARRAY<{}>>>"
+
+
+@query(
+    "reply_shapes",
+    f"""WITH tracks AS (SELECT lang, len(l) AS lines, len(list_filter(l, lambda x: length(x) > 80)) AS long
+    FROM (SELECT lang, string_split(text, chr(10)) AS l FROM documents)),
+    shapes AS (SELECT lang, CASE WHEN long = 0 THEN '{LISTED.format(TRACK.format(""))}'
+        ELSE '{LISTED.format(TRACK.format("listeners: STRING, "))}' END AS shape FROM tracks)
+    SELECT 'tracks' AS source, shape, count(*) AS replies FROM shapes GROUP BY shape
+    UNION ALL SELECT 'broken', CASE lang WHEN 'de' THEN 'no reply' WHEN 'es' THEN 'not JSON' ELSE shape END AS s, count(*)
+    FROM shapes GROUP BY s
+    UNION ALL SELECT 'tags', CASE WHEN c_mktsegment = 'FURNITURE' THEN 'OBJECT<toptags: OBJECT<tag: ARRAY<VOID>>>'
+        ELSE 'OBJECT<toptags: OBJECT<tag: ARRAY<OBJECT<name: STRING>>>>' END AS s, count(*) FROM customer GROUP BY s
+    UNION ALL SELECT 'recordings', CASE WHEN o_orderpriority = '5-LOW' THEN 'OBJECT<recordings: ARRAY<VOID>>'
+        ELSE 'OBJECT<recordings: ARRAY<OBJECT<`first-release-date`: STRING, releases: ARRAY<OBJECT<date: STRING>>, score: BIGINT>>>' END AS s,
+        count(*) FROM orders GROUP BY s""",
+)
+def reply_shapes(t):
+    """Which shapes the replies of each source have, found without a schema."""
+    return rp.shape_census(
+        {"tracks": t.toptracks_replies, "broken": t.broken_replies, "tags": t.toptags_replies, "recordings": t.recordings_replies}
+    )
+
+
+@query(
+    "reply_schemas",
+    f"""SELECT 'tracks' AS source, '{LISTED.format(TRACK.format("listeners: STRING, "))}' AS shape, count(*) AS readable, count(*) AS replies FROM documents
+    UNION ALL SELECT 'tags', 'OBJECT<toptags: OBJECT<tag: ARRAY<OBJECT<name: STRING>>>>', count(*), count(*) FROM customer
+    UNION ALL SELECT 'broken', '{LISTED.format(TRACK.format("listeners: STRING, "))}', count_if(lang NOT IN ('es', 'de'))::bigint, count(*) FROM documents""",
+)
+def reply_schemas(t):
+    """The schema to declare for each source: that of all its replies together."""
+    return rp.merged_shapes({"tracks": t.toptracks_replies, "tags": t.toptags_replies, "broken": t.broken_replies})
+
+
+@query(
+    "parse_toptracks_variant",
+    """SELECT source || '/' || doc_id AS artist, l AS track, cast(length(l) AS varchar) AS playcount,
+    CASE WHEN length(l) > 80 THEN 'many' ELSE '' END AS listeners
+    FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE lang NOT IN ('es', 'de'))""",
+)
+def parse_toptracks_variant(t):
+    """The readable replies among broken ones, read by path."""
+    return rp.parse_toptracks_variant(t.broken_replies)
+
+
 @query(
     "failed_requests",
     """SELECT source || '/' || doc_id AS artist FROM documents WHERE lang IN ('es', 'de')""",

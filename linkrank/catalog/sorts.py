@@ -4,12 +4,14 @@ from pyspark.sql import functions as F
 
 from linkrank.catalog.filters import roster, songs
 from linkrank.catalog.registry import CUT, query
-from linkrank.catalog.sql import DEVOTION, GEM_STAGES, SONG_STAGES, SONGS
+from linkrank.catalog.sql import DEVOTION, EARLY_STAGES, GEM_STAGES, SONG_STAGES, SONGS
 from linkrank.functions.keys import primary_entity
 from linkrank.functions.text import contains_ci
 from linkrank.operators.joins import reconcile
 from linkrank.operators.rank import top_k
+from linkrank.operators.review import KEYS
 from linkrank.plans import gems as plan
+from linkrank.plans import upkeep
 from linkrank.sources.files import freeze
 from linkrank.sources.standins import with_sql
 
@@ -109,8 +111,32 @@ def distinct_pairs(t):
     return songs(t).select("performer", "primary_artist").distinct()
 
 
+LIST_VALUES = ["artist", "track", "listeners", "playcount", "plays_per_listener", "tier"]
+
+
 @query(
     "snapshot_diff",
+    with_sql(
+        "chart stats early_stats",
+        f"""SELECT artist_key, title_key,
+        CASE WHEN b.tier IS NULL THEN 'dropped' WHEN a.tier IS NULL THEN 'added'
+             WHEN row({', '.join(f'a.{c}' for c in LIST_VALUES)}) = row({', '.join(f'b.{c}' for c in LIST_VALUES)}) THEN 'kept'
+             ELSE 'changed' END AS change, {', '.join(f'coalesce(b.{c}, a.{c}) AS {c}' for c in LIST_VALUES)}
+        FROM early_gems a FULL JOIN gems b USING (artist_key, title_key)""",
+        EARLY_STAGES,
+    ),
+)
+def snapshot_diff(t):
+    """The finished list of an early snapshot and that of a later one, which is brought about from
+    the early one by working out changed keys only."""
+    before, after, archive = freeze(t.early_stats), freeze(t.stats), freeze(songs(t))
+    first = freeze(upkeep.gems_by_key(before, archive, CUT))
+    second, _ = upkeep.refreshed_gems(first, before, after, archive, archive, CUT)
+    return upkeep.list_changes(first, second, KEYS, LIST_VALUES)
+
+
+@query(
+    "play_floor_diff",
     with_sql(
         "snap_a snap_b",
         """SELECT coalesce(a.artist, b.artist) AS artist, coalesce(a.track, b.track) AS track,
@@ -119,7 +145,7 @@ def distinct_pairs(t):
         ON a.artist = b.artist AND a.track = b.track""",
     ),
 )
-def snapshot_diff(t):
+def play_floor_diff(t):
     """Two result lists (tracks over a play floor): kept, added or dropped."""
     before, after = [s.where(F.col("playcount") >= 300) for s in t.snapshots]
     names = F.create_map(

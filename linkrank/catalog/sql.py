@@ -64,11 +64,11 @@ known_artists AS (SELECT primary_artist, count(*) AS songs_charted, min(best_pea
 FROM songs GROUP BY 1 HAVING count(*) >= {min_songs})"""
 
 
-def devoted(level: int = 3) -> str:
+def devoted(level: int = 3, source: str = "stats", prefix: str = "") -> str:
     return f"""
-devoted AS (SELECT *, round(plays, 1) AS plays_per_listener, lower(artist) AS artist_key,
+{prefix}devoted AS (SELECT *, round(plays, 1) AS plays_per_listener, lower(artist) AS artist_key,
        {key('track', level)} AS title_key
-FROM (SELECT *, playcount::double / nullif(listeners, 0) AS plays FROM stats)
+FROM (SELECT *, playcount::double / nullif(listeners, 0) AS plays FROM {source})
 WHERE listeners >= {CUT.min_listeners} AND plays >= {CUT.min_ratio})"""
 
 
@@ -82,27 +82,21 @@ def markers(col: str = "track", negate: bool = True) -> str:
     return f"coalesce({held}, 0) = 0" if negate else f"{held} > 0"
 
 
-def tier(col: str, edges=TIER_LABELS, low: int = CUT.low_tier, high: int = CUT.high_tier) -> str:
-    """The label whose range holds the value; a NULL value is in none and takes the middle one."""
-    ends = [None, low, high, None]
-    rows = ", ".join(
-        f"('{label}', {'NULL' if a is None else a}, {'NULL' if b is None else b})"
-        for label, a, b in zip(edges, ends, ends[1:])
-    )
-    return f"""coalesce((SELECT label FROM (VALUES {rows}) AS e(label, at_least, below)
-        WHERE {col} >= coalesce(at_least, {col}) AND ({col} < below OR below IS NULL)), '{edges[1]}')"""
+def tier(col: str, labels=TIER_LABELS, low: int = CUT.low_tier, high: int = CUT.high_tier) -> str:
+    few, middle, many = labels
+    return f"CASE WHEN {col} < {low} THEN '{few}' WHEN {col} >= {high} THEN '{many}' ELSE '{middle}' END"
 
 
-def gems(clean: bool = True) -> str:
+def gems(clean: bool = True, prefix: str = "") -> str:
     """Track by track: no partner in the archive; only then one row per key."""
     return f"""
-absent AS (SELECT t.* FROM devoted t LEFT JOIN song_keys s
+{prefix}absent AS (SELECT t.* FROM {prefix}devoted t LEFT JOIN song_keys s
            ON s.artist_key = t.artist_key AND s.title_key = t.title_key WHERE s.artist_key IS NULL),
-once AS (SELECT artist_key, title_key, min(artist) AS artist, min(track) AS track,
+{prefix}once AS (SELECT artist_key, title_key, min(artist) AS artist, min(track) AS track,
        max(listeners) AS listeners, max(playcount) AS playcount,
        max(plays_per_listener) AS plays_per_listener
-FROM absent GROUP BY artist_key, title_key),
-gems AS (SELECT *, {tier('listeners')} AS tier FROM once {('WHERE ' + markers()) if clean else ''})"""
+FROM {prefix}absent GROUP BY artist_key, title_key),
+{prefix}gems AS (SELECT *, {tier('listeners')} AS tier FROM {prefix}once {('WHERE ' + markers()) if clean else ''})"""
 
 
 DEVOTION = "plays_per_listener DESC, listeners DESC, artist, track"
@@ -123,4 +117,5 @@ def stages(*ctes: str) -> str:
 SONG_STAGES = stages(SONGS, roster())
 GEM_STAGES = stages(SONGS, roster(), song_keys(), devoted(), gems())
 RAW_GEM_STAGES = stages(SONGS, roster(), song_keys(), devoted(), gems(clean=False))
+EARLY_STAGES = stages(SONGS, song_keys(), devoted(), gems(), devoted(source="early_stats", prefix="early_"), gems(prefix="early_"))
 TOP_STAGES = stages(SONGS, roster(), song_keys(), devoted(), gems(), TOP)

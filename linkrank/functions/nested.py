@@ -77,3 +77,17 @@ def best_score(recordings: Column) -> Column:
 def blend_decade(release_decade: Column, debut_decade: Column) -> Column:
     """Release decade where known, else the debut decade."""
     return F.coalesce(F.nullif(release_decade, F.lit("")), debut_decade)
+
+
+# Replies whose shape is not known beforehand.
+
+
+def as_variant(body: Column) -> Column:
+    """Reply text as a VARIANT; NULL if it is no JSON. Keep it in a column of its own."""
+    return F.try_parse_json(body)
+
+
+def shape_of(reply: Column, body: Column) -> Column:
+    """The schema of one reply, or why it has none."""
+    shape = F.schema_of_variant(reply)
+    return F.when(body.isNull(), "no reply").when(reply.isNull(), "not JSON").otherwise(shape)

@@ -136,6 +136,15 @@ def fanout_report(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     )
 
 
+def fanning_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that make a LEFT JOIN grow: rows of either side, and rows beyond those of the left."""
+    return (
+        _pair_counts(left, right, keys)
+        .where(F.col("n_right") > 1)
+        .select(*keys, "n_left", "n_right", (F.col("n_left") * (F.col("n_right") - 1)).alias("extra_rows"))
+    )
+
+
 def orphan_report(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """Child rows and distinct child keys that point at no parent row."""
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkrank.functions.keys import artist_key, match_key, primary_entity, song_key
 from linkrank.operators.joins import lookup_join, match_rate, one_row_per_key, unmatched
+from linkrank.runtime import materialize
 
 KEYS = ["artist_key", "title_key"]
 LEVELS = (0, 1, 2, 3)
@@ -72,6 +73,18 @@ def false_merge_check(songs: DataFrame, level: int = 3) -> DataFrame:
     )
 
 
+def merged_titles(songs: DataFrame, level: int = 3) -> DataFrame:
+    """Every title that shares its key with another title of the same entity, one row each.
+
+    The titles stay rows, so a key may have any number of them; keys with several come from the
+    two-phase count and are met again in a join that splits hot keys.
+    """
+    spellings = songs.select(artist_key(F.col("primary_artist")).alias("artist_key"), "title").distinct()
+    keyed = materialize(spellings.withColumn("title_key", song_key(F.col("title"), level)))
+    several = keyed.groupBy(*KEYS).agg(F.count("*").alias("titles")).where(F.col("titles") > 1)
+    return lookup_join(keyed, several, KEYS, "inner").select(*KEYS, "titles", "title")
+
+
 def punctuation_false_gems(tracks: DataFrame, songs: DataFrame) -> DataFrame:
     """Tracks that look absent from the archive at level 2 and are found at level 3."""
     missed = unmatched(with_track_keys(tracks, 2), with_song_keys(songs, 2), KEYS)

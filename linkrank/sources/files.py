@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,21 +54,24 @@ class Contracted(NamedTuple):
     bad: DataFrame
 
 
-def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def csv_options(reader):
+    """The contract's options for a batch or a stream reader with a schema."""
     return (
-        spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, TEXT)]))
-        .option("header", True)
+        reader.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("enforceSchema", False)
         .option("multiLine", True)
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
     )
 
 
+def _csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, TEXT)]))
+    return csv_options(reader).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+
+
 def _is_bad(schema: T.StructType) -> Column:
     """True for a row that broke the contract.
 
@@ -103,12 +107,18 @@ def snapshot_dates(df: DataFrame) -> list[str]:
 
 
 def read_snapshots(
-    spark: SparkSession, root: str, schema: T.StructType, date: str | None = None, every: bool = False
+    spark: SparkSession,
+    root: str,
+    schema: T.StructType,
+    date: str | None = None,
+    every: bool = False,
+    dates: list[str] | None = None,
 ) -> Contracted:
-    """The newest snapshot under ``root``, or that of a date, or every one; other folders are pruned."""
+    """The newest snapshot under ``root``, or that of a date or several, or every one; other
+    folders are pruned."""
     raw = _csv(spark, root, T.StructType([*schema.fields, T.StructField(SNAPSHOT, T.DateType())]))
     if not every:
-        dates = [date] if date is not None else snapshot_dates(raw)[-1:]
+        dates = dates if dates is not None else [date] if date is not None else snapshot_dates(raw)[-1:]
         raw = raw.where(F.col(SNAPSHOT).isin([F.lit(d).cast("date") for d in dates]))
     return Contracted(_kept(raw, schema), raw.where(_is_bad(schema)))
 
@@ -158,11 +168,64 @@ def store_by_key(df: DataFrame, table: str, keys: list[str], buckets: int) -> Da
     """Store a table by its join keys, in place of an index.
 
     Two tables stored on the same keys and bucket count join without a shuffle. Use it
-    for one-row-per-key tables: a hot key would fill one bucket.
+    for one-row-per-key tables: a hot key would fill one bucket. The table's name is that of the
+    application with ``table``, so that two sessions on one catalog do not meet.
     """
+    spark = df.sparkSession
+    name = re.sub(r"\W", "_", f"{spark.sparkContext.applicationId}_{table}").lower()
     writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
-    writer.option("path", scratch_path(df.sparkSession, table)).saveAsTable(table)
-    return df.sparkSession.table(table)
+    writer.option("path", scratch_path(spark, table)).saveAsTable(name)
+    return spark.table(name)
+
+
+VERSIONS = T.StructType(
+    [T.StructField("version", LONG), T.StructField("folder", TEXT), T.StructField("before", LONG), T.StructField("after", LONG)]
+)
+
+
+class VersionedTable:
+    """A table that is rebuilt beside the old one, which stays readable until the new one is whole.
+
+    A version is a folder of its own under ``root``. Only when it is written, a row in
+    ``root/versions`` names it, with the rows before and after. Readers take the newest version on
+    record, so a step that dies midway changes nothing for them and can be done again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def history(self) -> DataFrame:
+        """version, folder, before, after; none before the first build."""
+        return self.spark.read.schema(VERSIONS).parquet(f"{self.root}/versions") if self._exists() else self.spark.createDataFrame([], VERSIONS)
+
+    def _exists(self) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def _newest(self):
+        return self.history().orderBy(F.desc("version")).limit(1).first()
+
+    def current(self) -> DataFrame:
+        newest = self._newest()
+        if newest is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{newest['folder']}")
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` as the new version; its rows are counted as they are written."""
+        newest = self._newest()
+        version = 1 if newest is None else newest["version"] + 1
+        folder = f"version={version}-{uuid.uuid4().hex}"
+        seen = Observation(f"rows of {folder}")
+        counted = df.select(*self.schema.names).observe(seen, F.count(F.lit(1)).alias("n"))
+        counted.write.parquet(f"{self.root}/{folder}")
+        row = (version, folder, 0 if newest is None else newest["after"], seen.get["n"])
+        self.spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        return self.current()
+
+    def delete(self, condition: Column) -> DataFrame:
+        """``DELETE WHERE``: the rewritten table; counts before and after go on record."""
+        return self.replace(delete_where(self.current(), condition))
 
 
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
@@ -178,8 +241,22 @@ def delete_counts(df: DataFrame, col: Column, markers=VARIANT_MARKERS) -> DataFr
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+def input_files(spark: SparkSession, path, kind: str = "parquet") -> DataFrame:
+    """One row per input file of a table: file_name, bytes. No column of the data is read."""
+    found = spark.read.format(kind).load(path)
+    return found.select("_metadata.file_path", "_metadata.file_name", "_metadata.file_size").distinct().select(
+        "file_name", F.col("file_size").alias("bytes")
+    )
+
+
+def file_verdicts(files: DataFrame, smallest: int, largest: int) -> DataFrame:
+    """Files far smaller or larger than a table's file should be: an error page, a cut download."""
+    verdict = F.when(F.col("bytes") < smallest, "too small").when(F.col("bytes") > largest, "too large")
+    return files.withColumn("verdict", F.coalesce(verdict, F.lit("plausible")))
+
+
 def file_sizes(spark: SparkSession, path) -> DataFrame:
-    """Name and length of each input file; contents are not read."""
+    """Name and length of each file of any kind, with or without rows; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .load(path)
@@ -190,8 +267,7 @@ def file_sizes(spark: SparkSession, path) -> DataFrame:
 def folder_sizes(spark: SparkSession, path, folder: str, smallest: int, largest: int) -> DataFrame:
     """Bytes under each partition folder of a written table, and whether that is plausible."""
     sizes = spark.read.format("binaryFile").load(path).groupBy(folder).agg(F.sum("length").alias("bytes"))
-    verdict = F.when(F.col("bytes") < smallest, "too small").when(F.col("bytes") > largest, "too large")
-    return sizes.withColumn("verdict", F.coalesce(verdict, F.lit("plausible")))
+    return file_verdicts(sizes, smallest, largest)
 
 
 def suspicious_files(spark: SparkSession, path, smallest: int, largest: int) -> DataFrame:

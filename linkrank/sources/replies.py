@@ -11,10 +11,12 @@ from linkrank.functions.nested import (
     TOP_TAGS,
     TOP_TRACKS,
     TRACK_INFO,
+    as_variant,
     best_score,
     earliest_year,
     is_failed,
     parse,
+    shape_of,
     top_names,
 )
 from linkrank.functions.text import decade_of_date
@@ -111,6 +113,40 @@ def tag_fallback(items: DataFrame, owners: DataFrame, owner: str, tags: str = "t
     return joined.withColumn(tags, F.coalesce(own, "owner_tags", F.lit(""))).drop("owner_tags")
 
 
+def shape_census(sources: dict[str, DataFrame], body: str = "body") -> DataFrame:
+    """How many replies of each source have which shape: for replies nobody has described yet.
+
+    Replies that are missing or no JSON are counted as such.
+    """
+    rows = None
+    for name, df in sources.items():
+        one = df.select(F.lit(name).alias("source"), F.col(body).alias("body"), as_variant(F.col(body)).alias("reply"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("source", shape_of(F.col("reply"), F.col("body")).alias("shape")).agg(F.count("*").alias("replies"))
+
+
+def merged_shapes(sources: dict[str, DataFrame], body: str = "body") -> DataFrame:
+    """The schema that holds all JSON replies of each source: what to declare for it."""
+    rows = None
+    for name, df in sources.items():
+        one = df.select(F.lit(name).alias("source"), as_variant(F.col(body)).alias("reply"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("source").agg(F.schema_of_variant_agg("reply").alias("shape"), F.count("reply").alias("readable"), F.count("*").alias("replies"))
+
+
+def parse_toptracks_variant(df: DataFrame, artist: str = "artist", body: str = "body") -> DataFrame:
+    """The rows of ``parse_toptracks`` without a declared schema: a VARIANT per reply, read by path."""
+    tracks = df.select(artist, as_variant(F.col(body)).alias("reply")).select(
+        artist, F.explode(F.try_variant_get("reply", "$.toptracks.track", "array<variant>")).alias("track")
+    )
+    return tracks.select(
+        artist,
+        _text(F.try_variant_get("track", "$.name", "string")).alias("track"),
+        _text(F.try_variant_get("track", "$.playcount", "string")).alias("playcount"),
+        _text(F.try_variant_get("track", "$.listeners", "string")).alias("listeners"),
+    )
+
+
 def failure_totals(df: DataFrame, body: str = "body") -> DataFrame:
     """Requests, failed requests, and the rows that the others bring."""
     parsed = df.select(parse(F.col(body), TOP_TRACKS).alias("reply"))

@@ -126,6 +126,11 @@ class Inputs:
             .select(F.col("p_brand").alias("artist"), _track().alias("track"), "playcount", "listeners")
         )
 
+    @cached_property
+    def early_stats(self) -> DataFrame:
+        """The same before 1998: an earlier snapshot of the statistics."""
+        return self._stats(self.table("lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
+
     @cached_property
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Track statistics before and from 1998."""
@@ -310,13 +315,31 @@ class Inputs:
 
 _ITEM = "concat(p_name, ' #', cast(p_partkey AS varchar))"
 
+
+def _stats_sql(name: str, where: str) -> str:
+    return f"""
+{name} AS (SELECT p_brand AS artist,
+       CASE WHEN l_linestatus = 'O' THEN {_ITEM}
+            WHEN p_size <= 8 THEN {_ITEM} || ' (feat. ' || p_type || ')'
+            WHEN p_size <= 14 THEN {_ITEM} || ' (With ' || p_type || ')'
+            WHEN p_size <= 20 THEN {_ITEM} || ' - Remaster'
+            WHEN p_size <= 25 THEN 'The ' || {_ITEM} || '!'
+            WHEN p_size <= 28 THEN {_ITEM} || ' (Live)'
+            WHEN p_size <= 30 THEN {_ITEM} || ' Remix'
+            ELSE {_ITEM} END AS track, playcount, listeners
+FROM (SELECT l_partkey, l_linestatus, cast(sum(l_quantity) AS bigint) AS playcount,
+             count(DISTINCT o_custkey) AS listeners
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey {where} GROUP BY 1, 2)
+JOIN part ON l_partkey = p_partkey)"""
+
+
 _SQL = {
     "chart": f"""
 rev AS (SELECT cast(date_trunc('week', l_shipdate) AS date) AS w, l_partkey,
                sum(cast(round(l_extendedprice * 100) AS bigint)) AS cents
         FROM lineitem GROUP BY 1, 2),
 pos AS (SELECT w, l_partkey, row_number() OVER (PARTITION BY w ORDER BY cents DESC, l_partkey) AS p FROM rev),
-chart AS (SELECT cast(w AS varchar) AS chart_week, cast(p AS int) AS current_week,
+chart AS MATERIALIZED (SELECT cast(w AS varchar) AS chart_week, cast(p AS int) AS current_week,
        CASE WHEN p_size BETWEEN 31 AND 36
             THEN concat(replace(p_name, ' ', ', '), ' #', cast(p_partkey AS varchar))
             ELSE {_ITEM} END AS title,
@@ -332,20 +355,8 @@ chart AS (SELECT cast(w AS varchar) AS chart_week, cast(p AS int) AS current_wee
        cast(row_number() OVER h AS int) AS wks_on_chart
 FROM pos JOIN part ON l_partkey = p_partkey
 WINDOW h AS (PARTITION BY p_partkey ORDER BY w))""",
-    "stats": f"""
-stats AS (SELECT p_brand AS artist,
-       CASE WHEN l_linestatus = 'O' THEN {_ITEM}
-            WHEN p_size <= 8 THEN {_ITEM} || ' (feat. ' || p_type || ')'
-            WHEN p_size <= 14 THEN {_ITEM} || ' (With ' || p_type || ')'
-            WHEN p_size <= 20 THEN {_ITEM} || ' - Remaster'
-            WHEN p_size <= 25 THEN 'The ' || {_ITEM} || '!'
-            WHEN p_size <= 28 THEN {_ITEM} || ' (Live)'
-            WHEN p_size <= 30 THEN {_ITEM} || ' Remix'
-            ELSE {_ITEM} END AS track, playcount, listeners
-FROM (SELECT l_partkey, l_linestatus, cast(sum(l_quantity) AS bigint) AS playcount,
-             count(DISTINCT o_custkey) AS listeners
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
-JOIN part ON l_partkey = p_partkey)""",
+    "stats": _stats_sql("stats", ""),
+    "early_stats": _stats_sql("early_stats", "WHERE l_shipdate < TIMESTAMP '1998-01-01'"),
     "snap_a": f"""
 snap_a AS (SELECT p_brand AS artist, {_ITEM} AS track, cast(sum(l_quantity) AS bigint) AS playcount
 FROM lineitem JOIN part ON l_partkey = p_partkey

@@ -32,7 +32,7 @@ def test_no_pairs_and_no_python_rows(spark, key):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = plan_of(QUERIES["snapshot_diff"](spark, SF))
+    plan = plan_of(QUERIES["play_floor_diff"](spark, SF))
     lines = [line for line in plan.splitlines() if "FileScan" in line and "l_shipdate" in line]
     assert len(lines) == 2 and all(re.search(r"PushedFilters: \[[^]]*(LessThan|GreaterThanOrEqual)\(l_shipdate", x) for x in lines)
     scan = plan_of(QUERIES["table_scan"](spark, SF))
