@@ -29,9 +29,6 @@ CHUNK = 8
 MAGIC = b"DAC1"
 WORDS_PER_COUNT = 8
 
-#: Encoding is most of the work here and little else is held, so workers keep more words.
-KEPT_WORDS = 800_000
-
 #: A block ends with the first document that brings it to so many ids.
 BLOCK_IDS = 1 << 20
 
@@ -96,15 +93,37 @@ class Codes:
             shift += CHUNK
         return value
 
+    def _ones(self, level: int, i: int) -> int:
+        """Ones of a level's bitmap before a place, by its directory."""
+        _, words, counts = self.levels[level]
+        word, bit = divmod(i, 64)
+        block = word // WORDS_PER_COUNT
+        if block >= len(counts):  # the end of a level that fills its last block
+            block -= 1
+        before = int(counts[block]) + int(np.bitwise_count(words[block * WORDS_PER_COUNT : word]).sum())
+        return before + ((int(words[word]) & ((1 << bit) - 1)).bit_count() if bit else 0)
+
+    def read(self, low: int, high: int) -> np.ndarray:
+        """The ids of a range. On each level they stand together, from the number of ones before
+        the range on the level below; nothing outside of the range is decoded."""
+        if not 0 <= low <= high <= self.n:
+            raise IndexError((low, high))
+        out = np.zeros(high - low, np.uint32)
+        at = np.arange(high - low)
+        for level, (chunk, words, _) in enumerate(self.levels):
+            out[at] |= chunk[low:high].astype(np.uint32) << np.uint32(CHUNK * level)
+            first = low // 64
+            bits = np.unpackbits(words[first : -(-high // 64)].view(np.uint8), bitorder="little")
+            more = bits[low - 64 * first : high - 64 * first].view(bool)
+            at = at[more]
+            if not len(at):
+                break
+            low = self._ones(level, low)
+            high = low + len(at)
+        return out
+
     def all(self) -> np.ndarray:
-        rest = None
-        for chunk, words, _ in reversed(self.levels):
-            value = chunk.astype(np.uint32)
-            if rest is not None:
-                more = np.unpackbits(words.view(np.uint8), bitorder="little", count=len(chunk)).view(bool)
-                value[more] |= rest << np.uint32(CHUNK)
-            rest = value
-        return rest if rest is not None else np.zeros(0, np.uint32)
+        return self.read(0, self.n)
 
 
 _BLOCKS = "part int, block int, docs array<bigint>, lengths array<bigint>, codes binary"
@@ -112,7 +131,7 @@ _BLOCKS = "part int, block int, docs array<bigint>, lengths array<bigint>, codes
 
 def _encode_blocks(vocabulary: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, KEPT_WORDS).encode
+        encode = encoder(vocabulary).encode
         part, block = TaskContext.get().partitionId(), 0
         docs, lists, size = [], [], 0
 
@@ -128,13 +147,14 @@ def _encode_blocks(vocabulary: str, end_id: int, block_ids: int):
             return pa.RecordBatch.from_arrays(columns, ["part", "block", "docs", "lengths", "codes"])
 
         for batch in batches:
-            _, bounds = arrow.raw_bytes(batch.column(1))
+            whole, bounds = arrow.raw_bytes(batch.column(1))
+            given = batch.column(0).to_pylist()
             for low, high in arrow.chunks(bounds):
-                ids = encode(batch.column(1).slice(low, high - low).to_pylist())
-                for doc, x in zip(batch.column(0).slice(low, high - low).to_pylist(), ids, strict=True):
+                ids, at = encode(whole[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+                for doc, a, b in zip(given[low:high], at[:-1].tolist(), at[1:].tolist(), strict=True):
                     docs.append(doc)
-                    lists.append(np.append(x, np.uint32(end_id)))
-                    size += len(x) + 1
+                    lists.append(np.append(ids[a:b], np.uint32(end_id)))
+                    size += b - a + 1
                     if size >= block_ids:
                         yield finished()
                         docs, lists, size, block = [], [], 0, block + 1
@@ -169,10 +189,11 @@ def write_tokens(
 def _decode_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids, lengths = Codes(row["codes"]).all().astype("<u4"), np.array(row["lengths"], np.int64)
+            codes, lengths = Codes(row["codes"]), np.array(row["lengths"], np.int64)
             ends = np.cumsum(lengths)
             starts = ends - lengths
-            crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            each = (codes.read(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+            crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in each]
             n = len(lengths)
             columns = [
                 pa.array([row["part"]] * n, pa.int32()),

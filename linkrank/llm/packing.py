@@ -24,6 +24,7 @@ from linkrank.llm.stages import given_id, known_id, read, store, whole_text
 from linkrank.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 1024
+SLOT_PIECES = 100_000  #: pieces of one length that a task numbers, about
 
 
 def best_filling(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -80,12 +81,13 @@ def _cut(vocabulary: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
         for batch in batches:
-            _, bounds = arrow.raw_bytes(batch.column(1))
+            whole, bounds = arrow.raw_bytes(batch.column(1))
+            given = batch.column(0).to_pylist()
             for low, high in arrow.chunks(bounds):
-                found = encode(batch.column(1).slice(low, high - low).to_pylist())
+                found, at = encode(whole[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
                 rows = []
-                for doc, ids in zip(batch.column(0).slice(low, high - low).to_pylist(), found, strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for doc, first, last in zip(given[low:high], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    ids = np.append(found[first:last], np.uint32(end_id)).astype("<u4")
                     n = len(ids)
                     for a in range(0, n, capacity):
                         b = min(n, a + capacity)
@@ -117,14 +119,16 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     task holds all pieces of a length.
     """
     spark = cut.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    totals = {r["length"]: r["n"] for r in counts}
+    # As many slots for a length as its pieces need: all sizes together are few rows.
+    slots = [(k, -(-n // SLOT_PIECES)) for k, n in totals.items()]
+    slots = F.broadcast(spark.createDataFrame(slots, "length bigint, slots bigint"))
     key = F.xxhash64("doc", "start", "ids_crc32")
-    cut = cut.withColumn("slot", F.pmod(key, F.lit(slots)))
+    cut = cut.join(slots, "length").withColumn("slot", F.pmod(key, F.col("slots"))).drop("slots")
     sizes = cut.groupBy("length", "slot").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = store(sizes.select("length", "slot", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    by_length = sizes.groupBy("length").agg(F.sum("n").alias("n"))
-    totals = {r["length"]: r["n"] for r in by_length.collect()}  # at most ``capacity`` rows
+    sizes = store(sizes.select("length", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     full = totals.pop(capacity, 0)
     plan, first_sequence = [(capacity, 0, full, 1, 0, 0)], full
     used = dict.fromkeys(totals, 0)
@@ -141,7 +145,7 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         plan, "length bigint, low bigint, high bigint, each bigint, first_sequence bigint, first_offset bigint"
     )
     number = F.row_number().over(Window.partitionBy("length", "slot").orderBy("doc", "start", "ids_crc32"))
-    numbered = cut.withColumn("number", number.cast("long") - 1).join(sizes.drop("n"), ["length", "slot"])
+    numbered = cut.withColumn("number", number.cast("long") - 1).join(sizes, ["length", "slot"])
     numbered = numbered.withColumn("number", F.col("number") + F.col("base")).drop("slot", "base")
     numbered = numbered.withColumnRenamed("length", "piece_length")
     found = numbered.join(
