@@ -1,11 +1,13 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped into lines, one for each block element. Every line weighs as much as its text
-outside links; menus, adverts, forms, comment sections and the like are left out. Sums over
+Markup is stripped into lines, one for each block element. Menus, adverts, forms, comment sections
+and the like are left out. Every other line weighs as much as its text outside links. Sums over
 sliding windows of lines rise where the article begins (surge) and fall to nothing where it ends
-(dive). All lines between the two points are kept. Where the page marks an article or main part,
-lines in it weigh more, links too, and windows do not reach across its edges; text outside of it
-needs a surge of its own.
+(dive). The lines between the two points are kept.
+
+Where the page marks an article or main part, windows do not reach across its edges, lines in it
+weigh more, and its surge is found even if it is weak: the strongest window of a marked part is
+one. Lines of links at its ends are cut off there, too. A few lines of links amid text are text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,7 @@ from linkrank.llm.stages import read
 
 WINDOW = 3  #: lines added up
 SURGE = 80  #: weight in a window that begins an article
+MARKED = 16  #: how much more a letter weighs in a part that is marked as article
 
 # Element names by their part in a page.
 BLOCKS = frozenset(
@@ -247,27 +251,35 @@ def lines_of(page: str) -> list[Line]:
     return [x for x in out if x.form < 0 or 2 * held[x.form] > total]
 
 
+def text_ranges(weights: list[int], marked: bool, window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """Surge and dive points of a part of a page: ranges of lines.
+
+    A range begins with a line of text whose window reaches the surge; a marked part may begin
+    with a line of links, such as a linked title. It ends where windows are empty; at the end of
+    a marked part, links that do not fill a window belong to it.
+    """
+    n, before = len(weights), [0, *accumulate(weights)]
+    sums = [before[min(n, i + window)] - before[i] for i in range(n)]
+    if marked:
+        surge = min(surge, max(sums, default=0))
+    found, start = [], -1
+    for i, ahead in enumerate(sums):
+        if start < 0 and ahead >= surge > 0 and (weights[i] or marked and not i):
+            start = i
+        elif start >= 0 and not ahead and (not marked or i + window <= n):
+            found.append((start, i))
+            start = -1
+    return found if start < 0 else [*found, (start, n)]
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """Lines between surge and dive points, joined by line breaks."""
-    lines = lines_of(page)
-    weights = [len(x.text) * surge if x.in_article else x.weight for x in lines]
-    n = len(lines)
     kept: list[str] = []
-    inside = False
-    for i, line in enumerate(lines):
-        ahead = 0  # of the window that begins here and ends at the edge of a marked part at the latest
-        for j in range(i, min(i + window, n)):
-            if lines[j].in_article != line.in_article:
-                break
-            ahead += weights[j]
-        if inside and i and lines[i - 1].in_article != line.in_article:
-            inside = False
-        if not inside and weights[i] and ahead >= surge:
-            inside = True
-        elif inside and not ahead:
-            inside = False
-        if inside:
-            kept.append(line.text)
+    for marked, part in groupby(lines_of(page), key=lambda x: x.in_article):
+        lines = list(part)
+        weights = [x.weight * MARKED if marked else x.weight for x in lines]
+        for low, high in text_ranges(weights, marked, window, surge):
+            kept += [x.text for x in lines[low:high]]
     return "\n".join(kept)
 
 

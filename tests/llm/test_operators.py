@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,18 +14,60 @@ from odd_rows import ODD
 from pyspark.sql import functions as F
 from test_registered import check_packing
 
-from linkrank.llm import chat, codes, leaks, packing, pages, private, quality
-from linkrank.llm.tokens import default_vocabulary, encoder
+from linkrank.llm import arrow, chat, codes, leaks, packing, pages, private, quality, sketch
+from linkrank.llm.tokens import Encoder, default_vocabulary, encoder
 
 
 # Token ids and files
 
 
+def _ids(one, texts):
+    raw, at = arrow.raw_bytes(pa.array(texts, pa.string()))
+    ids, bounds = one.encode(raw[at[0] : at[-1]], at - at[0])
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([" ", " ", "\n", "\t", "　", "\x1c", "a", "Bc", "1", ".", "'s", "é", "<|endoftext|>"]), max_size=14))
 def test_words_looked_up_give_the_same_ids(parts):
     one, text = encoder(default_vocabulary()), "".join(parts)
-    assert one.encode([text])[0].tolist() == one.tokenizer.encode(text, add_special_tokens=False).ids
+    assert _ids(one, [text]) == [one.tokenizer.encode(text, add_special_tokens=False).ids]
+
+
+def test_ids_do_not_depend_on_what_is_kept():
+    one = Encoder(default_vocabulary(), kept_pieces=3)
+    texts = ["a b c d", "", "a  b\n\n c", "e f g h i " * 50, " \n ", "end \n"] * 3
+    assert _ids(one, texts) == [one.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+# Hashes of words
+
+
+def test_regular_words_do_not_collide():
+    """Words made of a Thue-Morse sequence and its complement meet in any polynomial modulo 2 ** 64."""
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    words = [one, one.translate(str.maketrans("ab", "ba")), "x" * 64, "x" * 65, "x" * 8, "x" * 9, "x\0", "x"]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    found, first = arrow.word_hashes(data, np.array([0, len(data)]))
+    assert len(set(found.tolist())) == len(words) == first[1]
+    again, _ = arrow.word_hashes(np.frombuffer(("y " + words[0]).encode(), np.uint8), np.array([0, 2 + len(words[0])]))
+    assert again[1] == found[0]
+
+
+def test_sketch_never_takes_a_repeated_hash_for_a_single_one(spark, docs):
+    values = np.concatenate([np.arange(40000), np.arange(0, 40000, 7), np.full(500, 3)]).astype(np.uint64)
+    rows = spark.range(4).repartition(4)
+
+    def hashes(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield arrow.mix(values[i::4])
+
+    found = sketch.repeated(rows, hashes, sketch.cells_for(len(values))).value
+    told = found.may_have(arrow.mix(np.arange(40000, dtype=np.uint64)))
+    assert told[::7].all() and told.mean() < 0.5
 
 
 @settings(max_examples=40, deadline=None)
@@ -33,6 +76,8 @@ def test_any_id_can_be_read_alone(ids):
     block = codes.Codes(codes.pack(np.array(ids, np.uint32)))
     assert block.all().tolist() == ids and len(block) == len(ids)
     assert all(block[i] == ids[i] for i in range(0, len(ids), 37))
+    assert all(block.read(i, i + 90).tolist() == ids[i : i + 90] for i in range(0, len(ids) - 90, 61))
+    assert block.read(len(ids), len(ids)).tolist() == []
     with pytest.raises(IndexError):
         block[len(ids)]
 
@@ -377,6 +422,22 @@ def test_unmarked_text_beside_articles_of_other_kinds():
     assert pages.main_text(page % (LONG, LONG)) == "Short\n" + LONG.strip()
 
 
+LINK = "<p><a href=x>%s</a></p>"
+
+
+def test_surge_and_dive_choose_the_range_in_marked_parts():
+    menu, more = "".join(LINK % f"menu {k}" for k in range(5)), "".join(LINK % f"more {k}" for k in range(4))
+    page = f"<article>{menu}<p>{LONG}</p>{LINK % 'amid the text'}<p>The end</p>{more}</article>"
+    expected = f"{LONG.strip()}\namid the text\nThe end"
+    assert pages.main_text(page) == expected
+    assert pages.main_text(f"<article>{LINK % 'Linked title'}<p>{LONG}</p>{LINK % 'source'}</article>") == f"Linked title\n{LONG.strip()}\nsource"
+    assert pages.main_text("<article><p>Hi.</p></article>") == "Hi."
+    # A spoiled window or surge no longer finds the range.
+    assert pages.main_text(page, window=1) != expected and pages.main_text(page, window=50) != expected
+    late = f"<article><p>Short</p><p>x</p><p>y</p><p>{LONG}</p><p>{LONG * 3}</p><p>{LONG * 3}</p></article>"
+    assert pages.main_text(late).startswith("Short") and not pages.main_text(late, surge=10**9).startswith("Short")
+
+
 @pytest.mark.parametrize(
     "page, expected",
     [
