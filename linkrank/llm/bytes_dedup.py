@@ -25,16 +25,22 @@ WINDOW = 100
 ANCHOR = 32
 
 
-def _values(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return arrow.byte_values(data), bounds
+def _eight_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return arrow.mix(arrow.eights(data)[:-1]), bounds
 
 
-def _bytes_themselves(raw: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _single_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return arrow.mix(data.astype(np.uint64) + np.uint64(1)), bounds
+
+
+def _bytes_themselves(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return raw
 
 
 def byte_units(window: int = WINDOW, anchor: int = ANCHOR) -> Units:
-    return Units(_values, _bytes_themselves, np.uint8, window, anchor)
+    if anchor >= 8:
+        return Units(_eight_bytes, _bytes_themselves, np.uint8, window, anchor, span=8)
+    return Units(_single_bytes, _bytes_themselves, np.uint8, window, anchor)
 
 
 def expanded_intervals(shard: Shard, window: int) -> np.ndarray:
@@ -62,8 +68,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         whole, at = arrow.raw_bytes(batch.column(1))
         data, out = whole.tobytes(), []
-        for a, b, ranges in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(2).to_pylist(), strict=True):
-            spans = merged(ranges)
+        for a, b, spans in zip(at[:-1].tolist(), at[1:].tolist(), merged(batch.column(2)), strict=True):
             kept = _kept(data[a:b], spans)
             out.append((b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
         n_bytes, n_removed, n_spans, digests = zip(*out, strict=True) if out else ((), (), (), ())
@@ -73,8 +78,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        out = [_kept(x.encode(), merged(r)) for x, r in zip(texts, lists, strict=True)]
+        out = [_kept(x.encode(), spans) for x, spans in zip(batch.column(1).to_pylist(), merged(batch.column(2)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc", "kept"])
 
 

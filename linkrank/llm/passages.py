@@ -22,78 +22,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkrank.llm import arrow
+from linkrank.llm import arrow, sketch
 from linkrank.llm.stages import known_id, release, store, whole_text
 
 MOST_STRETCHES = 4000
 SHARD_UNITS = 1 << 19  #: units indexed together
 _SEGMENT = 1 << 21
+_CHUNK = 1 << 18  #: bytes of text looked at together
 _PLACE = np.uint64((1 << 24) - 1)
+_FIRST = np.uint64(0xA24BAED4963EE407)
 
 
 @dataclass(frozen=True)
 class Units:
     """How texts become sequences, and which windows count."""
 
-    #: From the bytes of several texts and their bounds: a 64-bit value for each unit, and bounds in units.
+    #: From the bytes of several texts and their bounds: a well-mixed value for each unit, bounds in units.
     values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-    #: From values to the body of a stretch, and its size in bytes per unit.
-    body: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+    #: From the bytes of a text and its bounds: one element per unit, of ``body_type``.
+    body: Callable[[np.ndarray, np.ndarray], np.ndarray]
     body_type: type
     window: int
     anchor: int
+    span: int = 1  #: units that a value tells
 
+    def hashes(self, values: np.ndarray, at: np.ndarray | slice, low: int, high: int) -> np.ndarray:
+        """Hashes of the units from ``low`` to ``high`` after each place, made of values."""
+        return arrow.sequence_hashes(values, at, [*range(low, high - self.span, self.span), high - self.span])
 
-def _stretches(values: np.ndarray, bounds: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Stretches of one segment: anchor, content, text number, start in the text, length."""
-    n = len(values)
+    def window_hashes(self, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin at some places, made of the hashes of anchors."""
+        return arrow.sequence_hashes(grams, at, [*range(0, self.window - self.anchor, self.anchor), self.window - self.anchor])
+
+
+def _stretches(units: Units, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of one segment: anchor, content, text number, start in the text, length.
+
+    A stretch is shorter than two windows, so its first and its last window and its length tell
+    its content.
+    """
+    n, window, k = len(values), units.window, units.anchor
     empty = np.zeros(0, np.int64)
-    if n < window:
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
-    rolling = arrow.Rolling(values)
-    at = np.arange(n - k + 1)
-    grams = rolling.of(at, at + k)
-    least = (grams & ~_PLACE) | at.astype(np.uint64)
-    width, wide = 1, window - k + 1
-    while width * 2 <= wide:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < wide:
-        least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
+    nothing = (empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty)
     inside = np.zeros(n + 1, np.int32)
     first = bounds[:-1]
     last = bounds[1:] - window + 1
     some = last > first
+    if not some.any():
+        return nothing
     np.add.at(inside, first[some], 1)
     np.add.at(inside, last[some], -1)
     starts = np.flatnonzero(np.cumsum(inside)[: n - window + 1])
-    if not len(starts):
-        return empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
+    grams = units.hashes(values, slice(0, n - k + 1), 0, k)
+    least = grams & ~_PLACE
+    least |= np.arange(n - k + 1, dtype=np.uint64)
+    width, wide = 1, window - k + 1
+    while width * 2 <= wide:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < wide:
+        least = np.minimum(least[: len(least) - (wide - width)], least[wide - width :])
     place = (least[starts] & _PLACE).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)
     heads = np.flatnonzero(new)
     low = starts[heads]
-    high = starts[np.append(heads[1:], len(starts)) - 1] + window
+    ends = starts[np.append(heads[1:], len(starts)) - 1]
     text = np.searchsorted(bounds, low, "right") - 1
-    return grams[place[heads]], rolling.of(low, high), text, low - bounds[text], high - low
+    length = ends - low + window
+    both = units.window_hashes(grams, low) * _FIRST + units.window_hashes(grams, ends) + length.astype(np.uint64)
+    return grams[place[heads]], arrow.mix(both), text, low - bounds[text], length
+
+
+def _segments(units: Units, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of a batch of texts, its last column: anchor, content, row, start, length."""
+    whole, at = arrow.raw_bytes(batch.column(batch.num_columns - 1))
+    for low, high in arrow.chunks(at, _CHUNK):
+        values, bounds = units.values(whole[at[low] : at[high]], at[low : high + 1] - at[low])
+        for a in range(0, max(1, len(values)), _SEGMENT):
+            part = values[a : a + _SEGMENT + units.window - 1]
+            inner = np.clip(bounds - a, 0, len(part))
+            anchor, content, text, start, length = _stretches(units, part, inner)
+            yield anchor, content, low + text, start + inner[text] + a - bounds[text], length
+
+
+def _anchors(units: Units):
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        return (x[0] for batch in batches for x in _segments(units, batch))
 
+    return hashes
+
+
+def _find(units: Units, repeated):
+    """Stretches whose anchors may occur again."""
 
-def _find(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, at = arrow.raw_bytes(batch.column(2))
             doc, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for low, high in arrow.chunks(at):
-                values, bounds = units.values(whole[at[low] : at[high]], at[low : high + 1] - at[low])
-                for a in range(0, max(1, len(values)), _SEGMENT):
-                    part = values[a : a + _SEGMENT + units.window - 1]
-                    inner = np.clip(bounds - a, 0, len(part))
-                    anchor, content, text, start, length = _stretches(part, inner, units.window, units.anchor)
-                    start = start + inner[text] + a - bounds[text]
-                    columns = [anchor, content, doc[low + text], tie[low + text], start, length]
-                    names = ["anchor", "content", "doc", "tie", "start", "length"]
-                    yield pa.RecordBatch.from_arrays([arrow.longs(x) for x in columns], names)
+            for anchor, content, row, start, length in _segments(units, batch):
+                again = repeated.value.may_have(anchor)
+                row = row[again]
+                columns = [anchor[again], content[again], doc[row], tie[row], start[again], length[again]]
+                names = ["anchor", "content", "doc", "tie", "start", "length"]
+                yield pa.RecordBatch.from_arrays([arrow.longs(x) for x in columns], names)
 
     return run
 
@@ -113,7 +144,7 @@ def _bodies(units: Units):
             for i in range(len(batch)):
                 a, b = int(firsts[i]), int(firsts[i + 1])
                 raw = whole[at[i] : at[i + 1]]
-                values = units.body(raw, *units.values(raw, np.array([0, len(raw)])))
+                values = units.body(raw, np.array([0, len(raw)]))
                 data = values.tobytes()
                 size = values.itemsize
                 start, length = fields["start"][a:b], fields["length"][a:b]
@@ -240,15 +271,17 @@ def _windows(units: Units):
                 some = batch.slice(i, 1000)
                 bodies = [np.frombuffer(x, units.body_type) for x in some.column(5).to_pylist()]
                 lengths = np.array([len(x) for x in bodies], np.int64)
+                ends = np.cumsum(lengths)
                 values = np.concatenate(bodies)
-                values = arrow.byte_values(values) if values.dtype == np.uint8 else values
+                if values.dtype == np.uint8:
+                    values, _ = units.values(values, np.append(0, ends))
                 counts = lengths - units.window + 1
                 which = np.repeat(np.arange(len(bodies)), counts)
                 offset = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
-                at = (np.cumsum(lengths) - lengths)[which] + offset
+                at = (ends - lengths)[which] + offset
                 columns = [
-                    arrow.longs(arrow.Rolling(values).of(at, at + units.window)),
-                    arrow.longs(arrow.Rolling(values, arrow.OTHER_BASE).of(at, at + units.window)),
+                    arrow.longs(units.hashes(values, at, 0, units.window)),
+                    arrow.longs(units.hashes(arrow.mix(values), at, 0, units.window)),
                     *(arrow.longs(some.column(k).to_numpy()[which]) for k in range(4)),
                     arrow.longs(some.column(4).to_numpy()[which] + offset),
                     arrow.longs(offset),
@@ -273,10 +306,14 @@ def find_repeats(rows: DataFrame, units: Units, earliest: Callable[[Shard, int],
     """From ``keyed`` rows: doc, tie, and all ranges of units covered by a window that also starts
     earlier, as an array of (low, high) that may overlap. Documents without repeats are left out."""
     spark = rows.sparkSession
-    found = rows.mapInArrow(_find(units), _OCCURRENCE)
+    # A sketch of bounded size first tells most anchors that occur once, so that few of their
+    # stretches are stored; what it lets through is counted exactly.
+    again = sketch.repeated(rows.select("text"), _anchors(units), sketch.MOST_CELLS)
+    release(spark)
+    found = store(rows.select("doc", "tie", "text").mapInArrow(_find(units, again), _OCCURRENCE))
+    again.unpersist()
     # Stored, so that both sides of the join are shuffled for it and a frequent anchor can be split.
     again = store(found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
-    release(spark)
     occurrences = store(found.join(again, "anchor", "left_semi"))
     release(spark)
 
@@ -307,7 +344,9 @@ def find_repeats(rows: DataFrame, units: Units, earliest: Callable[[Shard, int],
     verdicts = store(verdicts)
 
     own = distinct.select("anchor", "content", F.struct("doc", "tie", "start").alias("first"))
-    own = own.join(verdicts.where(F.size("repeats") > 0), ["anchor", "content"], "left")
+    # Stored for the same reason: a stretch that a third of all rows share is dealt to several tasks.
+    own = store(own.join(verdicts.where(F.size("repeats") > 0), ["anchor", "content"], "left"))
+    release(spark)
     at = F.struct("doc", "tie", "start")
     everything = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("length").alias("high")))
     parts = F.when(at == F.col("first"), F.col("repeats")).otherwise(everything)
@@ -318,12 +357,17 @@ def find_repeats(rows: DataFrame, units: Units, earliest: Callable[[Shard, int],
     return ranges.groupBy("doc", "tie").agg(F.collect_list("r").alias("ranges"))
 
 
-def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
-    """Overlapping and touching ranges joined, in order."""
-    out: list[tuple[int, int]] = []
-    for low, high in sorted((r["low"], r["high"]) for r in ranges or ()):
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            out.append((low, high))
-    return out
+def merged(ranges: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """For each row of a column of (low, high): overlapping and touching ranges joined, in order."""
+    at = np.append(ranges.offsets.to_numpy(), 0)[: len(ranges) + 1]
+    low, high = (ranges.values.field(x).to_numpy() for x in ("low", "high"))
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if a == b:
+            yield []
+            continue
+        order = np.argsort(low[a:b], kind="stable")
+        first, last = low[a:b][order], np.maximum.accumulate(high[a:b][order])
+        new = np.ones(b - a, bool)
+        new[1:] = first[1:] > last[:-1]
+        heads = np.flatnonzero(new)
+        yield list(zip(first[heads].tolist(), last[np.append(heads[1:], b - a) - 1].tolist(), strict=True))

@@ -27,8 +27,8 @@ WINDOW = 20
 ANCHOR = 6
 
 
-def _words_themselves(raw: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    return values
+def _words_themselves(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return arrow.word_hashes(raw, bounds)[0]
 
 
 def word_units(window: int = WINDOW, anchor: int = ANCHOR) -> Units:
@@ -76,9 +76,8 @@ def matching_statistics(shard: Shard, window: int) -> np.ndarray:
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            words, spans = text.encode().split(), merged(ranges)
-            kept, at = [], 0
+        for text, spans in zip(batch.column(1).to_pylist(), merged(batch.column(2)), strict=True):
+            words, kept, at = text.encode().split(), [], 0
             for low, high in spans:
                 kept += words[at:low]
                 at = high
@@ -93,9 +92,9 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(1).to_pylist(), merged(batch.column(2)), strict=True):
             words, kept, at = text.encode().split(), [], 0
-            for low, high in merged(ranges):
+            for low, high in spans:
                 kept += words[at:low]
                 at = high
             out.append(b" ".join(kept + words[at:]).decode())

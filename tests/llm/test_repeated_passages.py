@@ -109,7 +109,7 @@ def test_long_texts_are_found_segment_by_segment(docs, monkeypatch):
 
     data = np.frombuffer(" ".join(long + long[100:400]).encode(), np.uint8)
     values, bounds = units.values(data, np.array([0, len(data)]))
-    whole = [x.tolist() for x in passages._stretches(values, bounds, 20, 4)]
+    whole = [x.tolist() for x in passages._stretches(units, values, bounds)]
     assert len(values) == 1200 and arrow.word_hashes(data, np.array([0, len(data)]))[1].tolist() == [0, 1200]
     windows = set()
     for _, _, _, start, length in zip(*whole, strict=True):
