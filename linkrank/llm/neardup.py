@@ -158,23 +158,34 @@ def _unlinked_pairs(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a table key, are in different components and may be similar
     enough by their short sets, once: in the bucket of their first common left key.
 
-    The join itself compares the sets, so the pairs of a bucket of loose copies are not made.
-    Short sets never hide a link: what fell together is added to the common shingles.
+    Members of a bucket's largest component are not compared with each other: every member of
+    another component meets the whole bucket. Which buckets hold several components is found out
+    on ids; only then sets are joined to them, one row per class, so that Spark can split a large
+    bucket. The join itself compares the sets, so the pairs of a bucket of loose copies are not
+    made. Short sets never hide a link: what fell together is added to the common shingles.
     """
+    ids = classes.select("rep", "component", F.explode("l").alias("key"))
+    sizes = ids.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
+    chosen = ids.join(mixed, "key").groupBy("rep").agg(
+        F.collect_list(F.struct("key", "largest")).alias("keys"),
+        F.collect_list(F.when(F.col("component") != F.col("largest"), F.col("key"))).alias("apart"),
+    )
+    rows = store(classes.join(chosen, "rep"))
     kept = ("rep", "n", "l", "r", "component", "short", "lost")
-    rows = classes.select(*kept, F.explode("l").alias("key"))
-    x = rows.select("key", *[F.col(c).alias(f"{c}a") for c in kept])
-    y = rows.select("key", *[F.col(c).alias(f"{c}b") for c in kept])
+    x = rows.select(F.explode("apart").alias("key"), *[F.col(c).alias(f"{c}a") for c in kept])
+    y = rows.select(F.inline("keys"), *[F.col(c).alias(f"{c}b") for c in kept])
     common = F.size(F.array_intersect("shorta", "shortb")) + F.col("losta") + F.col("lostb")
     possible = (
-        (F.col("repa") < F.col("repb"))
-        & (F.col("componenta") != F.col("componentb"))
+        (F.col("componenta") != F.col("componentb"))
+        & ((F.col("repa") < F.col("repb")) | (F.col("componentb") == F.col("largest")))
         & _alike(percent)
         & F.arrays_overlap("ra", "rb")
         & (F.array_min(F.array_intersect("la", "lb")) == F.col("key"))
         & (100 * common >= percent * (F.col("na") + F.col("nb") - common))
     )
-    return x.join(y, "key").where(possible).select(F.col("repa").alias("a"), F.col("repb").alias("b"))
+    pairs = x.join(y, "key").where(possible)
+    return pairs.select(F.least("repa", "repb").alias("a"), F.greatest("repa", "repb").alias("b"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -236,7 +247,7 @@ def group(
     placed = placed.select("t", "rep", F.coalesce("component", "rep").alias("component"))
     apart = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     apart = store(placed.join(apart.select("t"), "t", "left_semi").select("rep", "component").distinct())
-    left_over = keyed.join(_with_short_sets(apart, sets), ["rep", "n"])
+    left_over = store(keyed.join(_with_short_sets(apart, sets), ["rep", "n"]))
     pairs = _unlinked_pairs(left_over, percent).distinct().join(stars, ["a", "b"], "left_anti")
     more = store(_confirmed(pairs, sets, percent))
     if not more.isEmpty():
@@ -251,17 +262,31 @@ def group(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: Names of further texts of an id come after all ordinary ids.
+_FURTHER = 1 << 62
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of one document of each group, the one with the smallest id, with all columns.
+    """One row of each group of near duplicates, the one with the smallest id, with all columns.
 
-    Of rows that repeat an id, the one with the smallest text stays. Rows with a NULL id all stay.
+    Rows with one id and different texts are different documents: each stays unless it is linked
+    with another. Of rows with one id and one text, one stays. Rows with a NULL id all stay; an
+    empty table gives no rows.
     """
-    verdicts = group(docs, id_col, text_col, **options)
-    keep = verdicts.where("kept").select(F.col("doc_id").alias("_keep")).where("_keep is not null").distinct()
     given = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
-    named = given.where("_id is not null").join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    named = named.groupBy("_id").agg(F.min_by("row", "_text").alias("row")).select("row.*")
-    return named.unionByName(given.where("_id is null").select("row.*"))
+    given = given.withColumn("_tie", F.xxhash64("_text"))
+    many = given.where("_id is not null").groupBy("_id").agg(F.min("_tie").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
+    given = given.join(store(many), "_id", "left")
+    first = F.col("_n").isNull() | (F.col("_tie") == F.col("_first"))
+    further = F.shiftrightunsigned(F.xxhash64("_id", "_tie"), 2) + F.lit(_FURTHER)
+    given = given.withColumn("_key", F.when(first, F.col("_id")).otherwise(further))
+
+    verdicts = group(given.select(F.col("_key").alias("key"), F.col("_text").alias("text")), "key", "text", **options)
+    keep = verdicts.where("kept and doc_id is not null").select(F.col("doc_id").alias("_key")).distinct()
+    named = given.where("_key is not null").join(keep, "_key", "left_semi")
+    again = named.where("_n is not null").groupBy("_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    out = named.where("_n is null").select("row.*").unionByName(again.select("row.*"))
+    return out.unionByName(given.where("_key is null").select("row.*"))
 
 
 @query("op1_near_duplicates")

@@ -87,6 +87,41 @@ def test_one_document_of_each_group_stays_with_all_columns(docs):
     assert {r["doc_id"] for r in kept.collect()} == names
 
 
+def test_unlike_texts_of_one_id_all_stay(docs):
+    rng = random.Random(8)
+    base = [" ".join(rng.choices([f"z{k}" for k in range(500)], k=80)) for _ in range(4)]
+    rows = [(7, None), (7, base[0]), (7, base[0]), (7, base[1]), (9, base[1] + " end"), (3, base[2]), (3, base[3] + " x"), (12, base[3])]
+    kept = neardup.drop_near_duplicates(docs(rows)).collect()
+    found = {(r["doc_id"], r["text"]) for r in kept}
+    assert len(kept) == len(found)
+    # Of the last pair one stays: the further text of an id comes after ordinary ids.
+    both = {(7, None), (7, base[0]), (3, base[2])}
+    assert both <= found and len(found & {(7, base[1]), (9, base[1] + " end")}) == 1 and len(found & {(3, base[3] + " x"), (12, base[3])}) == 1
+    assert len(found) == 5
+
+
+def test_words_of_one_pattern_are_not_taken_for_each_other(docs):
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y"), (2, f"{one.translate(str.maketrans('ab', 'ba'))} x y"), (3, f"{one} x y z")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.group(docs(rows), size=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3}
+
+
+def test_members_of_several_components_meet(docs):
+    """Two groups in common buckets, and chains between them that no centre sees."""
+    rng = random.Random(4)
+    core = [f"c{k}" for k in range(150)]
+    rows = []
+    for i in range(60):
+        own = rng.sample([f"o{k}" for k in range(70)], 24 + i % 9)
+        rows.append((i, " ".join(core + own)))
+    for percent in (70, 76):
+        got = neardup.group(docs(rows), size=1, percent=percent)
+        assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 1, percent)
+
+
 def test_empty_table(docs):
     assert neardup.group(docs([])).collect() == []
 
