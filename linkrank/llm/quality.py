@@ -1,9 +1,10 @@
 """Quality rules with host verdicts.
 
-Each document is measured and tested by itself. Then the rule failures are added up by host; the
-hosts' failure rates are shrunk towards a beta prior that is fitted to all hosts by moments, so
-that a host with few documents is not judged by them alone; documents of hosts whose shrunken
-rate is too high are rejected with it.
+Each document is measured and tested by itself: length, repeated words, symbols, repeated lines,
+length of words. Then the failures of each rule are added up by host. The hosts' rates are shrunk
+towards a beta prior that is fitted to all hosts by moments, rule by rule, so that a host with few
+documents is not judged by them alone. A host is rejected, with all its documents, when a rate
+stands out of the prior by two standard deviations and most of its documents are sure to fail.
 """
 
 from __future__ import annotations
@@ -26,11 +27,19 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; a document fails the base when any base rule fails."""
+    """Limits of the rules; a document fails the base when any base rule fails.
+
+    The other rules speak about hosts only: a single document may be a table or a poem.
+    """
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    max_host_rate: float = 0.9  #: of a host's documents, after shrinking
+    max_symbol_percent: int = 10  #: of words
+    max_dup_line_percent: int = 5  #: of words
+    min_word_chars: int = 2  #: on average
+    max_word_chars: int = 30
+    deviations: float = 2.0  #: a host's rate stands out so far from the prior's mean,
+    min_host_rate: float = 0.5  #: and is above this by as many of its own
 
 
 def _repeated_words(words: list[bytes]) -> int:
@@ -91,6 +100,18 @@ def base_failed(rules: Rules) -> Column:
     return few | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
+def failures(rules: Rules) -> dict[str, Column]:
+    """The rules that are added up by host; none fails a text without words but the first."""
+    n = F.col("n_words")
+    short, long = F.col("word_chars") < rules.min_word_chars * n, F.col("word_chars") > rules.max_word_chars * n
+    return {
+        "base": F.col("base_failed"),
+        "symbols": 100 * F.col("n_symbols") > rules.max_symbol_percent * n,
+        "lines": 100 * F.col("n_dup_lines") > rules.max_dup_line_percent * n,
+        "words": short | long,
+    }
+
+
 def measure(docs: DataFrame, keep: list[str], text_col: str, host_col: str, rules: Rules) -> DataFrame:
     """One row per document: the kept columns in a struct ``row``, host, measures, base_failed."""
     held = F.struct(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("given"), F.col(host_col).cast("string").alias("host"))
@@ -102,30 +123,37 @@ def measure(docs: DataFrame, keep: list[str], text_col: str, host_col: str, rule
 
 
 def host_verdicts(measured: DataFrame, rules: Rules) -> DataFrame:
-    """One row per known host: documents, failures, shrunken rate, host_rejected.
+    """One row per known host and rule: documents, failures, shrunken rate, the cut, host_rejected.
 
-    The prior's mean and weight come from the mean and variance of the hosts' rates. Where they
-    do not tell a weight (one host, equal rates), the prior counts as one document.
+    A prior's mean and weight come from the mean and variance of the hosts' rates, less the
+    variance that their numbers of documents bring. Where hosts differ by no more than that, none
+    stands out and there is no cut.
     """
     hosts = measured.where(F.col("host").isNotNull()).groupBy("host")
-    hosts = store(hosts.agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
+    sums = {name: F.count_if(F.coalesce(test, F.lit(False))) for name, test in failures(rules).items()}
+    hosts = hosts.agg(F.count("*").alias("n"), *(x.alias(name) for name, x in sums.items()))
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("failed")) for name in sums])
+    hosts = store(hosts.select("host", "n", F.inline(each)))
     rate = F.col("failed") / F.col("n")
-    moments = hosts.agg(
-        F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n")).alias("noise")
-    ).first()
-    mean, weight = moments["mean"] or 0.0, 1.0
-    spread = mean * (1 - mean)
-    between = (moments["var"] or 0.0) - spread * (moments["noise"] or 0.0)
-    if spread > 0 and between > 0:
-        weight = max(1.0, spread / between - 1)
-    shrunk = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return hosts.select("host", "n", "failed", shrunk.alias("host_rate"), (shrunk > rules.max_host_rate).alias("host_rejected"))
+    priors = hosts.groupBy("rule").agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"), F.avg(1 / F.col("n")).alias("noise"))
+    spread = F.col("mean") * (1 - F.col("mean"))
+    priors = priors.withColumn("between", F.col("var") - spread * F.col("noise"))
+    weight = F.when(F.col("between") > 0, F.greatest(F.lit(1.0), spread / F.col("between") - 1))
+    priors = priors.withColumn("weight", weight).select(
+        "rule", "mean", "weight", (F.col("mean") + rules.deviations * F.sqrt(spread / (F.col("weight") + 1))).alias("cut")
+    )
+    judged = hosts.join(F.broadcast(priors), "rule")  # one row per rule
+    shrunk = (F.col("failed") + F.col("mean") * F.col("weight")) / (F.col("n") + F.col("weight"))
+    rate = F.col("host_rate")
+    unsure = rules.deviations * F.sqrt(rate * (1 - rate) / (F.col("n") + F.col("weight") + 1))
+    rejected = (rate > F.col("cut")) & (rate - unsure > rules.min_host_rate)
+    return judged.withColumn("host_rate", shrunk).select("host", "rule", "n", "failed", "host_rate", "cut", F.coalesce(rejected, F.lit(False)).alias("host_rejected"))
 
 
 def judge(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Join host verdicts to measures. Only rejected hosts are joined; a hot host's rows
     stay where they are or are split by adaptive execution."""
-    bad = verdicts.where("host_rejected").select(F.col("host").alias("bad_host"))
+    bad = verdicts.where("host_rejected").select(F.col("host").alias("bad_host")).distinct()
     found = measured.join(bad, F.col("host") == F.col("bad_host"), "left")
     return found.withColumn("kept", ~F.col("base_failed") & F.col("bad_host").isNull()).drop("bad_host")
 
@@ -173,15 +201,19 @@ WITH w AS (
 ), tested AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(base_failed::BIGINT) AS failed FROM tested WHERE source IS NOT NULL GROUP BY source
+  SELECT source, count(*) AS n, unnest(['base', 'symbols', 'lines', 'words']) AS rule,
+         unnest([count_if(base_failed), count_if(100 * n_symbols > 10 * n_words), count_if(100 * n_dup_lines > 5 * n_words),
+                 count_if(word_chars < 2 * n_words OR word_chars > 30 * n_words)]) AS failed
+  FROM tested WHERE source IS NOT NULL GROUP BY source
 ), m AS (
-  SELECT avg(failed / n) AS mean, var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n) AS between_hosts
-  FROM hosts
+  SELECT rule, avg(failed / n) AS mean, avg(failed / n) * (1 - avg(failed / n)) AS spread,
+         var_pop(failed / n) - avg(failed / n) * (1 - avg(failed / n)) * avg(1 / n) AS between_hosts
+  FROM hosts GROUP BY rule
 ), prior AS (
-  SELECT mean, CASE WHEN mean * (1 - mean) > 0 AND between_hosts > 0
-                    THEN greatest(1.0, mean * (1 - mean) / between_hosts - 1) ELSE 1.0 END AS weight FROM m
+  SELECT rule, mean, spread, greatest(1.0, spread / between_hosts - 1) AS weight FROM m WHERE between_hosts > 0
 ), bad AS (
-  SELECT source FROM hosts, prior WHERE (failed + mean * weight) / (n + weight) > 0.9
+  SELECT source, (failed + mean * weight) / (n + weight) AS rate FROM hosts JOIN prior USING (rule)
+  WHERE rate > mean + 2 * sqrt(spread / (weight + 1)) AND rate - 2 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 0.5
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source = tested.source) AS kept

@@ -148,6 +148,26 @@ def test_bad_hosts_are_rejected_and_small_ones_are_not(docs):
     assert not found[1000] and found[1001] and found[2000] and not found[5000]
 
 
+def test_hosts_stand_out_by_any_rule(docs):
+    good = " ".join(f"g{k}" for k in range(80))
+    rows = [(k, good, f"host{k % 12}") for k in range(600)]
+    rows += [(1000 + k, good + " # $ %" * (k % 4 > 0) * 5, "symbols.example") for k in range(60)]
+    rows += [(2000 + k, good + "\nthe same line" * 9, "lines.example") for k in range(60)]
+    rows += [(3000 + k, good + " # $ %" * 5, "few.example") for k in range(1)]
+    rows += [(4000 + k, " ".join(f"#{j}" for j in range(99)) + " " + good, f"host{k}") for k in range(12)]
+    found = {r["doc_id"]: r["kept"] for r in quality.score(docs(rows)).collect()}
+    assert not any(v for k, v in found.items() if 1000 <= k < 3000)
+    assert all(v for k, v in found.items() if k < 1000 or k >= 3000)
+
+
+def test_hosts_that_differ_by_chance_only_have_no_cut(docs):
+    rng = np.random.default_rng(1)
+    good = " ".join(f"g{k}" for k in range(80))
+    rows = [(k, "short" if rng.random() < 0.6 else good, f"host{k % 15}") for k in range(900)]
+    found = quality.score(docs(rows))
+    assert found.where("kept = base_failed").count() == 0
+
+
 def test_lines_and_symbols():
     text = "a b\na b\n\n\n x#$ \n x#$ \nlast <|>"
     assert quality.measure_text(text.encode())[2:4] == (4 + 3, 2)
