@@ -8,13 +8,20 @@ values always count. Of those with other values, the ones that hold a value that
 several values of the document do not count; and none does where such a value also stands for
 itself, as then the values are not replaced throughout. A document leaks an item when the windows
 that count cover enough of the item's, or when enough of its words follow each other unchanged.
-Items shorter than a window are looked up as a whole.
+
+A window of placeholders only says nothing: five numbers in a row look like any other five. Such
+windows match with the same values only, and only items that have no others are judged by them.
+Items shorter than a window are looked up as a whole and reported apart, as an answer such as
+"yes" is found anywhere.
 
 All of it is Spark column expressions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +62,8 @@ def _words(tokens: Column) -> Column:
 
 
 def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
-    """Rows of template windows: the keys, position, template (its hash), slots (its values).
+    """Rows of template windows: the keys, position, template (its hash), slots (its values) and
+    whether the template holds a word; if it does not, its hash is also one of its values.
 
     A name is a word with a capital first letter that does not begin a sentence. A window with
     names has a second row in which they are words in lower case, as in a copy in one case.
@@ -90,12 +98,12 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
 
     def window(templates: str, values: str):  # by element: cutting a slice reads the whole array
         def at(i: Column) -> Column:
+            parts = [F.get(templates, i + k) for k in range(size)]
             slots = F.concat_ws("\u0001", *[F.get(values, i + k) for k in range(size)])
-            return F.struct(
-                i.alias("position"),
-                F.xxhash64(*[F.get(templates, i + k) for k in range(size)]).alias("template"),
-                F.when(F.col(values).isNull(), F.lit("")).otherwise(slots).alias("slots"),
-            )
+            slots = F.when(F.col(values).isNull(), F.lit("")).otherwise(slots)
+            bare = F.col(values).isNotNull() & reduce(and_, [x.isin(1, 2, 3) for x in parts])
+            template = F.when(bare, F.xxhash64(*parts, slots)).otherwise(F.xxhash64(*parts))
+            return F.struct(i.alias("position"), template.alias("template"), slots.alias("slots"), (~bare).alias("worded"))
 
         return at
 
@@ -146,21 +154,26 @@ def find_leaks(
     coverage: float = COVERAGE,
     run: int = RUN,
 ) -> DataFrame:
-    """Stored pairs of a document and an item it leaks: doc, tie, item, coverage, reparameterised.
+    """Stored pairs of a document and an item it leaks: doc, tie, item, short, coverage, reparameterised.
 
     ``doc`` and ``tie`` (a hash of the text) name the document. An item is leaked by ``coverage``
-    of its windows, by ``run`` of its words in a row with its own values, or, with fewer than
-    ``size`` words, by all of them in a row with its own values. Texts without a word are never
-    found, nor are NULL or empty ones. Repeated items count once.
+    of its windows that hold a word, or by ``run`` of its words in a row with its own values. With
+    fewer than ``size`` words it is ``short``, and found where all of them stand in a row with its
+    own values. Texts without a word are never found, nor are NULL or empty ones. Repeated items
+    count once; rows with a NULL id are items, too.
     """
     items = benchmark.select(known_id(item_col).alias("item"), whole_text(item_text_col).alias("item_text")).distinct()
     keyed = items.select("item", F.xxhash64("item_text").alias("version"), "item_text")
     known = store(windows(keyed, ["item", "version"], F.col("item_text"), size))
-    parts = known.groupBy("item", "version").agg(F.countDistinct("position").alias("parts"))
+    positions = known.groupBy("item", "version", "position").agg(F.max("worded").alias("worded"))
+    parts = positions.groupBy("item", "version").agg(F.count_if("worded").alias("with_words"), F.count("*").alias("all"))
+    counted = positions.join(parts, ["item", "version"]).where(F.col("worded") | (F.col("with_words") == 0))
+    counted = counted.select("item", "version", F.col("position").alias("item_position"))
+    parts = parts.select("item", "version", F.when(F.col("with_words") > 0, F.col("with_words")).otherwise(F.col("all")).alias("parts"))
     known = known.select("item", "version", F.col("position").alias("item_position"), "template", F.col("slots").alias("item_slots"))
     text = whole_text(text_col)
     rows = docs.select(known_id(id_col).alias("doc"), F.xxhash64(text).alias("tie"), text.alias("doc_text"))
-    found = windows(rows, ["doc", "tie"], F.col("doc_text"), size)
+    found = windows(rows, ["doc", "tie"], F.col("doc_text"), size).drop("worded")
     small = known.count() <= BROADCAST_WINDOWS
     found = found.join(F.broadcast(known) if small else known, "template")
     here = ["doc", "tie", "item", "version"]
@@ -176,46 +189,59 @@ def find_leaks(
     sound = found.join(chance, [*here, "diagonal"], "left").where(sound)
     changed = F.max((F.col("slots") != F.col("item_slots")).cast("int"))
     covered = sound.groupBy(*here, "item_position").agg(changed.alias("changed"))
+    covered = covered.join(store(counted), ["item", "version", "item_position"], "left_semi")
     covered = covered.groupBy(*here).agg(F.count("*").alias("hits"), F.max("changed").alias("changed"))
     exact = found.where("slots = item_slots").select(*here, "diagonal", "item_position").distinct()
     more = max(0, run - size)  # windows after the first of a run
     row = Window.partitionBy(*here, "diagonal").orderBy("item_position").rangeBetween(0, more)
     runs = exact.withColumn("in_a_row", F.count("*").over(row)).where(F.col("in_a_row") > more).select(*here).distinct()
     scored = covered.join(parts, ["item", "version"]).withColumn("coverage", F.col("hits") / F.col("parts"))
-    scored = scored.join(runs.withColumn("run", F.lit(True)), here, "left")
-    scored = scored.where((F.col("coverage") >= coverage) | F.col("run")).select("doc", "tie", "item", "coverage", "changed")
+    scored = scored.join(runs.withColumn("run", F.lit(True)), here, "full")
+    scored = scored.where((F.col("coverage") >= coverage) | F.col("run"))
+    scored = scored.select("doc", "tie", "item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("changed", F.lit(0)).alias("changed"), F.lit(False).alias("short"))
     short = _find_short(rows, keyed, size)
     if short is not None:
-        scored = scored.unionByName(short.select("doc", "tie", "item", F.lit(1.0).alias("coverage"), F.lit(0).alias("changed")))
-    scored = scored.groupBy("doc", "tie", "item")
+        short = short.select("doc", "tie", "item", F.lit(1.0).alias("coverage"), F.lit(0).alias("changed"), F.lit(True).alias("short"))
+        scored = scored.unionByName(short)
+    scored = scored.groupBy("doc", "tie", "item", "short")
     return store(scored.agg(F.max("coverage").alias("coverage"), (F.max("changed") == 1).alias("reparameterised")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: doc_id, contaminated, item_ids (ascending), coverage, reparameterised.
+    """One row per document: doc_id, contaminated, item_ids and short_item_ids (ascending),
+    coverage, reparameterised.
 
-    Coverage is that of the item covered best, 0 without one. Repeated rows are reported each; an
-    empty table or benchmark gives no leaks; other columns are ignored.
+    A document that holds short items only is not contaminated. Coverage is that of the item
+    covered best, 0 without one. Repeated rows are reported each; an empty table or benchmark
+    gives no leaks; other columns are ignored.
     """
     leaks = find_leaks(docs, benchmark, id_col, text_col, **options)
+    item, long = given_id("item"), ~F.col("short")
     leaks = leaks.groupBy("doc", "tie").agg(
-        F.sort_array(F.collect_list(given_id("item"))).alias("item_ids"),
-        F.max("coverage").alias("coverage"),
-        F.max("reparameterised").alias("reparameterised"),
+        F.sort_array(F.collect_list(F.when(long, item))).alias("item_ids"),
+        F.sort_array(F.collect_list(F.when(F.col("short"), item))).alias("short_item_ids"),
+        F.max(F.when(long, F.col("coverage"))).alias("coverage"),
+        F.max(F.when(long, F.col("reparameterised"))).alias("reparameterised"),
     )
     rows = docs.select(known_id(id_col).alias("doc"), F.xxhash64(whole_text(text_col)).alias("tie"))
+    none = F.array().cast("array<bigint>")
     return rows.join(leaks, ["doc", "tie"], "left").select(
         given_id("doc").alias("doc_id"),
         F.col("coverage").isNotNull().alias("contaminated"),
-        F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"),
+        F.coalesce("item_ids", none).alias("item_ids"),
+        F.coalesce("short_item_ids", none).alias("short_item_ids"),
         F.coalesce("coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that leak no item, with all their columns."""
-    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).select("doc", "tie").distinct()
+    """The documents that leak no item but short ones, with all their columns.
+
+    Rows are told apart by id and text, so rows with a NULL id, or with one id and different
+    texts, are judged each by its own text; an empty benchmark drops none.
+    """
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **options).where("not short").select("doc", "tie").distinct()
     given = docs.select(
         F.struct("*").alias("row"), known_id(id_col).alias("doc"), F.xxhash64(whole_text(text_col)).alias("tie")
     )
@@ -225,4 +251,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 @query("op2_benchmark_leaks")
 def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     found = report(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
-    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("item_ids", "short_item_ids")})

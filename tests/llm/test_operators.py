@@ -325,11 +325,112 @@ def test_long_runs_and_short_items(docs, spark):
         "so 9 times 東京都",
     ]
     got = leaked(docs, spark, texts, items)
-    assert [r["item_ids"] for r in got] == [[0], [], [1], [], [3], [2, 4]]
-    assert [r["coverage"] for r in got] == [9 / 45, 0, 1, 0, 1, 1]
+    assert [r["item_ids"] for r in got] == [[0], [], [], [], [3], []]
+    assert [r["short_item_ids"] for r in got] == [[], [], [1], [], [], [2, 4]]
+    assert [r["coverage"] for r in got] == [9 / 45, 0, 0, 0, 1, 0]
+    assert [r["contaminated"] for r in got] == [True, False, False, False, True, False]
     assert not any(r["reparameterised"] for r in got)
 
 
+def test_short_answers_drop_nothing_and_numbers_meet_equal_ones_only(docs, spark):
+    items = ["yes", "42", "1 2 3 4 5 6 7 8", "Sum of 3 4 5 6 7 8 9 and the rest is given"]
+    texts = ["yes, 42 is it", "9 9 9 1 2 3 4 5 6 7 8 9 9", " ".join(map(str, range(100, 160))), "sum of 5 6 7 8 9 1 2 and the rest is given"]
+    got = leaked(docs, spark, texts, items)
+    assert [r["item_ids"] for r in got] == [[], [2], [], [3]] and got[0]["short_item_ids"] == [0, 1]
+    assert got[1]["coverage"] == 1 and not got[1]["reparameterised"] and got[3]["reparameterised"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    kept = leaks.drop_leaks(docs(list(enumerate(texts))), bench).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2]
+
+
+_PLAIN_TOKEN = re.compile(r"[A-Za-z]+(?:['/-][A-Za-z]+)*|[0-9]+(?:[.,][0-9]+)*")
+
+
+def plain_windows(text, size=5):
+    """(position, template, slots) of every window of an ASCII text, with and without names."""
+    tokens = []
+    for m in _PLAIN_TOKEN.finditer(text):
+        before = text[max(0, m.start() - 2) : m.start()]
+        name = m[0][0].isupper() and len(before) == 2 and before[1].isspace() and before[0] not in ".!?:" and not before[0].isspace()
+        tokens.append((m[0].lower(), name))
+    out = []
+    for typed in (True, False):
+        kinds = []
+        for i, (word, name) in enumerate(tokens):
+            after_number = i and tokens[i - 1][0][0].isdigit()
+            kind = "3" if name and typed else "1" if word[0].isdigit() else "2" if after_number and word in leaks.UNITS else ""
+            kinds.append((kind, ("\2" if kind == "3" else "") + word))
+        for p in range(len(tokens) - size + 1):
+            part = kinds[p : p + size]
+            if not typed and not any(name for _, name in tokens[p : p + size]):
+                continue
+            slots = tuple(k + w for k, w in part if k)
+            template = tuple(k or w for k, w in part)
+            bare = all(k for k, _ in part)
+            out.append((p, (template, slots if bare else None), slots, not bare))
+    return out
+
+
+def plain_leaks(text, item, coverage=0.5, run=13, size=5):
+    """All windows against all windows: (leaked, coverage, reparameterised)."""
+    known = plain_windows(item)
+    found = {(p - q, q, s, t) for p, a, s, _ in plain_windows(text) for q, b, t, _ in known if a == b}
+    worded = {q for q, _, _, w in known if w} or {q for q, *_ in known}
+    values = {}
+    for d, _, s, t in found:
+        for new, old in zip(s, t):
+            values.setdefault((d, old), set()).add(new)
+    chance = {}
+    for (d, old), news in values.items():
+        if len(news) > 1:
+            chance.setdefault(d, []).append((old, old in news))
+    covered = {}
+    for d, q, s, t in found:
+        olds = chance.get(d)
+        if s == t or not olds or not any(k for _, k in olds) and not {o for o, _ in olds} & set(t):
+            covered[q] = covered.get(q, False) or s != t
+    covered = {q: c for q, c in covered.items() if q in worded}
+    share = len(covered) / len(worded) if worded else 0
+    exact = {(d, q) for d, q, s, t in found if s == t}
+    in_a_row = any(all((d, q + k) in exact for k in range(run - size + 1)) for d, q in exact)
+    hit = bool(known) and (share >= coverage or in_a_row)
+    return hit, share if hit else 0, hit and any(covered.values())
+
+
+def test_leaks_equal_all_windows_against_all(docs, spark):
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu") for b in ("re", "sa", "ti", "vo")] + ["km", "kg", "the"]
+    names = ["Alice", "Bob", "Carol"]
+
+    def sentence(n):
+        kinds = rng.choice(3, n, p=[0.7, 0.18, 0.12])
+        return [str(rng.choice([words, [str(k) for k in range(12)], names][k])) for k in kinds]
+
+    items = [sentence(int(rng.integers(5, 30))) for _ in range(12)]
+    texts = []
+    for k in range(90):
+        one = list(items[k % len(items)])
+        low = int(rng.integers(0, len(one)))
+        part = one[low // 2 : max(low, len(one) - low // 3)]
+        change = rng.random(3) < 0.5
+        swap = {w: str(rng.integers(0, 12)) for w in set(part) if w.isdigit() and change[0]}
+        swap |= {w: str(rng.choice(names)) for w in names if change[1]}
+        part = [swap.get(w, w) for w in part]
+        if change[2] and part:
+            part[int(rng.integers(0, len(part)))] = str(rng.choice(words))
+        texts.append(" ".join(sentence(int(rng.integers(0, 9))) + part + sentence(int(rng.integers(0, 9)))))
+    items = [" ".join(x) for x in items]
+    got = leaked(docs, spark, texts, items)
+    n = 0
+    for text, r in zip(texts, got, strict=True):
+        plain = [plain_leaks(text, x) for x in items]
+        expected = [i for i, x in enumerate(plain) if x[0]]
+        n += len(expected)
+        assert (r["item_ids"], r["contaminated"]) == (expected, bool(expected)), text
+        assert r["coverage"] == pytest.approx(max(x[1] for x in plain)) and r["reparameterised"] == any(x[2] for x in plain), text
+    assert 30 < n
+
+
 # Chat
 
 
