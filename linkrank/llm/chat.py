@@ -30,8 +30,8 @@ _CONTROL = re.compile("|".join(re.escape(x) for x in CONTROLS))
 _GUARDED = re.compile(f"{GUARD}({GUARD}?)")
 _TURN = re.compile(re.escape("<|turn|>") + "(.*?)" + re.escape("<|text|>") + "(.*?)" + re.escape("</s>"), re.DOTALL)
 
-#: Stands for a text while its place is looked for; a text may hold it as well.
-STAND_IN = "\ue000"
+#: One of these letters for private use stands for a text while its place is looked for.
+STAND_INS = range(0xE000, 0xF900)
 
 
 def escape(text: str) -> str:
@@ -54,11 +54,22 @@ def parse(formatted: str) -> list[Message]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def _text_place(render: Template, before: list[Message], role: str, after: list[Message], base: int) -> tuple[int, int] | None:
-    """Where a text begins in the rendered conversation, and how much follows it."""
-    out = render([*before, (role, STAND_IN), *after])
-    at = out.find(STAND_IN, base)
-    return None if at < 0 else (at, len(out) - at - 1)
+def _stand_in(out: str) -> str:
+    """A letter that the rendered turns do not hold, neither in texts nor in roles; else nothing."""
+    return next((chr(x) for x in STAND_INS if chr(x) not in out), "")
+
+
+def _text_place(render: Template, before: list[Message], role: str, after: list[Message], out: str) -> tuple[int, int] | None:
+    """Where a text begins in the rendered conversation, and how much follows it; None if the
+    template shows it never or several times, or if something else depends on it."""
+    letter = _stand_in(out)
+    marks = render([*before, (role, letter), *after]) if letter else ""
+    if not letter or marks.count(letter) != 1:
+        return None
+    at = marks.index(letter)
+    rest = len(marks) - at - 1
+    same = at + rest <= len(out) and marks[:at] == out[:at] and marks[at + 1 :] == out[len(out) - rest :]
+    return (at, rest) if same else None
 
 
 def locate(render: Template, messages: list[Message]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
@@ -71,17 +82,15 @@ def locate(render: Template, messages: list[Message]) -> tuple[str, list[tuple[i
         if not out.startswith(before):
             rewrites = True
             break
-        place = _text_place(render, messages[:k], role, [], len(before))
+        place = _text_place(render, messages[:k], role, [], out)
         spans.append((len(before), len(out), *((place[0], len(out) - place[1]) if place else (-1, -1))))
         before = out
     if not rewrites:
         return before, spans, False
     whole, spans = render(messages), []
     for k, (role, _) in enumerate(messages):
-        marks = render([*messages[:k], (role, STAND_IN), *messages[k + 1 :]])
-        at = max(marks.find(STAND_IN), -1) if marks.count(STAND_IN) == 1 + whole.count(STAND_IN) else -1
-        text = (at, len(whole) - (len(marks) - at - 1)) if at >= 0 and marks[:at] == whole[:at] else (-1, -1)
-        spans.append((-1, -1, *text))
+        place = _text_place(render, messages[:k], role, messages[k + 1 :], whole)
+        spans.append((-1, -1, *((place[0], len(whole) - place[1]) if place else (-1, -1))))
     return whole, spans, True
 
 

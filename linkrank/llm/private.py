@@ -16,11 +16,23 @@ from pyspark.sql import functions as F
 from linkrank.llm.registry import query
 from linkrank.llm.stages import read, whole_text
 
-NEAR = 48  #: characters before a span that count as nearby
+NEAR = 48  #: characters before and after a span that count as nearby
+CLAUSE = r"^[^,;.\n]*"  #: of those after it; what follows then speaks of something else
 THRESHOLD = 0.6
 _BLOCK = 256
 
 
+# Characters of an account number by country, from the public IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+#: A match ends with the country's length, so a code or currency after the number is no part of it.
+IBAN = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -80,7 +92,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.8, lambda x: F.length(_digits(x)).between(9, 15)),
     Kind(
         "iban",
-        r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
+        IBAN,
         "",
         0.7,
         lambda x: mod97(F.replace(x, F.lit(" "), F.lit(""))),
@@ -101,7 +113,7 @@ KINDS = (
         r"[0-9A-Za-z]{32,}",
         "",
         0.3,
-        lambda x: x.rlike("^[0-9A-Fa-f]{32,64}$") & x.rlike("[0-9]"),
+        lambda x: x.rlike("[0-9]") & (x.rlike("^[0-9A-Fa-f]{32,64}$") | (F.length(x) <= 128) & x.rlike("[a-z]") & x.rlike("[A-Z]")),
         "token|secret|key|passw|pwd|credential",
         0.5,
     ),
@@ -141,7 +153,9 @@ def _spans(text: Column, hits: Column, kind: Kind) -> Column:
         score = F.lit(kind.score)
         if kind.nearby:
             first = F.greatest(s["start"] - NEAR, F.lit(0))
-            near = F.lower(F.substring(text, first + 1, s["start"] - first))
+            before, after = F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(NEAR))
+            after = F.regexp_extract(after, CLAUSE, 0)
+            near = F.lower(F.concat_ws("\n", before, after))
             score = score + F.when(near.rlike(kind.nearby), F.lit(kind.raised)).otherwise(F.lit(0.0))
         return F.struct(
             F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score")
@@ -244,16 +258,16 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
     return found.select(*out)
 
 
-_SQL = r"""
+_SQL = rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 kinds(ord, kind, pat) AS (VALUES
   (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
   (2, 'ip', '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
   (3, 'card', '[0-9](?:[\x20-]?[0-9])+'),
   (4, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
-  (5, 'iban', '[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?'),
+  (5, 'iban', '{IBAN}'),
   (6, 'ssn', '[0-9]+(?:-[0-9]+)+'),
-  (7, 'secret', '[0-9A-Za-z]{32,}')
+  (7, 'secret', '[0-9A-Za-z]{{32,}}')
 ), cut AS (
   SELECT doc_id, t, ord, kind, regexp_extract_all(t, pat) AS h, string_split_regex(t, pat) AS g FROM t, kinds
 ), hits AS (
@@ -267,7 +281,8 @@ kinds(ord, kind, pat) AS (VALUES
          replace(hit, ' ', '') AS flat, substr(replace(hit, ' ', ''), 5) || substr(replace(hit, ' ', ''), 1, 4) AS turned
   FROM placed
 ), near AS (
-  SELECT *, lower(substring(t, CAST(greatest(s - 48, 0) + 1 AS BIGINT), CAST(s - greatest(s - 48, 0) AS BIGINT))) AS ctx
+  SELECT *, lower(substring(t, CAST(greatest(s - 48, 0) + 1 AS BIGINT), CAST(s - greatest(s - 48, 0) AS BIGINT))
+              || chr(10) || regexp_extract(substring(t, CAST(e + 1 AS BIGINT), 48), '{CLAUSE}')) AS ctx
   FROM facts
 ), spans AS (
   SELECT doc_id, ord, kind, s, e FROM near
@@ -281,9 +296,10 @@ kinds(ord, kind, pat) AS (VALUES
     WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
     WHEN 'iban' THEN list_reduce(list_transform(generate_series(1, length(turned)), lambda j: ascii(turned[j])),
         lambda r, c: CASE WHEN c < 58 THEN (r * 10 + c - 48) % 97 ELSE (r * 100 + c - 55) % 97 END, 0) = 1
-    WHEN 'ssn' THEN regexp_full_match(hit, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(hit, '^(000|666|9)')
+    WHEN 'ssn' THEN regexp_full_match(hit, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') AND NOT regexp_matches(hit, '^(000|666|9)')
         AND regexp_matches(ctx, 'ssn|social security|tax')
-    ELSE regexp_full_match(hit, '[0-9A-Fa-f]{32,64}') AND regexp_matches(hit, '[0-9]')
+    ELSE regexp_matches(hit, '[0-9]') AND (regexp_full_match(hit, '[0-9A-Fa-f]{{32,64}}')
+          OR length(hit) <= 128 AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]'))
         AND regexp_matches(ctx, 'token|secret|key|passw|pwd|credential') END
 ), listed AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,

@@ -237,11 +237,17 @@ def test_checksums_and_nearby_words_decide(docs):
         (4, "part 123-45-6789, ssn 666-45-6789 far away"),
         (5, f'token = "{token}"'),
         (6, f"commit {token}"),
+        (7, "ES91 2100 0418 4502 0005 1332 BIC CAIXESBB, BE68 5390 0754 7034 EUR 500, AT611904300234573201 123"),
+        (8, "123-45-6789 is his social security number"),
+        (9, "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bD1fG is the api key"),
+        (10, "NO93 8601 1117 947"),
     ]
     got = {r["doc_id"]: r["spans"] for r in private.report(docs(rows)).collect()}
     assert got[1] == "iban:6:33,iban:38:60" and got[2] == ""
     assert got[3].endswith("ssn:4:15") and "ssn" not in got[4]
     assert got[5] == "secret:9:49" and got[6] == ""
+    assert got[7] == "iban:0:29,iban:44:63,iban:73:93" and got[8] == "ssn:0:11"
+    assert got[9] == "secret:0:32" and got[10] == "iban:0:18"
 
 
 def test_redaction(docs):
@@ -435,8 +441,8 @@ def test_leaks_equal_all_windows_against_all(docs, spark):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<s>", ""]), st.lists(
-    st.sampled_from([*chat.CONTROLS, chat.GUARD, chat.STAND_IN, "<", "[", "|>", "/s>", "x", "\n"]), max_size=7).map("".join)), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "<s>", "", "\ue000r"]), st.lists(
+    st.sampled_from([*chat.CONTROLS, chat.GUARD, "\ue000", "\ue001", "<", "[", "|>", "/s>", "x", "\n"]), max_size=7).map("".join)), max_size=5))
 def test_escapes_can_be_undone(messages):
     whole, spans, rewrites = chat.locate(chat.marked_turns, messages)
     assert whole == chat.marked_turns(messages) or not messages
