@@ -18,6 +18,7 @@ from linkrank.functions.keys import primary_entity
 from linkrank.functions.text import contains_ci, decade_ladder, decade_of_date, has_any_marker, ratio
 from linkrank.operators import aggregates as ag
 from linkrank.operators import joins as jn
+from linkrank.operators.quantiles import exact_quantiles
 from linkrank.operators.rank import top_k, top_n_per_group
 from linkrank.operators.review import with_track_keys
 from linkrank.plans import gems as plan
@@ -319,6 +320,22 @@ def group_match_rate(t):
     return ag.group_match_rate(release_years(t.recordings_replies), "order_year")
 
 
+@query(
+    "measured_cutoffs",
+    with_sql(
+        "stats",
+        " UNION ALL ".join(
+            f"""SELECT artist, {share}::double AS share, count(*) AS rows,
+            percentile_disc({share}) WITHIN GROUP (ORDER BY listeners) AS value FROM stats GROUP BY artist"""
+            for share in (0.5, 0.9, 0.99)
+        ),
+    ),
+)
+def measured_cutoffs(t):
+    """The 50th, 90th and 99th percentile of listeners by artist: what a cutoff would keep."""
+    return exact_quantiles(t.stats, ["artist"], "listeners", [0.5, 0.9, 0.99])
+
+
 # Questions the documents leave to the reader.
 
 

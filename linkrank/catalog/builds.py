@@ -2,7 +2,8 @@
 
 from linkrank.catalog.filters import songs
 from linkrank.catalog.registry import CUT, query
-from linkrank.catalog.sql import GEM_STAGES, TOP_STAGES, ladder, stages
+from linkrank.catalog.sql import GEM_STAGES, SONG_STAGES, TOP_STAGES, cut_tail, key, ladder, markers, stages, tier
+from linkrank.functions import sql
 from linkrank.operators import aggregates as ag
 from linkrank.operators.joins import lookup_join
 from linkrank.plans import gems as plan
@@ -24,6 +25,49 @@ def gems_build(t):
     return plan.gems(t.stats, songs(t), CUT).select(*GEM_COLUMNS)
 
 
+@query("gems_build_sql", GEMS_SQL)
+def gems_build_sql(t):
+    """The same in SQL, with the rules as functions."""
+    t.chart.createOrReplaceTempView("linkrank_chart")
+    t.stats.createOrReplaceTempView("linkrank_tracks")
+    sql.register_tables(t.spark, "linkrank_chart", "linkrank_tracks")
+    return t.spark.sql(
+        "SELECT * FROM gems(:min_listeners, :min_ratio, :low, :high)",
+        args={"min_listeners": CUT.min_listeners, "min_ratio": CUT.min_ratio, "low": CUT.low_tier, "high": CUT.high_tier},
+    )
+
+
+@query(
+    "roster_sql",
+    with_sql("chart", "SELECT primary_artist, songs_charted, career_peak FROM known_artists", SONG_STAGES),
+)
+def roster_sql(t):
+    t.chart.createOrReplaceTempView("linkrank_chart")
+    t.stats.createOrReplaceTempView("linkrank_tracks")
+    sql.register_tables(t.spark, "linkrank_chart", "linkrank_tracks")
+    return t.spark.sql("SELECT * FROM known_artists(:least)", args={"least": CUT.min_songs})
+
+
+@query(
+    "rules_in_sql",
+    with_sql(
+        "lines",
+        f"""SELECT artist, track, {ladder('track')} AS lead, {cut_tail('track')} AS cut, {key('track', 1)} AS k1, {key('track', 2)} AS k2,
+        {key('track', 3)} AS k3, {markers('track', negate=False)} AS variant, {tier('length(track)', low=40, high=80)} AS tier,
+        CASE WHEN length(track) = 0 THEN '' ELSE format('{{}}:{{:02d}}', length(track) * 1000 // 60000, length(track) * 1000 // 1000 % 60) END AS duration FROM lines""",
+    ),
+)
+def rules_in_sql(t):
+    """Every document line through every scalar rule."""
+    t.lines.createOrReplaceTempView("linkrank_lines")
+    sql.register(t.spark)
+    return t.spark.sql(
+        """SELECT artist, track, primary_entity(track) AS lead, title_cut_tail(track) AS cut, match_key(track, 1) AS k1,
+        match_key(track, 2) AS k2, match_key(track, 3) AS k3, is_variant(track) AS variant, tier_label(length(track), 40, 80) AS tier,
+        duration_text(length(track) * 1000) AS duration FROM linkrank_lines"""
+    )
+
+
 @query("roster_build", with_sql("chart stats", "SELECT * FROM top_gems", TOP_STAGES))
 def roster_build(t):
     return top(t)

@@ -37,6 +37,53 @@ def profile_table_wide(t):
     return pf.profile_table(t.table("documents"), ["doc_id", "text", "lang", "source", "n_chars"])
 
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_linestatus"]
+
+
+@query(
+    "profile_of_snapshots",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count_if({c} IS NULL)::bigint AS null_count,
+        count(DISTINCT {c}) AS distinct_count, true AS within_bound FROM lineitem"""
+        for c in LINE_COLUMNS
+    ),
+)
+def profile_of_snapshots(t):
+    """Yearly snapshots profiled one by one and merged without a rescan: the estimate of distinct
+    values must be within four times its average error of the exact number, which is shown."""
+    lines = t.table("lineitem").select(*LINE_COLUMNS)
+    years = lines.groupBy(F.year("l_shipdate").alias("y")).agg(F.lit(1)).select("y").collect()  # a few years
+    stored = None
+    for row in years:
+        one = materialize(pf.profile_sketches(lines.where(F.year("l_shipdate").eqNullSafe(F.lit(row["y"])))))
+        stored = one if stored is None else stored.unionByName(one)
+    exact = pf.profile_table(lines).select("column_name", F.col("distinct_count").alias("exact"))
+    off = F.abs(F.col("distinct_count") - F.col("exact")) / F.greatest(F.col("exact"), F.lit(1))
+    bound = 4 * 1.04 / (1 << pf.SKETCH_SIZE) ** 0.5
+    found = pf.merged_profile(stored).join(exact, "column_name")
+    return found.select("column_name", "row_count", "null_count", F.col("exact").alias("distinct_count"), (off <= bound).alias("within_bound"))
+
+
+@query(
+    "profile_table_approx",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS row_count, count_if({c} IS NULL)::bigint AS null_count,
+        count_if(cast({c} AS varchar) = '')::bigint AS blank_count, min(cast({c} AS varchar)) AS min_value,
+        max(cast({c} AS varchar)) AS max_value, true AS within_bound FROM documents"""
+        for c in ("doc_id", "lang", "source", "text", "n_chars")
+    ),
+)
+def profile_table_approx(t):
+    """One pass, no shuffle of values; the sketched number of distinct values must be within four
+    times its average error of 5 percent."""
+    docs = t.table("documents").select("doc_id", "lang", "source", "text", "n_chars")
+    exact = pf.profile_table(docs).select("column_name", F.col("distinct_count").alias("exact"))
+    off = F.abs(F.col("distinct_count") - F.col("exact")) / F.greatest(F.col("exact"), F.lit(1))
+    found = pf.profile_table_approx(docs).join(exact, "column_name")
+    columns = ["column_name", "row_count", "null_count", "blank_count", "min_value", "max_value"]
+    return found.select(*columns, (off <= 0.2).alias("within_bound"))
+
+
 @query(
     "oddity_counts",
     with_sql(

@@ -75,6 +75,30 @@ def profile_table_approx(df: DataFrame, columns: list[str] | None = None) -> Dat
     return _one_pass(df, columns or df.columns, _MEASURES)
 
 
+#: Buckets of a stored sketch, as a power of two: a relative error of 1.04 / sqrt(2 ** 14), 0.8 percent.
+SKETCH_SIZE = 14
+
+
+def profile_sketches(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """A profile that can be merged: one row per column with counts, least and greatest value and a
+    sketch of the distinct ones. One pass; store it with the snapshot it describes."""
+    measures = {k: v for k, v in _MEASURES.items() if k != "distinct_count"}
+    measures["distinct_sketch"] = lambda v: F.hll_sketch_agg(F.concat(F.lit("="), v), F.lit(SKETCH_SIZE))  # the sketch skips empty text
+    return _one_pass(df, columns or df.columns, measures)
+
+
+def merged_profile(stored: DataFrame) -> DataFrame:
+    """The profile of all snapshots together from their stored ones; no snapshot is read again.
+
+    Counts, least and greatest values are exact. Distinct values are estimated: a value that is in
+    several snapshots counts once, with a relative error of 0.8 percent on average.
+    """
+    sums = [F.sum(c).alias(c) for c in ("row_count", "null_count", "blank_count", "nondigit_count")]
+    distinct = F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch")).alias("distinct_count")
+    ends = [F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value")]
+    return stored.groupBy("column_name").agg(*sums, distinct, *ends)
+
+
 def count_blank(df: DataFrame, columns: list[str]) -> DataFrame:
     test = reduce(lambda a, b: a | b, [F.col(c) == "" for c in columns])
     return df.where(test).agg(F.count("*").alias("blank_rows"))

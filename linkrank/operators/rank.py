@@ -48,12 +48,14 @@ def percent_rank_at_scale(
     with many rows spans slots. Rows below a value = rows in lower slots + rows below it in its
     own slot. For a slot's first value, rows of that value in lower slots are taken off again;
     they are known from one row per slot. NULLs rank first; NULL is a group like any other.
+
+    Rows are stored once, with their slot and the rank in it: sizes and result read that.
     """
     parts = list(partition_by)
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    slotted = _slotted(df, [*parts, F.col(col).asc_nulls_first(), spread])
+    slotted = df.repartitionByRange(*parts, F.col(col).asc_nulls_first(), spread).withColumn("__slot", F.spark_partition_id())
     inside = F.rank().over(W.partitionBy(*parts, "__slot").orderBy(F.col(col).asc_nulls_first()))
-    ranked = slotted.withColumn("__inside", inside)
+    ranked = materialize(slotted.withColumn("__inside", inside))
     value = F.struct(F.col(col).alias("v"))  # a struct, so that NULL is a value too
     sizes = ranked.groupBy(*parts, "__slot").agg(
         F.count("*").alias("__size"),

@@ -8,7 +8,6 @@ chain meets one row per key and needs no special path for hot keys.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +89,16 @@ def devotion_order() -> list[Column]:
     return [F.desc("plays_per_listener"), F.desc("listeners"), F.asc("artist"), F.asc("track")]
 
 
+def best_of_each(found: DataFrame, cut: Cutoffs) -> DataFrame:
+    """The most devoted few finds of each artist, with the lower-cased name."""
+    return top_n_per_group(
+        found.where(F.col("tier") == "hidden gem").withColumn("artist_lower", F.lower("artist")),
+        ["artist_lower"],
+        devotion_order(),
+        cut.per_artist,
+    )
+
+
 def top_gems(found: DataFrame, roster: DataFrame, cut: Cutoffs) -> DataFrame:
     """Best few of each well-known artist, at most ``roster_size`` in all.
 
@@ -102,13 +111,7 @@ def top_gems(found: DataFrame, roster: DataFrame, cut: Cutoffs) -> DataFrame:
         ),
         ["artist_lower"],
     )
-    best = top_n_per_group(
-        found.where(F.col("tier") == "hidden gem").withColumn("artist_lower", F.lower("artist")),
-        ["artist_lower"],
-        devotion_order(),
-        cut.per_artist,
-    )
-    kept = best.join(known, ["artist_lower"], "left_semi")
+    kept = best_of_each(found, cut).join(known, ["artist_lower"], "left_semi")
     return top_k(kept, devotion_order(), cut.roster_size).select(
         "artist", "track", "listeners", "playcount", "plays_per_listener"
     )
@@ -117,14 +120,22 @@ def top_gems(found: DataFrame, roster: DataFrame, cut: Cutoffs) -> DataFrame:
 def rosters_compared(
     found: DataFrame, songs: DataFrame, cut: Cutoffs, cutoffs: tuple[int, ...] = (3, 10)
 ) -> DataFrame:
-    """The final list rebuilt for each roster cutoff, labelled with it.
+    """The final list under each roster cutoff, labelled with it, in one pass for all of them.
 
-    Store ``found`` and ``songs`` first: each cutoff reads them.
+    The best few of an artist do not depend on the cutoff, so they are cut once. Each joins its
+    artist's number of songs, counts towards the cutoffs that number passes, and the lists are
+    cut to size side by side.
     """
-    lists = [
-        top_gems(found, known_artists(songs, n), cut).withColumn("min_songs", F.lit(n)) for n in cutoffs
-    ]
-    return reduce(DataFrame.unionByName, lists)
+    known = one_row_per_key(
+        known_artists(songs, min(cutoffs)).where(F.col("career_peak") <= cut.worst_peak).withColumn("artist_lower", F.lower("primary_artist")),
+        ["artist_lower"],
+        F.max("songs_charted").alias("most_songs"),
+    )
+    joined = best_of_each(found, cut).join(known, ["artist_lower"])
+    passed = F.filter(F.array(*map(F.lit, cutoffs)), lambda n: F.col("most_songs") >= n)
+    names = ["artist", "track", "listeners", "playcount", "plays_per_listener"]
+    counted = joined.select(*names, F.explode(passed).alias("min_songs"))
+    return top_n_per_group(counted, ["min_songs"], devotion_order(), cut.roster_size).select(*names, "min_songs")
 
 
 def first_last_seen(chart: DataFrame, cut: Cutoffs, mapping: DataFrame | None = None) -> DataFrame:
