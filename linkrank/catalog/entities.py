@@ -84,8 +84,8 @@ def page_title_keys(t):
     with_sql(
         "chart stats",
         " UNION ALL ".join(
-            f"""SELECT {n} AS key_level, count(*) AS devoted_tracks, count(s.title) AS matched_to_chart,
-            round(count(s.title) * 100::double / count(*), 1) AS match_rate_pct
+            f"""SELECT {n} AS key_level, count(*) AS total, count(s.title) AS matched,
+            round(count(s.title) * 100::double / count(*), 1) AS matched_pct
             FROM stats t LEFT JOIN songs s ON lower(t.artist) = lower(s.primary_artist)
              AND {key('t.track', n)} = {song_key('s.title', n)}"""
             for n in rv.LEVELS
@@ -101,8 +101,8 @@ def key_rule_uplift(t):
     "benchmark_match_rate",
     with_sql(
         "lines benchmark_songs",
-        f"""SELECT count(*) AS devoted_tracks, count(b.title) AS matched_to_chart,
-        round(count(b.title) * 100::double / count(*), 1) AS match_rate_pct
+        f"""SELECT count(*) AS total, count(b.title) AS matched,
+        round(count(b.title) * 100::double / count(*), 1) AS matched_pct
         FROM (SELECT {key('track', 3)} AS k FROM lines) l
         LEFT JOIN (SELECT title, {song_key('title', 3)} AS k FROM benchmark_songs) b ON l.k = b.k""",
     ),

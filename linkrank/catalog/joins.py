@@ -59,8 +59,8 @@ def left_join_compound(t):
     "match_rate",
     with_sql(
         "chart stats",
-        """SELECT count(*) AS devoted_tracks, count(title) AS matched_to_chart,
-        round(count(title) * 100::double / count(*), 1) AS match_rate_pct
+        """SELECT count(*) AS total, count(title) AS matched,
+        round(count(title) * 100::double / count(*), 1) AS matched_pct
         FROM devoted LEFT JOIN song_keys USING (artist_key, title_key)""",
         LINK,
     ),

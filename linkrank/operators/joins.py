@@ -114,14 +114,14 @@ def match_rate(left: DataFrame, right: DataFrame, keys: list[str], by: tuple[str
         _pair_counts(left, right, keys)
         .groupBy(*by)
         .agg(
-            F.coalesce(F.sum(pairs), F.lit(0)).alias("devoted_tracks"),
+            F.coalesce(F.sum(pairs), F.lit(0)).alias("total"),
             F.coalesce(F.sum(F.when(F.col("n_right").isNotNull(), pairs)), F.lit(0)).alias(
-                "matched_to_chart"
+                "matched"
             ),
         )
         .withColumn(
-            "match_rate_pct",
-            F.round(F.try_divide(F.col("matched_to_chart") * F.lit(100.0), F.col("devoted_tracks")), 1),
+            "matched_pct",
+            F.round(F.try_divide(F.col("matched") * F.lit(100.0), F.col("total")), 1),
         )
     )
 

@@ -117,7 +117,7 @@ def test_ledger_shrinks_and_tiers_sum_up(chart, tracks):
 
 
 def test_uplift_never_falls(chart, tracks):
-    rates = {r["key_level"]: r["matched_to_chart"] for r in rv.key_rule_uplift(tracks, ag.song_grain(chart)).collect()}
+    rates = {r["key_level"]: r["matched"] for r in rv.key_rule_uplift(tracks, ag.song_grain(chart)).collect()}
     assert rates == {0: 0, 1: 0, 2: 1, 3: 1}
 
 

@@ -81,7 +81,7 @@ def test_match_rate_counts_fanout_without_pairs(frame):
     right = frame([("a", "x"), ("a", "x"), (None, "z")], "artist_key string, title_key string")
     keys = ["artist_key", "title_key"]
     got = jn.match_rate(left, right, keys).first()
-    assert (got["devoted_tracks"], got["matched_to_chart"], got["match_rate_pct"]) == (8, 6, 75.0)
+    assert (got["total"], got["matched"], got["matched_pct"]) == (8, 6, 75.0)
     assert tuple(jn.fanout_report(left, right, keys).first()) == (5, 8, 1)
 
 
