@@ -56,6 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the whole ``documents`` table: the pieces of the packed sequences.
+
+    A NULL or empty text fails the quality rules. A row with a NULL id is judged by its text like
+    any other and is nobody's near duplicate; its pieces have a NULL doc_id. Of rows with one id
+    and one text one stays, unlike texts of one id all do. An empty table gives no rows, an empty
+    benchmark drops none. Further columns go with their rows until packing.
+    """
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = store(stage(spark, docs, sf_dir))
