@@ -92,7 +92,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.8, lambda x: F.length(_digits(x)).between(9, 15)),
     Kind(
         "iban",
-        IBAN,
+        f"(?=[A-Z]{{2}}[0-9])(?:{IBAN})",  # most places fail at the first look, before any country is tried
         "",
         0.7,
         lambda x: mod97(F.replace(x, F.lit(" "), F.lit(""))),
