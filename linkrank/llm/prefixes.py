@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from linkrank.llm import arrow, sketch
 from linkrank.llm.registry import query
 from linkrank.llm.stages import read, release, store
+from linkrank.operators.joins import lookup_join
 from linkrank.operators.rank import numbered
 
 _IDS = 12  #: bits of the ids that are joined to one text at a time
@@ -38,22 +39,38 @@ def turns_of(
 ) -> DataFrame:
     """Numbered turns: conv, pos (from 1), d1, d2 (a digest of role and text), chars.
 
-    Turns are ordered by turn, NULL first, ties by role and then by the digest. A NULL role or text
-    is empty; rows without a conversation id are no part of any conversation and are left out.
+    Turns are ordered by turn, NULL first, ties by role and then by text, NULL last. A NULL role or
+    text is empty; rows without a conversation id are no part of any conversation and are left out.
+    Texts are not moved but for turns that differ in nothing else.
     """
-    role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    raw_role, raw_text = F.col(role_col), F.col(text_col)
+    role, text = F.coalesce(raw_role, F.lit("")), F.coalesce(raw_text, F.lit(""))
     digest = F.sha2(F.concat_ws(":", F.length(role).cast("string"), role, text), 256)
-    rows = turns.select(
-        F.col(conv_col).cast("long").alias("conv"),
-        F.col(turn_col).alias("turn"),
-        role.alias("role"),
+    named = turns.select(
+        F.struct(F.col(conv_col).cast("long").alias("conv"), F.col(turn_col).alias("turn"), raw_role.alias("role")).alias("place"),
         *(F.conv(F.substring(digest, 16 * k + 1, 16), 16, -10).cast("long").alias(f"d{k + 1}") for k in range(2)),
         F.length(text).cast("long").alias("chars"),
-    ).where("conv is not null")
-    order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("d1"), F.col("d2")]
+        raw_text.isNull().alias("no_text"),
+        raw_text.alias("text"),
+    ).where("place.conv is not null")
+    rows = store(named.drop("text"))
+    order = ["turn", F.col("role").asc_nulls_last(), "no_text", "nth", "d1", "d2"]
+    rows = _by_text(rows, named).select("place.*", "no_text", "nth", "d1", "d2", "chars")
     return numbered(rows, ["conv"], order, "pos").select("conv", F.col("pos").cast("long").alias("pos"), "d1", "d2", "chars")
 
 
+def _by_text(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Add nth: a text's number, by ascending text, among those of one conversation, turn and role;
+    0 where there is one text only, as nearly everywhere. ``named`` has the texts of ``rows``."""
+    texts = rows.where("not no_text").groupBy("place").agg(*(f(F.struct("d1", "d2")).alias(n) for n, f in (("low", F.min), ("high", F.max))))
+    tied = store(texts.where("low <> high").select("place"))
+    if tied.isEmpty():
+        return rows.withColumn("nth", F.lit(0))
+    apart = lookup_join(named.where("not no_text").select("place", "d1", "d2", "text"), tied, ["place"], "left_semi").distinct()
+    nth = numbered(apart, ["place"], [F.col("text")], "nth").drop("text")
+    return rows.join(nth, ["place", "d1", "d2"], "left").withColumn("nth", F.coalesce("nth", F.lit(0)))
+
+
 def with_lengths(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Numbered turns as they are: conv, length, pos, d1, d2, chars; and conv, length."""
     members = store(turns.groupBy("conv").agg(F.count("*").alias("length")))
@@ -226,7 +243,7 @@ def trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     known = known.select(
         F.col("owner").alias("conv_id"),
         F.col("pos").alias("depth"),
-        F.when(F.col("pos") == 1, root).otherwise(F.col("parent")).alias("parent_conv_id"),
+        F.when(F.col("pos") == 1, root).otherwise(F.coalesce("parent", "owner")).alias("parent_conv_id"),  # no parent found: one member
         "n_convs",
         F.coalesce("n_children", zero).alias("n_children"),
         "n_leaves",

@@ -98,3 +98,21 @@ def test_without_turns_left(docs, turns):
 
 def test_empty_table(docs, turns):
     assert prefixes.conversation_trie(turns([])).collect() == []
+
+
+def test_ties_go_by_role_and_text(docs, turns):
+    """Turns that only their texts tell apart are put in order by them, NULL last, as in the SQL."""
+    texts = ["b", "a", "é", "", "\U0001f600", "B", None, "aa", "a"]
+    rows = [(c, t, r, x) for c in (3, 4) for t in (None, 1) for r in ("user", None, "assistant", "") for x in texts]
+    random.Random(4).shuffle(rows)
+    in_sql = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2] is None, r[2] or "", r[3] is None, (r[3] or "").encode()))
+    want = {c: [(r or "", x or "") for k, _, r, x in in_sql if k == c] for c in (3, 4)}
+    got = prefixes.conversation_trie(turns(rows))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_trie(want)
+
+
+def test_wrongly_screened_prefixes_have_parents(docs, turns):
+    """Among so many prefixes of one member, counters make some look shared below others that do not."""
+    rows = [(c, k, "user", f"{c} {k}") for c in range(700) for k in range(20)]
+    got = prefixes.conversation_trie(turns(rows))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_trie(in_order(rows))
