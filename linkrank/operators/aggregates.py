@@ -61,21 +61,29 @@ def pattern_counts(df: DataFrame, col: str, patterns: dict[str, str]) -> DataFra
 
 
 def song_grain(chart: DataFrame, rungs=CREDIT_RUNGS) -> DataFrame:
-    """One row per lead artist and title; the kept credit is the best-peaking one."""
+    """One row per lead artist and title; the kept credit is the best-peaking one.
+
+    Weeks are reduced to one row per credit and title first, with numbers only, which Spark adds up
+    by hash; the lead artist is cut from, and the best credit picked among, those few rows.
+    """
     peak = F.col("peak_pos").try_cast("int")
-    return (
-        chart.select(
-            primary_entity(F.col("performer"), rungs).alias("primary_artist"),
-            "title",
-            "performer",
-            peak.alias("peak"),
-            "wks_on_chart",
+    per_credit = (
+        chart.select("performer", "title", peak.alias("peak"), "wks_on_chart")
+        .groupBy("performer", "title")
+        .agg(
+            F.min("peak").alias("peak"),
+            F.bool_or(F.col("peak").isNull()).alias("without"),
+            F.max("wks_on_chart").alias("weeks"),
         )
+    )
+    first = F.when(~F.col("without"), F.col("peak"))  # a week without a peak comes before all others
+    return (
+        per_credit.withColumn("primary_artist", primary_entity(F.col("performer"), rungs))
         .groupBy("primary_artist", "title")
         .agg(
-            F.min_by("performer", F.struct("peak", "performer")).alias("performer"),
+            F.min_by("performer", F.struct(first.alias("first"), F.col("performer"))).alias("performer"),
             F.min("peak").alias("best_peak"),
-            F.max("wks_on_chart").alias("total_weeks"),
+            F.max("weeks").alias("total_weeks"),
         )
     )
 

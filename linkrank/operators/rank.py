@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 from linkrank.runtime import materialize
 
 
+#: Facts about a group's slot that are broadcast, at most.
+MOST_SLOTS = 100_000
+
+
 def _slotted(df: DataFrame, order: list) -> DataFrame:
-    """``df`` range-partitioned by ``order``, with the number of each row's slot.
+    """``df`` range-partitioned and sorted by ``order``, with each row's slot and place in it.
 
     Stored, so that a lost executor cannot move a row to another slot.
     """
-    return materialize(df.repartitionByRange(*order).withColumn("__slot", F.spark_partition_id()))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    slot, place = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    return materialize(placed.withColumns({"__slot": slot, "__place": place}).drop("__id"))
 
 
 def _at_slot(df: DataFrame, slots: DataFrame, parts: list[str]) -> DataFrame:
@@ -120,16 +126,19 @@ def top_n_per_group(
 def numbered(df: DataFrame, group: list[str], order: list[Column], name: str, n: int | None = None) -> DataFrame:
     """``ROW_NUMBER()`` per group without a task that holds a group; at most ``n`` rows of each.
 
-    Row number = rows of the group in lower slots + row number in the own slot. Slots
-    that start beyond n are dropped before any sort.
+    Row number = rows of the group in lower slots + row number in the own slot, which follows from
+    the row's place there and that of the group's first row. So rows are shuffled and sorted once;
+    afterwards they only meet one row per group and slot. Slots that start beyond n are dropped.
     """
     slotted = _slotted(df, [*group, *order])
-    starts = _starts(slotted.groupBy(*group, "__slot").agg(F.count("*").alias("__size")), group, "__size")
-    starts = starts.select(*group, "__slot", "__start")
+    sizes = slotted.groupBy(*group, "__slot").agg(F.count("*").alias("__size"), F.min("__place").alias("__low"))
+    starts = _starts(sizes, group, "__size").select(*group, "__slot", "__start", "__low")
     if n is not None:
         starts = starts.where(F.col("__start") < n)
-    inside = F.row_number().over(W.partitionBy(*group, "__slot").orderBy(*order))
-    found = _at_slot(slotted, starts, group).withColumn(name, (F.col("__start") + inside).cast("int"))
+    starts = materialize(starts)
+    few = starts.limit(MOST_SLOTS + 1).count() <= MOST_SLOTS
+    number = F.col("__start") + F.col("__place") - F.col("__low") + 1
+    found = _at_slot(slotted, F.broadcast(starts) if few else starts, group).withColumn(name, number.cast("int"))
     if n is not None:
         found = found.where(F.col(name) <= n)
     return found.select(*df.columns, name)

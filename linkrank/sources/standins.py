@@ -86,6 +86,7 @@ class Inputs:
         )
         ranked = numbered(revenue, ["w"], [F.desc("cents"), F.asc("l_partkey")], "p")
         history = W.partitionBy("l_partkey").orderBy("w")
+        names = self.table("part").select("p_partkey", _chart_title().alias("title"), _credit().alias("performer"))
         return (
             ranked.select(
                 F.col("l_partkey").alias("p_partkey"),
@@ -95,12 +96,12 @@ class Inputs:
                 F.min("p").over(history).cast("string").alias("peak_pos"),
                 F.row_number().over(history).alias("wks_on_chart"),
             )
-            .join(self.table("part"), "p_partkey")
+            .join(names, "p_partkey")
             .select(
                 "chart_week",
                 "current_week",
-                _chart_title().alias("title"),
-                _credit().alias("performer"),
+                "title",
+                "performer",
                 "last_week",
                 "peak_pos",
                 "wks_on_chart",

@@ -225,3 +225,15 @@ def test_whole_analysis_from_files(spark, folder, chart, tracks, frame):
         "artist", "track", "listeners", "playcount", "plays_per_listener", "album", "genre", "tags",
         "duration", "debut_decade", "gem_score",
     ]
+
+
+def test_song_grain_reduces_weeks_by_credit_first(frame):
+    """A week without a peak comes first, as it does among single weeks; only numbers are added up."""
+    rows = [
+        ("A With B", "t", "3", 1), ("A With C", "t", "2", 4), ("A With C", "t", "NA", 2), ("A With B", "t", "1", 7),
+        ("Z", "u", "4", 1), ("Z With Q", "u", "4", 3), ("Z With Q", "u", "9", 2), (None, "u", "NA", None), (None, "u", "5", None),
+    ]
+    got = ag.song_grain(frame(rows, "performer string, title string, peak_pos string, wks_on_chart int"))
+    want = [("A", "t", "A With C", 1, 7), ("Z", "u", "Z", 4, 3), (None, "u", None, 5, None)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2

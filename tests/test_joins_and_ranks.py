@@ -172,3 +172,22 @@ def test_lookup_join_property(spark, left, right):
     b = spark.createDataFrame([(k, k * 2) for k in right], "k string, w string")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(jn.lookup_join(a, b, ["k"], how)) == rows(a.join(b, ["k"], how))
+
+
+def test_numbered_rows_are_shuffled_once(frame):
+    """Row numbers follow from places in sorted slots; the rows meet one row per group and slot."""
+    rows = [(g, v) for g in ("a", "b", None) for v in range(200)] + [("c", None), ("c", 1)]
+    df = frame(rows, "g string, v int").repartition(7)
+    got = rank.numbered(df, ["g"], [F.desc("v")], "n")
+    want = [("c", 1, 1), ("c", None, 2)] + [(g, v, 200 - v) for g in ("a", "b", None) for v in range(200)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan
+
+
+def test_numbered_with_many_groups(frame, monkeypatch):
+    """More groups than are broadcast."""
+    monkeypatch.setattr(rank, "MOST_SLOTS", 10)
+    rows = [(g, v) for g in range(50) for v in range(4)]
+    got = rank.numbered(frame(rows, "g int, v int"), ["g"], [F.col("v")], "n", 3)
+    assert sorted(map(tuple, got.collect())) == [(g, v, v + 1) for g in range(50) for v in range(3)]
