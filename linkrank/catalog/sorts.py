@@ -129,7 +129,7 @@ LIST_VALUES = ["artist", "track", "listeners", "playcount", "plays_per_listener"
 def snapshot_diff(t):
     """The finished list of an early snapshot and that of a later one, which is brought about from
     the early one by working out changed keys only."""
-    before, after, archive = freeze(t.early_stats), freeze(t.stats), freeze(songs(t))
+    before, after, archive = *(freeze(s) for s in t.both_stats), freeze(songs(t))
     first = freeze(upkeep.gems_by_key(before, archive, CUT))
     second, _ = upkeep.refreshed_gems(first, before, after, archive, archive, CUT)
     return upkeep.list_changes(first, second, KEYS, LIST_VALUES)

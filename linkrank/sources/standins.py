@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linkrank.operators.joins import lookup_join
 from linkrank.operators.rank import numbered
+from linkrank.runtime import materialize
 
 
 def _s(*parts) -> Column:
@@ -132,6 +133,40 @@ class Inputs:
         """The same before 1998: an earlier snapshot of the statistics."""
         return self._stats(self.table("lineitem").where(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
 
+    @cached_property
+    def both_stats(self) -> tuple[DataFrame, DataFrame]:
+        """``early_stats`` and ``stats`` from one pass over lines and orders, stored by part and status."""
+        early = F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")
+        lines = self.table("lineitem").select(
+            "l_orderkey", "l_partkey", "l_linestatus", "l_quantity", F.coalesce(early, F.lit(False)).alias("early")
+        )
+        buyers = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        part, is_early = [F.col("l_partkey").alias("p_partkey"), "l_linestatus"], F.col("early")
+        per_buyer = (
+            lookup_join(lines, buyers, ["l_orderkey"], "inner")
+            .groupBy(*part, "o_custkey")
+            .agg(
+                F.sum("l_quantity").alias("units"),
+                F.sum(F.when(is_early, F.col("l_quantity"))).alias("early_units"),
+                F.bool_or("early").alias("early"),
+            )
+        )
+        sums = materialize(
+            per_buyer.groupBy("p_partkey", "l_linestatus").agg(
+                F.sum("units").cast("long").alias("playcount"),
+                F.count("o_custkey").alias("listeners"),
+                F.sum("early_units").cast("long").alias("early_playcount"),
+                F.count(F.when(is_early, F.col("o_custkey"))).alias("early_listeners"),
+                F.bool_or("early").alias("early"),
+            )
+        )
+
+        def named(rows: DataFrame, prefix: str) -> DataFrame:
+            figures = [F.col(f"{prefix}{c}").alias(c) for c in ("playcount", "listeners")]
+            return rows.join(self.table("part"), "p_partkey").select(F.col("p_brand").alias("artist"), _track().alias("track"), *figures)
+
+        return named(sums.where("early"), "early_"), named(sums, "")
+
     @cached_property
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Track statistics before and from 1998."""

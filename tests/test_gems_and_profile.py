@@ -1,5 +1,7 @@
 """The stages of the analysis and the quality reports on hand-written rows."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from linkrank.operators import aggregates as ag
 from linkrank.operators import profile as pf
 from linkrank.operators import review as rv
 from linkrank.plans import gems as plan
+from linkrank.sources.standins import Inputs
 
 CHART = "chart_week string, current_week int, title string, performer string, last_week string, peak_pos string, wks_on_chart int"
 TRACKS = "artist string, track string, playcount bigint, listeners bigint"
@@ -237,3 +240,20 @@ def test_song_grain_reduces_weeks_by_credit_first(frame):
     want = [("A", "t", "A With C", 1, 7), ("Z", "u", "Z", 4, 3), (None, "u", None, 5, None)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_both_stats_are_the_two_snapshots(spark, folder):
+    """One pass gives what two give, also for NULL dates, buyers and units and for lines without an order."""
+    lines = [
+        (k, p, s, q, None if d is None else datetime.datetime(d, 6, 1))
+        for k in (1, 2, 3, 4, None, 9) for p in (1, 2, 3, None) for s in ("F", "O", None)
+        for q, d in ((2.0, 1997), (None, 1998), (3.0, 1999), (1.0, None)) if p != 3 or d != 1997
+    ]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linestatus string, l_quantity double, l_shipdate timestamp_ntz").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, 10), (2, 10), (3, None), (4, 11), (4, 11)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    parts = [(1, "b", "x", "SMALL", 5), (2, "b", "y", "PROMO", 40), (2, "b", "y", "PROMO", 40), (3, "c", "z", "LARGE", 18)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string, p_type string, p_size int").write.parquet(f"{folder}/part.parquet")
+    t = Inputs(spark, folder)
+    for one, two in zip(t.both_stats, (t.early_stats, t.stats), strict=True):
+        assert one.columns == two.columns and one.dtypes == two.dtypes
+        assert one.count() > 0 and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
