@@ -20,7 +20,7 @@ All of it is Spark column expressions.
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,16 +49,29 @@ _MARK = "\u0002"
 _NAME = r"(\p{Lu})(?<=[^.!?:\s]\s\p{Lu})"
 #: Scripts without spaces (Thai to Khmer, Kana, Han): each letter is a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_LETTERS = rf"[\p{{L}}\p{{M}}&&[^{_UNSPACED}]]++"
-_TOKEN = rf"{_MARK}?+{_LETTERS}(?:['’/-]{_LETTERS})*+|[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*+|[0-9]++(?:[.,][0-9]++)*+"
+# Tokens of lower-case text. Letters a to z are by far the most common and a test for one of them
+# costs least, so they come first, and ASCII separators meet no test of Unicode classes.
+_OTHER = rf"(?![\x00-\x7f])[\p{{L}}\p{{M}}&&[^{_UNSPACED}]][\p{{L}}\p{{M}}&&[^{_UNSPACED}]]*+"
+_LATIN = rf"[a-z]++(?:{_OTHER})?+"
+_PARTS = rf"(?:['’/-](?:{_LATIN}|{_OTHER}))*+"
+_NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
+_TOKEN = rf"{_LATIN}{_PARTS}|{_MARK}?+(?:{_LATIN}|{_OTHER}){_PARTS}|{_NUMBER}|(?![\x00-\x7f])[\p{{L}}&&[{_UNSPACED}]]\p{{M}}*+"
 
 
 def _marked(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, _NAME, f"{_MARK}$1"))
 
 
-def _words(tokens: Column) -> Column:
-    return F.transform(tokens, lambda x: F.translate(x, _MARK, ""))
+def _tokens(marked: Column) -> Column:
+    return F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0))
+
+
+def _is_name(token: Column) -> Column:
+    return token < chr(ord(_MARK) + 1)
+
+
+def _word(token: Column) -> Column:
+    return F.ltrim(token, F.lit(_MARK))
 
 
 def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW) -> DataFrame:
@@ -69,76 +82,56 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
     names has a second row in which they are words in lower case, as in a copy in one case.
     """
     marked = _marked(text)
-    rows = docs.select(*keys, F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)).alias("tokens"), marked.alias("marked"))
-    has_numbers, has_names = F.col("marked").rlike("[0-9]"), F.contains("marked", F.lit(_MARK))
-    words = F.when(has_names, _words(F.col("tokens")))
-    rows = rows.select(*keys, "tokens", has_numbers.alias("numbers"), has_names.alias("names"), words.alias("words"))
-
-    def is_name(x: Column) -> Column:
-        return x < chr(ord(_MARK) + 1)
-
-    def is_number(x: Column) -> Column:
-        return x < chr(ord("9") + 1)
-
-    def coded(tokens: str, slotted: Column) -> tuple[Column, Column]:
-        def is_unit(x: Column, i: Column) -> Column:
-            return F.col("numbers") & (i > 0) & is_number(F.get(tokens, i - 1)) & ~is_name(F.get(tokens, i - 1)) & x.isin(UNITS)
-
-        def kind(x: Column, i: Column) -> Column:
-            return F.when(is_name(x), 3).when(is_number(x), 1).when(is_unit(x, i), 2)
-
-        templates = F.transform(tokens, lambda x, i: F.coalesce(kind(x, i).cast("long"), F.xxhash64(x)))
-        return templates, F.when(slotted, F.transform(tokens, lambda x, i: F.concat(kind(x, i).cast("string"), x)))
-
-    templates, values = coded("tokens", F.col("numbers") | F.col("names"))
-    word_templates, word_values = coded("words", F.col("numbers"))
-    rows = rows.select(
-        *keys, "names", templates.alias("templates"), values.alias("values"), word_templates.alias("word_templates"), word_values.alias("word_values")
-    )
-
-    def window(templates: str, values: str):  # by element: cutting a slice reads the whole array
-        def at(i: Column) -> Column:
-            parts = [F.get(templates, i + k) for k in range(size)]
-            slots = F.concat_ws("\u0001", *[F.get(values, i + k) for k in range(size)])
-            slots = F.when(F.col(values).isNull(), F.lit("")).otherwise(slots)
-            bare = F.col(values).isNotNull() & reduce(and_, [x.isin(1, 2, 3) for x in parts])
-            template = F.when(bare, F.xxhash64(*parts, slots)).otherwise(F.xxhash64(*parts))
-            return F.struct(i.alias("position"), template.alias("template"), slots.alias("slots"), (~bare).alias("worded"))
-
-        return at
-
-    def named(i: Column) -> Column:
-        return F.lit(3).isin(*[F.get("templates", i + k) for k in range(size)])
-
-    places = F.when(F.size("templates") >= size, F.sequence(F.lit(0), F.size("templates") - size))
-    typed = F.transform(places, window("templates", "values"))
-    plain = F.transform(F.filter(places, named), window("word_templates", "word_values"))
-    both = F.when(F.col("names"), F.concat(typed, plain)).otherwise(typed)
-    return rows.select(*keys, F.explode(both).alias("w")).select(*keys, "w.*")
+    rows = docs.select(*keys, _tokens(marked).alias("tokens"), F.contains(marked, F.lit(_MARK)).alias("names"))
+    rows = rows.select(*keys, "tokens", "names", (F.size("tokens") - (size - 1)).alias("n"))
+    # A row per place, in texts with names two. No functions on arrays that take a lambda: Spark
+    # compiles all that follows into one loop (6,400 bytes at five words; the JVM makes up to 8,000
+    # fast), but would interpret those.
+    places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.when(F.col("names"), F.col("n") * 2).otherwise(F.col("n")) - 1))
+    rows = rows.select(*keys, "tokens", "n", F.explode(places).alias("place"))
+    second = F.col("place") >= F.col("n")
+    rows = rows.select(*keys, "tokens", second.alias("second"), F.when(second, F.col("place") - F.col("n")).otherwise(F.col("place")).alias("position"))
+    parts = [f"token_{k}" for k in range(size)]
+    tokens = [F.get("tokens", F.col("position") + k).alias(x) for k, x in enumerate(parts)]
+    rows = rows.select(*keys, "second", "position", F.get("tokens", F.col("position") - 1).alias("before"), *tokens)
+    rows = rows.where(~F.col("second") | reduce(or_, [_is_name(F.col(x)) for x in parts]))
+    rows = rows.withColumns({x: F.when(F.col("second"), _word(F.col(x))).otherwise(F.col(x)) for x in parts})
+
+    numbers = [f"number_{k}" for k in range(-1, size)]
+    is_number = {k: (F.col(x) < chr(ord("9") + 1)) & ~_is_name(F.col(x)) for k, x in zip(numbers, ["before", *parts], strict=True)}
+    rows = rows.withColumns(is_number)
+
+    def kind(x: Column, number: str, after_number: str) -> Column:
+        return F.when(F.col(number), "1").when(F.col(after_number) & x.isin(UNITS), "2").when(_is_name(x), "3")
+
+    kinds = [f"kind_{k}" for k in range(size)]
+    rows = rows.withColumns({k: kind(F.col(x), y, z) for k, x, y, z in zip(kinds, parts, numbers[1:], numbers, strict=False)})
+    slots = F.concat_ws("\u0001", *[F.concat(k, x) for k, x in zip(kinds, parts, strict=True)])
+    slots = F.when(F.coalesce(*kinds).isNull(), "").otherwise(slots)
+    bare = reduce(and_, [F.col(k).isNotNull() for k in kinds])
+    template = F.xxhash64(*[F.coalesce(k, x) for k, x in zip(kinds, parts, strict=True)], F.when(bare, slots))
+    return rows.select(*keys, "position", template.alias("template"), slots.alias("slots"), (~bare).alias("worded"))
 
 
 def _find_short(rows: DataFrame, items: DataFrame, size: int) -> DataFrame | None:
     """Documents with all words of an item of fewer than ``size`` words, numbers and names included; None if no item is so short."""
 
-    def words(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-        return docs.select(*keys, _words(F.regexp_extract_all(_marked(F.col(text)), F.lit(_TOKEN), F.lit(0))).alias("words"))
+    def tokens(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+        return docs.select(*keys, _tokens(_marked(F.col(text))).alias("tokens"))
 
     def key(i: Column, n: int) -> Column:
-        return F.xxhash64(F.lit(n), *[F.get("words", i + k) for k in range(n)])
+        return F.xxhash64(F.lit(n), *[_word(F.get("tokens", i + k)) for k in range(n)])
 
-    short = words(items, ["item", "version"], "item_text").withColumn("n", F.size("words")).where(F.col("n").between(1, size - 1))
+    short = tokens(items, ["item", "version"], "item_text").withColumn("n", F.size("tokens")).where(F.col("n").between(1, size - 1))
     whole = F.coalesce(*[F.when(F.col("n") == n, key(F.lit(0), n)) for n in range(1, size)])
     short = store(short.select("item", "version", "n", whole.alias("key")))
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
     if not lengths:
         return None
-
-    def keys_of(n: int) -> Column:
-        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: key(i, n))
-
-    keys = F.array_distinct(F.concat(*[keys_of(n) for n in lengths]))
-    found = words(rows, ["doc", "tie"], "doc_text").select("doc", "tie", F.explode(keys).alias("key"))
+    i, n = F.col("position"), F.col("n")
+    found = tokens(rows, ["doc", "tie"], "doc_text").withColumn("n", F.size("tokens"))
+    found = found.select("doc", "tie", "tokens", "n", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("position"))
+    found = found.select("doc", "tie", F.explode(F.array(*[F.when(i + k <= n, key(i, k)) for k in lengths])).alias("key"))
     short = short.drop("n")
     return found.join(F.broadcast(short) if short.count() <= BROADCAST_WINDOWS else short, "key").select("doc", "tie", "item", "version").distinct()
 

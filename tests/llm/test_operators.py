@@ -1,7 +1,9 @@
 """Odd rows, general interfaces and hard cases of the operators without a test file of their own."""
 
+import contextlib
 import hashlib
 import html
+import io
 import re
 from html.parser import HTMLParser
 
@@ -437,6 +439,31 @@ def test_leaks_equal_all_windows_against_all(docs, spark):
     assert 30 < n
 
 
+def test_window_search_is_compiled(docs, spark):
+    """No lambda is interpreted per word, and what is compiled stays under the 8,000 bytes up to which the JVM makes it fast."""
+    text = docs([(1, "a Bob c 5 km e")])
+    short = leaks._find_short(text.selectExpr("doc_id doc", "0L tie", "text doc_text"), spark.sql("SELECT 1L item, 2L version, 'Bob' item_text"), 5)
+    found = leaks.windows(text, ["doc_id", "tie", "n_chars"], F.col("text"))
+    known = found.selectExpr("template", "position AS item_position", "slots AS item_slots")
+    joined = found.join(F.broadcast(known), "template")
+    joined = joined.select("doc_id", "tie", "n_chars", (F.col("position") - F.col("item_position")).alias("diagonal"), "slots", "item_slots").distinct()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for plan in (joined, short):
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                plan.select("*").explain("codegen")  # planned anew without adaptive execution
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+            assert sizes and max(sizes) < 8000
+            out = io.StringIO()
+            with contextlib.redirect_stdout(out):
+                plan.select("*").explain()
+            assert "lambda" not in out.getvalue()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 # Chat
 
 
