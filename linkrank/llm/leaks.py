@@ -85,7 +85,7 @@ def windows(docs: DataFrame, keys: list[str], text: Column, size: int = WINDOW)
     rows = docs.select(*keys, _tokens(marked).alias("tokens"), F.contains(marked, F.lit(_MARK)).alias("names"))
     rows = rows.select(*keys, "tokens", "names", (F.size("tokens") - (size - 1)).alias("n"))
     # A row per place, in texts with names two. No functions on arrays that take a lambda: Spark
-    # compiles all that follows into one loop (6,400 bytes at five words; the JVM makes up to 8,000
+    # compiles all that follows into one loop (7,000 bytes at five words; the JVM makes up to 8,000
     # fast), but would interpret those.
     places = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.when(F.col("names"), F.col("n") * 2).otherwise(F.col("n")) - 1))
     rows = rows.select(*keys, "tokens", "n", F.explode(places).alias("place"))
